@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space, as a regex class body.
-WS = (
-    r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
-)
+WS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 # Short spellings that stand for one dataset name.
 NAME_ALIASES = {
