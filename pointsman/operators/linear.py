@@ -144,17 +144,20 @@ def solve(z: np.ndarray, d: int, alpha: float, keep: list[int] | None = None, st
 
 
 def fit(
-    mo: Moments, alpha: float = 1.0, include: Iterable[int] | None = None, keep: list[int] | None = None, standardize: bool = True
+    mo: Moments, alpha: float | list[float] = 1.0, include: Iterable[int] | None = None, keep: list[int] | None = None, standardize: bool = True
 ) -> np.ndarray:
-    """Coefficients of every candidate, trained on the given cells: (candidates, 1 + d)."""
+    """Coefficients of every output, trained on the given cells: (outputs, 1 + d).
+
+    Masked sums allow a penalty per output.
+    """
     if not mo.masked:
         return solve(mo.total(include), mo.d, alpha, keep, standardize)
     rows = []
     for j in range(mo.m):
         z = mo.total(include, j)
         if z[0, 0] < 2:
-            raise ValueError(f"candidate {j} has fewer than two observed training rows")
-        rows.append(solve(z, mo.d, alpha, keep, standardize)[0])
+            raise ValueError(f"output {j} has fewer than two observed training rows")
+        rows.append(solve(z, mo.d, alpha[j] if isinstance(alpha, list) else alpha, keep, standardize)[0])
     return np.array(rows)
 
 

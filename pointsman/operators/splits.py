@@ -95,3 +95,30 @@ def calibration_split(
     inner = id_split(pool, 1.0 - calibration_ratio, seed, grouped)
     renamed = F.when(F.col("partition") == "train", "fit").otherwise("calibration")
     return inner.withColumn("partition", renamed).unionByName(test)
+
+
+def holdout_labels(
+    samples: DataFrame, holdouts: list[str], ratio: float, seed: int = 3407, column: str = "domain", grouped: bool = False
+) -> DataFrame:
+    """Add `labels`, an array with one of test, fit or calibration per held-out value of `column`.
+
+    All calibration splits come from one pass: their cutoffs are kept per (holdout,
+    dataset) and every row looks up its own.
+    """
+    marked = _ordered(samples, seed, grouped)
+    names = F.array(*[F.lit(h) for h in holdouts])
+    held = F.lower(F.col(column))
+    units = marked.select("dataset", "_h", held.alias("_d"), F.explode(names).alias("holdout")).where(
+        F.lower("holdout") != F.col("_d")
+    ).select("holdout", "dataset", "_h")
+    if grouped:
+        units = units.distinct()
+    cuts = stratum_cutoffs(units, ["holdout", "dataset"], "_h", lambda n: F.array(numeric.clamped_share(n, 1.0 - ratio)))
+    per_dataset = cuts.groupBy("dataset").agg(
+        F.map_from_entries(F.collect_list(F.struct("holdout", F.col("cuts")[0]))).alias("_cuts")
+    )
+    label = lambda h: (
+        F.when(F.lower(h) == held, "test").when(F.col("_h") <= F.element_at("_cuts", h), "fit").otherwise("calibration")
+    )
+    joined = join_checked(marked, per_dataset, "dataset", "left")
+    return joined.withColumn("labels", F.transform(names, label)).drop("_h", "_cuts")
