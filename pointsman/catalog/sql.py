@@ -147,7 +147,11 @@ def needed(body: str) -> list[str]:
 
 
 def compile_sql(body: str, columns: str) -> str:
-    """A complete statement: the shared expressions, then the body, then its typed columns."""
+    """A complete statement: the shared expressions, then the body, then its typed columns.
+
+    The column name lambda is a reserved word there and is quoted, unless it starts a lambda.
+    """
+    body = re.sub(r'(?<!")\blambda\b(?!")(?!\s+\w+\s*[:,])', '"lambda"', body)
     parts = [f"{n} AS ({CTES[n]})" for n in needed(body)]
     parts.append(f"result AS ({body})")
     return f"WITH RECURSIVE {', '.join(parts)} SELECT {columns} FROM result"

@@ -141,7 +141,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], keys: list[s
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     strata = keys or ["_all"]
-    counts = rows.groupBy(*strata, "_bucket", "_v").agg(F.count("*").alias("_size"))
+    counts = rows.groupBy(*strata, "_bucket", "_v").agg(F.count("*").alias("_size")).persist()
     spans = _offsets(
         counts.groupBy(*strata, "_bucket").agg(F.sum("_size").alias("_size")), strata
     )
@@ -161,6 +161,5 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], keys: list[s
 
     low, high = at(F.floor("_at")), at(F.ceil("_at"))
     part = F.max(F.col("_at") - F.floor("_at"))
-    return hits.groupBy(*strata, "share").agg(
-        F.max("_n").alias("n"), (low + (high - low) * part).alias("value")
-    ).drop("_all")
+    found = hits.groupBy(*strata, "share").agg(F.max("_n").alias("n"), (low + (high - low) * part).alias("value"))
+    return found if keys else found.drop("_all")

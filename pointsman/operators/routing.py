@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pointsman.functions import numeric
 
-NEVER = float("-inf")
-
-
 def first_best(values: Column) -> Column:
     """1-based slot of the greatest value; the first one on ties, so the first name in order."""
     return F.array_position(values, F.array_max(values)).cast("int")
@@ -26,9 +23,12 @@ def margin(values: Column) -> Column:
 
 
 def masked(values: Column, score: Column, cost: Column) -> Column:
-    """Put an unavailable candidate out of reach: it needs both an observed score and cost."""
+    """Null for an unavailable candidate: it needs both an observed score and cost.
+
+    Null, not minus infinity: a weight of 0 would turn that into NaN, which sorts greatest.
+    """
     usable = F.zip_with(score, cost, lambda s, c: numeric.is_finite(s) & numeric.is_finite(c))
-    return F.zip_with(values, usable, lambda v, ok: F.when(ok, v).otherwise(NEVER))
+    return F.zip_with(values, usable, lambda v, ok: F.when(ok, v))
 
 
 def available(score: Column, cost: Column) -> Column:

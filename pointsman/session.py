@@ -25,7 +25,9 @@ def build_session(app: str = "pointsman", master: str | None = None, shuffle_par
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        # A local master runs everything in the driver, whose default heap is 1 GB.
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        b = b.config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
