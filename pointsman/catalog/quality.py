@@ -626,7 +626,7 @@ _SWEEP = f"""{_SWEEP_PICK}, sw AS (SELECT lambda, (SELECT avg(a) FROM (SELECT av
 
 
 def _sweep(spark, sf):
-    rows = pools.o_predicted(spark, sf)
+    rows = pools.o_predicted(spark, sf).persist()
     bounds = routing.global_bounds(rows, ["pred", "pred_cost"])
     return cost.sweep_metrics(cost.sweep_picks(rows, MODELS, bounds))
 
@@ -648,7 +648,7 @@ def lambda_grid_cross(spark, sf):
     f"WITH {_SWEEP_PICK} SELECT * FROM pick",
 )
 def route_cost_masked(spark, sf):
-    rows = pools.o_predicted(spark, sf)
+    rows = pools.o_predicted(spark, sf).persist()
     return cost.sweep_picks(rows, MODELS, routing.global_bounds(rows, ["pred", "pred_cost"]))
 
 

@@ -27,29 +27,40 @@ def sweep_picks(
     """Per sample and lambda, the pick among observed candidates.
 
     `frame` has score and cost arrays (null where unobserved) and predicted quality and
-    cost arrays; `bounds` scales both predictions. The prediction arrays are scaled and
-    masked once per sample, before the grid multiplies the rows.
+    cost arrays; `bounds` scales both predictions. Predictions are scaled and masked once
+    per sample; then the grid multiplies the rows, and the best of the candidates' utility
+    columns is taken in generated code.
     """
-    scaled = frame.withColumn(
-        "_q", routing.masked(routing.scaled_globally(quality, bounds), F.col("score"), F.col("cost"))
-    ).withColumn("_c", routing.scaled_globally(cost, bounds))
+    n = range(len(models))
     keep = [c for c in ("seed", "sample_id", "dataset") if c in frame.columns]
-    each = F.transform(
-        F.array(*[F.lit(float(v)) for v in lambdas]),
-        lambda lam: F.struct(
-            lam.alias("lambda"), routing.first_best(routing.utilities(F.col("_q"), F.col("_c"), lam)).alias("slot")
-        ),
-    )
-    rows = scaled.select(
-        *keep, "score", "cost", routing.available(F.col("score"), F.col("cost")).alias("available_models"),
-        F.explode(each).alias("_p"),
-    )
+
+    def scaled(c: str, i: int) -> Column:
+        low, high = bounds[c]
+        return numeric.minmax(F.col(c)[i], F.lit(low), F.lit(high), numeric.TINY)
+
+    usable = [numeric.is_finite(F.col("score")[i]) & numeric.is_finite(F.col("cost")[i]) for i in n]
+    flat = frame.select(
+        *keep,
+        "score",
+        "cost",
+        routing.available(F.col("score"), F.col("cost")).alias("available_models"),
+        *[F.when(usable[i], scaled(quality, i)).alias(f"_q{i}") for i in n],
+        *[scaled(cost, i).alias(f"_c{i}") for i in n],
+    )
+    value = [numeric.utility(F.col(f"_q{i}"), F.col(f"_c{i}"), F.col("lambda")) for i in n]
+    rows = lambda_grid(flat, lambdas).select(
+        *keep, "lambda", "score", "cost", "available_models", *[v.alias(f"_u{i}") for i, v in enumerate(value)]
+    )
+    best = F.greatest(*[F.col(f"_u{i}") for i in n]) if len(models) > 1 else F.col("_u0")
+    # The first candidate that reaches the best utility.
+    slot = F.coalesce(*[F.when(F.col(f"_u{i}") == F.col("_best"), i + 1) for i in n])
+    rows = rows.withColumn("_best", best).withColumn("_slot", slot)
     return rows.select(
         *keep,
-        F.col("_p.lambda").alias("lambda"),
-        routing.name_at(models, F.col("_p.slot")).alias("selected_model"),
-        F.element_at("score", F.col("_p.slot")).alias("selected_score"),
-        F.element_at("cost", F.col("_p.slot")).alias("selected_cost"),
+        "lambda",
+        routing.name_at(models, F.col("_slot")).alias("selected_model"),
+        F.element_at("score", F.col("_slot")).alias("selected_score"),
+        F.element_at("cost", F.col("_slot")).alias("selected_cost"),
         "available_models",
     )
 
@@ -81,6 +92,7 @@ def pareto_flags(points: DataFrame, score: str = "AvgAcc", cost: str = "total_co
     """
     const = [] if keys else ["_all"]
     strata = [*keys, *const]
+    points = points.persist()
     per_cost = points.groupBy(*keys, cost).agg(F.max(score).alias("_top"))
     rows = ranking.value_buckets(per_cost, list(keys), cost)
     for c in const:

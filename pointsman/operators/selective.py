@@ -22,7 +22,7 @@ def risk_coverage_curve(rows: DataFrame, uncertainty: str, coverages: list[float
     """
     src = rows.select("sample_id", "regret", F.col(uncertainty).alias("_u")).withColumn(
         "_tie", draws.hash_text(F.col("sample_id"))
-    )
+    ).persist()
     placed = ranking.value_positions(src, [], "_u", "_tie")
     points = sorted(set(coverages))
     share = F.array(*[F.lit(float(c)) for c in points])
@@ -63,10 +63,10 @@ def select_threshold(
     """
     const = [] if keys else ["_all"]
     strata = [*keys, *const]
-    src = rows
+    src = rows.select(*keys, *[F.lit(0).alias(c) for c in const], "uncertainty", "router_score", "fallback_score").persist()
+    quantiles = ranking.exact_quantiles(src, "uncertainty", threshold_grid(min_coverage, grid_size), list(keys))
     for c in const:
-        src = src.withColumn(c, F.lit(0))
-    quantiles = ranking.exact_quantiles(src, "uncertainty", threshold_grid(min_coverage, grid_size), strata)
+        quantiles = quantiles.withColumn(c, F.lit(0))
     taus = quantiles.groupBy(*strata).agg(
         F.array_sort(F.array_distinct(F.collect_list("value"))).alias("_taus"), F.first("n").alias("_n")
     )
@@ -168,7 +168,7 @@ def abstention_controls(
     beyond that it gives the exact mean and deviation that the draws converge to.
     """
     base = rows.select(F.col(domain).alias("domain"), "sample_id", "uncertainty", "router_score", "fallback_score")
-    base = base.withColumn("_tie", draws.hash_text(F.col("sample_id")))
+    base = base.withColumn("_tie", draws.hash_text(F.col("sample_id"))).persist()
     by_entropy = ranking.value_positions(base, ["domain"], "uncertainty", "_tie")
     oracle = base.withColumn("_adv", F.col("fallback_score") - F.col("router_score"))
     by_oracle = ranking.value_positions(oracle, ["domain"], "_adv", "_tie")

@@ -36,7 +36,7 @@ def _filled(c: Column) -> Column:
 
 def path_parts(rel: Column) -> list[Column]:
     """Dataset, split and candidate from a path of at least three folders; `key=` prefixes are dropped."""
-    parts = F.split(F.ltrim(F.lit("/"), rel), "/")
+    parts = F.split(F.ltrim(rel, F.lit("/")), "/")
     return [
         F.when(F.size(parts) >= 4, F.regexp_replace(F.url_decode(F.get(parts, F.lit(i))), "^[^=]*=", "")) for i in range(3)
     ]
