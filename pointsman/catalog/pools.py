@@ -134,34 +134,45 @@ def _confidence(j: int) -> Column:
     return F.when(v != 0, v.cast("double") / 10)
 
 
+def _noul_array() -> Column:
+    j = F.sequence(F.lit(0).cast("long"), F.lit(len(BINARY_PROBES) - 1).cast("long"))
+    return F.transform(j, lambda v: ((F.col("key") * (2 * v + 3) + F.col("size") * (v + 1)) % 11).cast("double") / 10)
+
+
+def _mass_arrays() -> Column:
+    """One array of level shares per score probe."""
+    j = F.sequence(F.lit(0).cast("long"), F.lit(len(SCORE_PROBES) - 1).cast("long"))
+    k = F.sequence(F.lit(0).cast("long"), F.lit(len(SCORE_LEVELS) - 1).cast("long"))
+    weights = F.transform(
+        j, lambda v: F.transform(k, lambda w: (1 + (F.col("key") * (w + 3) + F.col("size") * (v + 1) + v * w) % 7).cast("double"))
+    )
+    return F.transform(weights, lambda ws: F.transform(ws, lambda w: w / numeric.total(ws)))
+
+
 def p_features(samples: DataFrame, backend: str = BACKEND) -> FeatureSet:
     """The encoded features of the rule, without going through JSON."""
     levels = F.array(*[F.lit(float(v)) for v in SCORE_LEVELS])
-    family = [F.col("_f")[i] for i in range(len(FAMILY_LABELS))]
-    cols = [(1 + F.col("key") % 9).cast("double") / 10, numeric.entropy_norm(F.col("_f")), *family]
-    for j in range(len(BINARY_PROBES)):
-        cols += [_noul(j), numeric.binary_entropy(_noul(j))]
-    for j in range(len(SCORE_PROBES)):
-        m = F.col(f"_s{j}")
-        cols += [_confidence(j), numeric.entropy_norm(m), *[m[i] for i in range(len(SCORE_LEVELS))]]
-        cols += [((F.col("key") + j) % 4).cast("double"), numeric.moment(levels, m, 1), numeric.spread(levels, m)]
-    masses = {f"_s{j}": _shares(_weights(j)) for j in range(len(SCORE_PROBES))}
-    rows = samples.select("sample_id", "key", "size").withColumns({"_f": _shares(_family()), **masses})
-    return FeatureSet(rows.select("sample_id", F.array(*cols).alias("x")), probe_feature_names(backend))
+    family = F.concat(F.array((1 + F.col("key") % 9).cast("double") / 10, numeric.entropy_norm(F.col("_f"))), F.col("_f"))
+    binary = F.flatten(F.transform("_n", lambda p: F.array(p, numeric.binary_entropy(p))))
+
+    def one(m: Column, j: Column) -> Column:
+        c = F.col("key") * (j + 1) % 10
+        head = F.array(F.when(c != 0, c.cast("double") / 10), numeric.entropy_norm(m))
+        tail = F.array(((F.col("key") + j) % 4).cast("double"), numeric.moment(levels, m, 1), numeric.spread(levels, m))
+        return F.concat(head, m, tail)
+
+    graded = F.flatten(F.transform("_s", one))
+    rows = samples.select("sample_id", "key", _shares(_family()).alias("_f"), _noul_array().alias("_n"), _mass_arrays().alias("_s"))
+    # Stands in for a stored feature table, so it is computed once.
+    return FeatureSet(rows.select("sample_id", F.concat(family, binary, graded).alias("x")).persist(), probe_feature_names(backend))
 
 
 def p_mass(samples: DataFrame, backend: str = BACKEND) -> FeatureSet:
     """Only the 40 probability-mass features of the rule."""
-    cols, names = [], []
-    for j, n in enumerate(BINARY_PROBES):
-        cols.append(_noul(j))
-        names.append(f"{backend}_{n}__noul")
-    for j, n in enumerate(SCORE_PROBES):
-        cols += [F.col(f"_s{j}")[i] for i in range(len(SCORE_LEVELS))]
-        names += [f"{backend}_{n}__p__{v}" for v in SCORE_LEVELS]
-    masses = {f"_s{j}": _shares(_weights(j)) for j in range(len(SCORE_PROBES))}
-    rows = samples.select("sample_id", "key", "size").withColumns(masses)
-    return FeatureSet(rows.select("sample_id", F.array(*cols).alias("x")), names)
+    names = [f"{backend}_{n}__noul" for n in BINARY_PROBES]
+    names += [f"{backend}_{n}__p__{v}" for n in SCORE_PROBES for v in SCORE_LEVELS]
+    rows = samples.select("sample_id", F.concat(_noul_array(), F.flatten(_mass_arrays())).alias("x"))
+    return FeatureSet(rows.persist(), names)
 
 
 def _as_json(p: Column, names: list[str] | None) -> Column:
@@ -199,7 +210,7 @@ def p_decisions(samples: DataFrame) -> DataFrame:
         F.struct((100 + F.col("key") % 500).alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens")).alias("usage"),
         ((F.col("key") * 7 % 1000).cast("double") / 4).alias("latency_ms"),
         F.lit(False).alias("cached"),
-    )
+    ).persist()
 
 
 def o_samples(spark: SparkSession, sf: str) -> DataFrame:

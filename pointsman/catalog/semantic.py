@@ -120,7 +120,7 @@ def probe_of_column(spark, sf):
 @query(
     "probe_view",
     "sample_id s, probe s, kind s, probability_yes 8, n_levels i, top 8",
-    """SELECT sample_id, probe, 'binary' AS kind, p AS probability_yes, 0 AS n_levels, NULL AS top FROM pf_noul
+    """SELECT sample_id, probe, 'binary' AS kind, p AS probability_yes, 0 AS n_levels, CAST(NULL AS DOUBLE) AS top FROM pf_noul
        UNION ALL SELECT sample_id, probe, 'score', NULL, 4, max(p) FILTER (k = 3) FROM pf_score GROUP BY sample_id, probe""",
 )
 def probe_view(spark, sf):

@@ -31,7 +31,7 @@ def entropy_norm(p: Column) -> Column:
 
 def binary_entropy(p: Column) -> Column:
     def term(x: Column) -> Column:
-        return F.when(x > 0, -x * F.log(x)).otherwise(0.0)
+        return F.when(x > 0, -x * F.log(x)).when(x.isNotNull(), 0.0)
 
     return (term(p) + term(1.0 - p)) / F.log(F.lit(2.0))
 

@@ -69,7 +69,11 @@ class FeatureSet:
         return FeatureSet(self.df.withColumn("x", x), names)
 
     def long(self) -> DataFrame:
-        """(sample_id, feature, value) rows, nulls left out."""
+        """(sample_id, feature, value) rows, nulls left out.
+
+        The exploded input is an expression on purpose: for a plain column the optimizer
+        adds a non-empty filter, which repeats the column's whole definition.
+        """
         both = F.arrays_zip(F.array(*[F.lit(n) for n in self.names]).alias("feature"), F.col("x").alias("value"))
         return self.df.select("sample_id", F.explode(both).alias("f")).select("sample_id", "f.*").where("value is not null")
 
@@ -167,26 +171,42 @@ def probe_feature_names(backend: str, probes: tuple[Probe, ...] = MANUAL_PROBES)
 
 
 def encode_vectors(decisions: DataFrame, backend: str, probes: tuple[Probe, ...] = MANUAL_PROBES) -> FeatureSet:
-    """The same statistics as one array per sample, without exploding and pivoting."""
+    """The same statistics as one array per sample, without exploding and pivoting.
+
+    Probabilities are parsed in a projection of their own: the next one refers to them many
+    times, so they are evaluated once per answer.
+    """
     names = probe_feature_names(backend, probes)
-    per_probe = F.transform(
-        F.array(*[F.lit(p.name) for p in probes]),
-        lambda n: F.struct(n.alias("probe"), F.element_at("answers", n).alias("a")),
+    graded = [i for i, p in enumerate(probes) if p.kind != "noul"]
+    a = [F.try_element_at("answers", F.lit(p.name)) for p in probes]
+    parsed = decisions.select(
+        "sample_id", "answers", *[parse_probabilities(a[i]["probabilities"]).alias(f"_e{i}") for i in graded]
     )
-    stats = F.flatten(
-        F.transform(
-            F.filter(per_probe, lambda s: s["a"].isNotNull()),
-            lambda s: F.transform(
-                answer_stats(s["a"], parse_probabilities(s["a"]["probabilities"])),
-                lambda v: F.struct(
-                    feature_name(backend, s["probe"], v["stat"], v["level"]).alias("key"), v["value"].alias("value")
-                ),
-            ),
-        )
+    split = parsed.select(
+        "sample_id",
+        "answers",
+        *[_masses(F.col(f"_e{i}")).alias(f"_m{i}") for i in graded],
+        *[levels_of(F.col(f"_e{i}")).alias(f"_l{i}") for i in graded],
+        *[F.map_from_entries(f"_e{i}").alias(f"_k{i}") for i in graded],
     )
-    held = decisions.select("sample_id", F.map_from_entries(stats).alias("_m"))
-    x = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.element_at("_m", n))
-    return FeatureSet(held.select("sample_id", x.alias("x")), names)
+    cells: list[Column] = []
+    for i, p in enumerate(probes):
+        if p.kind == "noul":
+            yes = F.when(a[i].isNotNull(), F.coalesce(a[i]["noul"], F.lit(0.5)))
+            cells += [yes, numeric.binary_entropy(yes)]
+            continue
+        m, levels = F.col(f"_m{i}"), F.col(f"_l{i}")
+        some = F.size(m) > 0
+        cells += [a[i]["confidence"], F.when(some, numeric.entropy_norm(m))]
+        cells += [F.try_element_at(f"_k{i}", F.lit(v)) for v in p.levels]
+        if p.kind == "score":
+            is_score = (a[i]["type"] == "score") | a[i]["score"].isNotNull()
+            cells += [
+                F.when(is_score, F.coalesce(a[i]["score"], F.lit(0.0))),
+                F.when(is_score & some, numeric.moment(levels, m, 1)),
+                F.when(is_score & some, numeric.spread(levels, m)),
+            ]
+    return FeatureSet(split.select("sample_id", F.array(*cells).alias("x")), names)
 
 
 def is_fine(name: str, backend: str) -> bool:

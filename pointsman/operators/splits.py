@@ -77,7 +77,7 @@ def nested_split(
     samples: DataFrame, train_ratio: float = 0.7, validation_ratio: float = 0.2, seed: int = 3407, grouped: bool = True
 ) -> DataFrame:
     """Add `partition`: test, and inside the outer train rows inner_fit or validation."""
-    outer = id_split(samples, train_ratio, seed, grouped)
+    outer = id_split(samples, train_ratio, seed, grouped).persist()
     test = outer.where("partition = 'test'")
     train = outer.where("partition = 'train'").drop("partition")
     inner = id_split(train, 1.0 - validation_ratio, seed + INNER_SEED_STEP, grouped)
