@@ -113,7 +113,8 @@ def _hash_bootstrap(u: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
     drawn = slots.select(
         "dataset", "replicate", F.pmod(draws.hash_int(seed, F.col("replicate"), F.col("dataset"), F.col("i")), F.col("n")).alias("slot")
     )
-    return join_checked(drawn, table, ["dataset", "slot"], max_rows=2_000_000).groupBy("dataset", "replicate").agg(
+    # Adaptive execution broadcasts the table when its measured size allows.
+    return drawn.join(table, ["dataset", "slot"]).groupBy("dataset", "replicate").agg(
         F.sum("total").alias("total"), F.sum("size").alias("size")
     )
 
@@ -132,7 +133,7 @@ def _count_bootstrap(u: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("masses")
     )
 
-    def replicate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replicate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dataset, chunk = key[0], int(key[1])
         masses = pdf["masses"].iloc[0]
         ids = [int(r["chunk"]) for r in masses]
@@ -201,7 +202,7 @@ def _hash_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
 def _count_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
     values = c.groupBy(F.abs("contribution").alias("v")).agg(F.count("*").alias("times"))
 
-    def flip(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def flip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
         pdf = pdf.sort_values("v")
         v, m = pdf["v"].to_numpy(float), pdf["times"].to_numpy(np.int64)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pointsman.functions import numeric
 from pointsman.operators import cost, features, linear, matrix, metrics, paired, routing, selective, splits, tfidf, trees
 from pointsman.operators.features import FeatureSet
+from pointsman.session import fetched, written
 
 # Seeds of the published protocols.
 SEEDS = (42, 999, 2024, 2025, 3407)
@@ -220,7 +221,7 @@ def nested_probe_selection(
         inner.append(f"_inner{o}")
         rest = rows.where(F.col("_outer") == o).withColumn(f"_inner{o}", F.lit(-1))
         rows = labelled.unionByName(rest)
-    rows = rows.persist()
+    rows = written(rows, "nested-folds")
     cell = [F.when(F.col(c) >= 0, F.col(c) + o * inner_folds) for o, c in enumerate(inner)]
     rows = rows.withColumn("_cells", F.array_compact(F.array(*cell)))
     mo = linear.moments(rows, "x", "score", "_cells")
@@ -303,7 +304,7 @@ def calibrated_domain_ood(
     Every domain is a key of the same jobs; only the small solves run in a loop. `entropy`
     has sample_id and uncertainty.
     """
-    labelled = splits.holdout_labels(frame, domains, calibration_ratio, seed)
+    labelled = written(splits.holdout_labels(frame, domains, calibration_ratio, seed), "holdout-labels")
     cells = F.filter(F.transform("labels", lambda v, i: F.when(v == "fit", i)), lambda v: v.isNotNull())
     mo = linear.moments(labelled.withColumn("_cells", cells), "x", "score", "_cells")
     sums = [mo.total([i]) for i in range(len(domains))]
@@ -375,14 +376,17 @@ def perf_cost_eval(
 
     Rows where the named baseline is unobserved are left out of the evaluation.
     """
+    frame = written(frame, "cost-frame")
     coefs = _cost_coefs(_cost_moments(frame, ["train"]), [0], len(models))
     test = frame.where("partition = 'test'")
     if baseline is not None:
         test = cost.baseline_supported(test, models, baseline).where("supported").drop("supported")
     rows = _with_cost_predictions(test, coefs).persist()
     bounds = routing.global_bounds(rows, ["pred", "pred_cost"])
-    sweep = cost.pareto_flags(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas))).persist()
-    base = cost.select_baseline(rows, models, baseline)
+    # A sweep has a row per lambda and a baseline one row.
+    sweep = fetched(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
+    sweep = fetched(cost.pareto_flags(sweep))
+    base = fetched(cost.select_baseline(rows, models, baseline))
     return operating_points(sweep, sweep, base, base), sweep
 
 
@@ -423,6 +427,7 @@ def perf_cost_eval_validated(
     Lambda is chosen on the validation rows; the final model adds their sums to the inner
     ones instead of reading the training rows again.
     """
+    frame = written(frame, "cost-frame")
     n = len(models)
     mo = _cost_moments(frame, ["inner_fit", "validation"])
 
@@ -434,8 +439,9 @@ def perf_cost_eval_validated(
         if baseline is not None:
             rows = cost.baseline_supported(rows, models, baseline).where("supported").drop("supported")
         rows = _with_cost_predictions(rows, coefs).persist()
-        table = cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas))
-        return cost.pareto_flags(table).persist(), cost.select_baseline(rows, models, baseline)
+        # A sweep has a row per lambda and a baseline one row.
+        table = fetched(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
+        return fetched(cost.pareto_flags(table)), fetched(cost.select_baseline(rows, models, baseline))
 
     val_sweep, val_base = sweep("validation", ["inner_fit"], [0])
     test_sweep, test_base = sweep("test", ["inner_fit", "validation"], [0, 1])

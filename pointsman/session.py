@@ -55,12 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 100_000) -> DataFrame:
-    """Join with `small` broadcast when its counted size allows, shuffled otherwise.
+def fetched(small: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
+    """A summary of at most `max_rows` rows as a local table without lineage, else None.
 
-    `small` is a per-stratum or per-model summary, computed once and kept for the join.
+    Summaries (cutoffs per dataset, borders per group, a lambda sweep) are referred to many
+    times; fetching them once keeps later plans from repeating their whole input.
     """
-    small = small.persist()
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    table = small.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return None
+    return small.sparkSession.createDataFrame(table, small.schema)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 100_000) -> DataFrame:
+    """Join with a summary: broadcast when it has at most `max_rows` rows, shuffled otherwise."""
+    local = fetched(small, max_rows)
+    return big.join(small, on, how) if local is None else big.join(F.broadcast(local), on, how)
