@@ -192,7 +192,7 @@ _FEATURE = [
     ("samples without features", "0"), ("features without sample", "0"),
 ]
 _RELEASE = _pool_sql("performance") + "".join(
-    f" UNION ALL SELECT 'jev: {n}', true, CAST({v} AS VARCHAR)" for n, v in _FEATURE
+    f" UNION ALL SELECT 'sem: {n}', true, CAST({v} AS VARCHAR)" for n, v in _FEATURE
 ) + """ UNION ALL SELECT 'direct: duplicate predictions', true, '0' UNION ALL SELECT 'direct: samples without prediction', true, '0'
   UNION ALL SELECT 'direct: predictions without sample', true, '0' UNION ALL SELECT 'vectors: dimensions', true, '1'
   UNION ALL SELECT 'vectors: samples without vector', count(*) = 0, CAST(count(*) AS VARCHAR) FROM ps WHERE sample_id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings)"""
@@ -205,7 +205,7 @@ def release_validation(spark, sf):
     frame, a, _ = _sides(spark, sf)
     tables = [
         checks.pool_checks("performance", samples, pools.p_outcomes(spark, sf).persist(), expected),
-        checks.feature_checks("jev", pools.p_features(samples), BACKEND, samples, expected),
+        checks.feature_checks("sem", pools.p_features(samples), BACKEND, samples, expected),
         checks.prediction_checks("direct", a.select("sample_id", "selected_score").persist(), samples),
         checks.vector_checks("vectors", pools.d_vectors(spark, sf), samples),
     ]

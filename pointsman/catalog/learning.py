@@ -476,8 +476,8 @@ def stream_route(spark, sf):
 def reproduce_all(spark, sf):
     """The grouped protocol for two backends, with fewer draws than the default."""
     frame = pools.p_frame(spark, sf).persist()
-    second = features.FeatureSet(pools.p_features(frame.withColumn("key", F.col("key") + 1)).df, features.probe_feature_names("laya"))
-    sets = {BACKEND: pools.p_features(frame), "laya": second}
+    second = features.FeatureSet(pools.p_features(frame.withColumn("key", F.col("key") + 1)).df, features.probe_feature_names("alt"))
+    sets = {BACKEND: pools.p_features(frame), "alt": second}
     return experiments.reproduce_all(
         frame.drop("score", "cost"), pools.p_outcomes(spark, sf), sets, MODELS, seeds=(42, 999), n_bootstrap=200, n_permutations=200
     )

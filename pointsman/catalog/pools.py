@@ -24,7 +24,7 @@ from pointsman.operators.features import (
     probe_feature_names,
 )
 
-BACKEND = "jev"
+BACKEND = "sem"
 LABELS = ["quality", "toxic"]
 
 
@@ -79,7 +79,8 @@ def p_arrays(spark: SparkSession, sf: str) -> DataFrame:
 
 def p_frame(spark: SparkSession, sf: str) -> DataFrame:
     """sample_id, key, size, dataset, domain, query, score, cost: complete samples of pool P."""
-    return p_all_samples(spark, sf).join(p_arrays(spark, sf), "sample_id")
+    # Stands in for stored sample and outcome tables, so it is computed once.
+    return p_all_samples(spark, sf).join(p_arrays(spark, sf), "sample_id").persist()
 
 
 def p_samples(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,8 +28,8 @@ def encode_vectors(spark, sf):
 
 @query(
     "encode_meta",
-    "sample_id s, meta_jev_input_tokens 4, meta_jev_latency_ms 4",
-    "SELECT sample_id, 100 + key % 500 AS meta_jev_input_tokens, CAST(key * 7 % 1000 AS DOUBLE) / 4 AS meta_jev_latency_ms FROM ps",
+    "sample_id s, meta_sem_input_tokens 4, meta_sem_latency_ms 4",
+    "SELECT sample_id, 100 + key % 500 AS meta_sem_input_tokens, CAST(key * 7 % 1000 AS DOUBLE) / 4 AS meta_sem_latency_ms FROM ps",
 )
 def encode_meta(spark, sf):
     return features.encode_meta(pools.p_decisions(pools.p_samples(spark, sf)), BACKEND)
@@ -95,6 +95,20 @@ def expected_level_spread(spark, sf):
     return _weights_table(spark, sf).select("sample_id", numeric.moment(levels, p, 1).alias("expected"), numeric.spread(levels, p).alias("spread"))
 
 
+@query("expected_level", "sample_id s, expected 8", f"WITH {_W} SELECT sample_id, sum(k * p) AS expected FROM w GROUP BY sample_id")
+def expected_level(spark, sf):
+    return _weights_table(spark, sf).select("sample_id", numeric.moment(F.col("levels"), F.col("p"), 1).alias("expected"))
+
+
+@query(
+    "spread",
+    "sample_id s, spread 7",
+    f"WITH {_W} SELECT sample_id, sqrt(greatest(0, sum(k * k * p) - sum(k * p) * sum(k * p))) AS spread FROM w GROUP BY sample_id",
+)
+def spread(spark, sf):
+    return _weights_table(spark, sf).select("sample_id", numeric.spread(F.col("levels"), F.col("p")).alias("spread"))
+
+
 @query(
     "binary_entropy",
     "sample_id s, entropy 8",
@@ -157,8 +171,8 @@ for _mode, _where in _REP.items():
 @query(
     "rep_hard",
     "sample_id s, feature s, value 6",
-    """SELECT sample_id, 'jev_' || probe || '__hard' AS feature, CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END AS value FROM pf_noul
-       UNION ALL SELECT sample_id, 'jev_' || probe || '__hard', CAST(k AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, probe ORDER BY p DESC, CAST(k AS VARCHAR)) AS rn FROM pf_score) WHERE rn = 1""",
+    """SELECT sample_id, 'sem_' || probe || '__hard' AS feature, CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END AS value FROM pf_noul
+       UNION ALL SELECT sample_id, 'sem_' || probe || '__hard', CAST(k AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, probe ORDER BY p DESC, CAST(k AS VARCHAR)) AS rn FROM pf_score) WHERE rn = 1""",
 )
 def rep_hard(spark, sf):
     return _representation("hard")(spark, sf)
@@ -193,7 +207,7 @@ def select_feature_columns(spark, sf):
     fs = pools.p_features(samples)
     extra = samples.select("sample_id", F.array(F.col("size").cast("double"), F.lit(7.0)).alias("e"))
     wide = FeatureSet(
-        fs.df.join(extra, "sample_id").select("sample_id", F.concat("x", "e").alias("x")), [*fs.names, "det_size", "meta_jev_latency_ms"]
+        fs.df.join(extra, "sample_id").select("sample_id", F.concat("x", "e").alias("x")), [*fs.names, "det_size", "meta_sem_latency_ms"]
     )
     out = None
     for name in features.FEATURE_SETS:

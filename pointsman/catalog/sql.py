@@ -116,7 +116,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT sample_id, '{FAMILY_PROBE}', 'entropy', NULL, sum(-p * ln(p)) / ln({len(FAMILY_LABELS)}) FROM pf_fam GROUP BY sample_id
         UNION ALL SELECT sample_id, '{FAMILY_PROBE}', 'confidence', NULL, CAST(1 + key % 9 AS DOUBLE) / 10 FROM pf_fam WHERE label = '{FAMILY_LABELS[0]}'""",
     "pf": """SELECT sample_id, probe, stat, level,
-        'jev_' || probe || '__' || stat || coalesce('__' || level, '') AS feature, value FROM pf_long""",
+        'sem_' || probe || '__' || stat || coalesce('__' || level, '') AS feature, value FROM pf_long""",
     "pf_entropy": f"SELECT sample_id, avg(value) AS uncertainty FROM pf_long WHERE stat = 'entropy' AND probe <> '{FAMILY_PROBE}' GROUP BY sample_id",
     "pm": f"SELECT sample_id, feature, value FROM pf WHERE stat IN ('noul', 'p') AND probe <> '{FAMILY_PROBE}'",
     "groups": f"""SELECT *, sha256(dataset || chr(0) || {collapse("query")}) AS leakage_group FROM ps""",

@@ -103,13 +103,18 @@ def bootstrap_replicates(u: DataFrame, n_bootstrap: int, seed: int = 3407, draw:
     return per_dataset.groupBy("replicate").agg(F.avg(F.col("total") / F.col("size")).alias("macro"))
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Over all tasks: a fixed count, since adaptive execution would merge small partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _hash_bootstrap(u: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
     placed = ranking.hash_positions(u.withColumn("_h", F.md5("unit")), ["dataset"], "_h")
     table = placed.select("dataset", (F.col("pos") - 1).alias("slot"), "total", "size")
     sizes = u.groupBy("dataset").agg(F.count("*").alias("n"))
-    slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    )
+    # A row per dataset and replicate is little data, yet each row grows into many draws.
+    few = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    slots = _spread(few, "dataset", "replicate").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     drawn = slots.select(
         "dataset", "replicate", F.pmod(draws.hash_int(seed, F.col("replicate"), F.col("dataset"), F.col("i")), F.col("n")).alias("slot")
     )
@@ -184,7 +189,7 @@ def permutation_stats(c: DataFrame, n_permutations: int, seed: int = 3407, draw:
 
 def _hash_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
     blocks = ceil(n_permutations / SIGN_BITS)
-    rows = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+    rows = _spread(c, "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
         "_w", draws.hash_int(seed, F.col("block"), F.col("unit"))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FEATURES = 50_000
@@ -24,8 +24,13 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(sample_id, term, tf) over whole texts."""
-    return docs.select("sample_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("sample_id", "term").agg(
+    """(sample_id, term, tf) over whole texts.
+
+    Texts are spread by id before they are cut into terms: counting and scaling per sample
+    then stay in place, and only texts are shuffled, not their many more terms.
+    """
+    texts = docs.select("sample_id", "query").repartition("sample_id")
+    return texts.select("sample_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("sample_id", "term").agg(
         F.count("*").alias("tf")
     )
 
@@ -42,8 +47,8 @@ def weights(counts: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     known = counts.join(F.broadcast(vocab), "term")
     raw = (1.0 + F.log(F.col("tf").cast("double"))) * (F.log((F.lit(1.0) + n_docs) / (1.0 + F.col("df"))) + 1.0)
     weighted = known.select("sample_id", "term", raw.alias("w"))
-    norms = weighted.groupBy("sample_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "sample_id").select("sample_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("sample_id")))
+    return weighted.select("sample_id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_features(docs: DataFrame, max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:

@@ -88,8 +88,8 @@ def test_align_rejects_what_is_not_finite(spark):
 
 
 def test_probability_mass_has_40_features():
-    names = features.probe_feature_names("jev")
-    assert len(features.representation_names(names, "probability_mass", "jev")) == 40
+    names = features.probe_feature_names("sem")
+    assert len(features.representation_names(names, "probability_mass", "sem")) == 40
 
 
 def test_hard_ties_and_missing_mass(spark):
