@@ -100,9 +100,8 @@ def ingest_rectangular(records: DataFrame, complete_only: bool = True) -> Pool:
         (F.min("query_hash") != F.max("query_hash")).alias("_clash"),
     )
     fail = F.raise_error(F.concat(F.lit("query differs between candidates for "), F.concat_ws("/", *key)))
-    samples = latest.select(*key, "r.*", "_clash").withColumn(
-        "query_hash", F.when(F.col("_clash"), fail).otherwise(F.col("query_hash"))
-    )
+    # A filter, not a column: it sees every row before incomplete samples are dropped.
+    samples = latest.where(F.when(F.col("_clash"), fail.cast("boolean")).otherwise(F.lit(True))).select(*key, "r.*")
     outcomes = dedup.keep_last(
         rows.select("sample_id", "dataset", "split", "model", "pos", *OUTCOME_VALUES), ["sample_id", "model"], [F.col("pos")]
     )
