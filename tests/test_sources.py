@@ -60,7 +60,9 @@ def test_ingest_from_files(spark, root):
 
 
 def test_rectangular_ingest_rejects_another_query(spark):
-    rows = [("d", "s", m, 0, "1", q, None, 1.0, 0.0, 0, 0) for m, q in (("m1", "a"), ("m2", "b"))]
+    """Also when the clashing sample itself would be dropped as incomplete, as here; another one stays."""
+    cells = [("m1", "1", "a"), ("m2", "1", "b"), ("m1", "2", "c"), ("m2", "2", "c")]
+    rows = [("d", "s", m, 0, i, q, None, 1.0, 0.0, 0, 0) for m, i, q in cells]
     schema = "dataset string, split string, model string, pos long, index string, origin_query string, prompt string, score double, cost double, prompt_tokens long, completion_tokens long"
     with pytest.raises(Exception, match="query differs"):
         ingest.ingest_rectangular(spark.createDataFrame(rows, schema)).samples.collect()
