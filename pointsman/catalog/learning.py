@@ -12,6 +12,7 @@ from pointsman.catalog.registry import query
 from pointsman.catalog.semantic import _D_GROUPS, _fold_sql, _split_sql
 from pointsman.catalog.sql import MODELS, h
 from pointsman.functions import draws
+from pointsman.operators.features import BINARY_PROBES, SCORE_PROBES
 from pointsman.operators import cost, features, linear, metrics, routing, selective, splits, trees
 from pointsman.plans import experiments
 from pointsman.session import scratch_path
@@ -21,18 +22,20 @@ _LONG_PRED = F.posexplode
 
 
 def ridge_sql(
-    p: str, train: str, target: str, apply: str, alpha: str = "1", source: str = "SELECT sample_id, feature, value FROM pm", d: int = 40, scale: bool = True
+    p: str, train: str, target: str, apply: str, alpha: str = "1", source: str = "SELECT sample_id, feature, value FROM pm", d: int = 40, scale: bool = True,
+    mask: str = "true",
 ) -> str:
     """Expressions that fit ridge by Gauss-Jordan elimination, one fit per group g.
 
     train: (g, sample_id); target: (g, t, sample_id, y) with numeric t; apply: (g, sample_id).
+    A feature outside `mask` is 0 in that group, which gives it a coefficient of 0.
     Gives {p}_coef (g, t, i, w, mean, dev), {p}_bias (g, t, mean) and {p}_pred (g, sample_id, t, pred).
     """
     dev = "CASE WHEN var_pop(v) <= 1e-12 THEN 1 ELSE stddev_pop(v) END" if scale else "1"
     return f"""{p}_fx AS (SELECT sample_id, feature, dense_rank() OVER (ORDER BY feature) AS i, value AS v FROM ({source})),
       {p}_trn AS ({train}), {p}_tg AS ({target}), {p}_app AS ({apply}),
       {p}_st AS (SELECT g, i, any_value(feature) AS feature, avg(v) AS mean, CAST({dev} AS DOUBLE) AS dev FROM {p}_trn JOIN {p}_fx USING (sample_id) GROUP BY g, i),
-      {p}_z AS (SELECT g, sample_id, i, (v - mean) / dev AS z FROM {p}_trn JOIN {p}_fx USING (sample_id) JOIN {p}_st USING (g, i)),
+      {p}_z AS (SELECT g, sample_id, i, CASE WHEN {mask.replace('feature', p + '_fx.feature')} THEN (v - mean) / dev ELSE 0 END AS z FROM {p}_trn JOIN {p}_fx USING (sample_id) JOIN {p}_st USING (g, i)),
       {p}_bias AS (SELECT g, t, avg(y) AS mean FROM {p}_trn JOIN {p}_tg USING (g, sample_id) GROUP BY g, t),
       {p}_a AS (SELECT a.g, a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN CAST({alpha.replace('g', 'any_value(a.g)') if 'g' in alpha else alpha} AS DOUBLE) ELSE 0 END AS v
         FROM {p}_z a JOIN {p}_z b ON a.g = b.g AND a.sample_id = b.sample_id GROUP BY a.g, a.i, b.i),
@@ -312,7 +315,34 @@ def representation_ablation(spark, sf):
     return metrics.seed_summary(experiments.suite_metrics(frame, experiments.linear_suite(rows, MODELS, systems, parts), MODELS))
 
 
-@query("leave_one_probe_out", f"{_SUITE_SPEC}, drop_vs_all_pp 6")
+_PROBES = [*BINARY_PROBES, *SCORE_PROBES]
+_SYSTEMS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(["all_probes", *[f"drop_{p}" for p in _PROBES]]))
+_LOPO_MASK = f"g % 100 = 0 OR list_position([{', '.join(repr(p) for p in _PROBES)}], regexp_extract(feature, '^sem_(.*?)__', 1)) <> g % 100"
+
+
+def _two_seeds(label: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i * 100} + k.k AS g, sample_id FROM part{s}, range(0, 17) k(k) WHERE partition = '{label}'" for i, s in enumerate((42, 999))
+    )
+
+
+_LOPO = f"""WITH RECURSIVE part42 AS ({_split_sql(42, 0.7, 'groups', 'leakage_group')}), part999 AS ({_split_sql(999, 0.7, 'groups', 'leakage_group')}),
+    gg AS (SELECT i.i * 100 + k.k AS g FROM range(0, 2) i(i), range(0, 17) k(k)),
+    {ridge_sql('r', _two_seeds('train'), 'SELECT g, CAST(substr(model, 2) AS BIGINT) AS t, sample_id, score AS y FROM po, gg', _two_seeds('test'), mask=_LOPO_MASK)},
+    tp AS (SELECT g, sample_id, 'm' || t AS model FROM (SELECT *, row_number() OVER (PARTITION BY g, sample_id ORDER BY pred DESC, t) AS rn FROM r_pred) WHERE rn = 1),
+    sel AS (SELECT g, dataset, avg(score) AS router FROM tp JOIN po USING (sample_id, model) GROUP BY ALL),
+    tst AS (SELECT DISTINCT g // 100 AS s, sample_id FROM tp),
+    tdm AS (SELECT s, dataset, model, avg(score) AS acc FROM tst JOIN po USING (sample_id) GROUP BY ALL),
+    tor AS (SELECT s, dataset, avg(oracle) AS orc FROM tst JOIN p_oracle USING (sample_id) GROUP BY ALL),
+    tbest AS (SELECT s, model FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY a DESC, model) AS rn FROM (SELECT s, model, avg(acc) AS a FROM tdm GROUP BY ALL)) WHERE rn = 1),
+    tx AS (SELECT d.s, d.dataset, avg(acc) AS rnd, max(acc) FILTER (d.model = b.model) AS best, any_value(b.model) AS bm_name FROM tdm d JOIN tbest b ON b.s = d.s GROUP BY d.s, d.dataset),
+    one AS (SELECT g % 100 AS k, g // 100 AS s, avg(router) * 100 AS acc, avg(router / rnd - 1) * 100 AS gr, avg(router / best - 1) * 100 AS gb, avg(1 - router / orc) * 100 AS go, any_value(bm_name) AS bn
+      FROM sel JOIN tx ON tx.s = g // 100 AND tx.dataset = sel.dataset JOIN tor ON tor.s = g // 100 AND tor.dataset = sel.dataset GROUP BY g)
+    SELECT n.name AS system, count(*) AS n_seeds, avg(acc) AS AvgAcc_mean, stddev_samp(acc) AS AvgAcc_std, avg(gr) AS GainR_mean, avg(gb) AS GainB_mean, avg(go) AS GapO_mean,
+      min(bn) AS best_single_model, (SELECT avg(acc) FROM one WHERE k = 0) - avg(acc) AS drop_vs_all_pp FROM one JOIN (VALUES {_SYSTEMS}) n(k, name) ON n.k = one.k GROUP BY n.name"""
+
+
+@query("leave_one_probe_out", f"{_SUITE_SPEC}, drop_vs_all_pp 6", _LOPO)
 def leave_one_probe_out(spark, sf):
     frame, names = _mass_frame(spark, sf)
     rows, parts = experiments.with_partitions(frame, (42, 999))
