@@ -9,8 +9,8 @@ from pointsman.catalog import pools
 from pointsman.catalog.pools import BACKEND
 from pointsman.catalog.quality import METRIC_SPEC
 from pointsman.catalog.registry import query
-from pointsman.catalog.semantic import _D_GROUPS, _fold_sql, _split_sql
-from pointsman.catalog.sql import MODELS, h
+from pointsman.catalog.semantic import _D_GROUPS, _fold_sql, _share, _split_sql
+from pointsman.catalog.sql import MODELS, h, h_text
 from pointsman.functions import draws
 from pointsman.operators.features import BINARY_PROBES, SCORE_PROBES
 from pointsman.operators import cost, features, linear, metrics, routing, selective, splits, trees
@@ -378,17 +378,33 @@ def nested_probe_metrics(spark, sf):
 _OOD_SPEC = "domain s, safe_model s, threshold 6, calibration_coverage 6, calibration_score 6, test_coverage 6, test_score 6, router_only_score 6, best_single_score 6, oracle_score 6, n_fit i, n_calibration i, n_test i"
 
 
-def _domain_ood(spark, sf):
-    frame = pools.p_frame(spark, sf).persist()
-    fs = pools.p_features(frame)
-    rows = features.join_features(frame, features.representation(fs, "full", BACKEND)).persist()
-    domains = sorted(r[0] for r in frame.select("domain").distinct().collect())
-    return experiments.calibrated_domain_ood(rows, features.semantic_entropy(fs, BACKEND), MODELS, domains)
-
-
-@query("calibrated_domain_ood", _OOD_SPEC)
+_GRID = ", ".join(f"{0.5 + 0.5 * i / 100}::DOUBLE" for i in range(101))
+_DOMAIN_OOD = f"""WITH RECURSIVE dms AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS g FROM (SELECT DISTINCT domain FROM ps)),
+    lab AS (SELECT g, sample_id, CASE WHEN rn <= {_share('n', 0.8)} THEN 'fit' ELSE 'calibration' END AS label FROM (
+        SELECT dms.g, s.sample_id, row_number() OVER (PARTITION BY dms.g, s.dataset ORDER BY {h_text('3407', 's.sample_id')}) AS rn, count(*) OVER (PARTITION BY dms.g, s.dataset) AS n
+        FROM ps s JOIN dms ON s.domain <> dms.domain) UNION ALL SELECT g, sample_id, 'test' FROM ps JOIN dms USING (domain)),
+    {ridge_sql('r', "SELECT g, sample_id FROM lab WHERE label = 'fit'", 'SELECT g, CAST(substr(model, 2) AS BIGINT) AS t, sample_id, score AS y FROM po, (SELECT g FROM dms) q', "SELECT g, sample_id FROM lab WHERE label <> 'fit'")},
+    safe AS (SELECT g, model FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a DESC, model) AS rn FROM (SELECT g, model, avg(score) AS a FROM lab JOIN po USING (sample_id) WHERE label = 'fit' GROUP BY ALL)) WHERE rn = 1),
+    tp AS (SELECT g, sample_id, 'm' || t AS model FROM (SELECT *, row_number() OVER (PARTITION BY g, sample_id ORDER BY pred DESC, t) AS rn FROM r_pred) WHERE rn = 1),
+    rt AS (SELECT l.g, l.sample_id, l.label, round(e.uncertainty, 9) AS u, a.score AS r, f.score AS f, o.oracle AS orc FROM lab l JOIN tp USING (g, sample_id)
+        JOIN po a ON a.sample_id = l.sample_id AND a.model = tp.model JOIN safe ON safe.g = l.g JOIN po f ON f.sample_id = l.sample_id AND f.model = safe.model
+        JOIN pf_entropy e ON e.sample_id = l.sample_id JOIN p_oracle o ON o.sample_id = l.sample_id),
+    cal AS (SELECT * FROM rt WHERE label = 'calibration'), tau AS (SELECT DISTINCT g, unnest(quantile_cont(u, [{_GRID}])) AS tau FROM cal GROUP BY g),
+    swp AS (SELECT g, tau, avg(CASE WHEN u <= tau THEN 1.0 ELSE 0.0 END) AS cov, avg(CASE WHEN u <= tau THEN r ELSE f END) AS sc FROM cal JOIN tau USING (g) GROUP BY g, tau),
+    cho AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(sc, 12) DESC, cov DESC, tau) AS rn FROM swp WHERE cov + 1e-12 >= 0.5) WHERE rn = 1)
+    SELECT domain, any_value(safe.model) AS safe_model, any_value(tau) AS threshold, any_value(cov) AS calibration_coverage, any_value(sc) AS calibration_score,
+      avg(CASE WHEN u <= tau THEN 1.0 ELSE 0.0 END) AS test_coverage, avg(CASE WHEN u <= tau THEN r ELSE f END) AS test_score, avg(r) AS router_only_score, avg(f) AS best_single_score,
+      avg(orc) AS oracle_score, (SELECT count(*) FROM lab x WHERE x.g = rt.g AND x.label = 'fit') AS n_fit, (SELECT count(*) FROM cal x WHERE x.g = rt.g) AS n_calibration, count(*) AS n_test
+    FROM rt JOIN cho ON cho.g = rt.g JOIN safe ON safe.g = rt.g JOIN dms ON dms.g = rt.g WHERE label = 'test' GROUP BY rt.g, domain"""
+
+
+@query("calibrated_domain_ood", _OOD_SPEC, _DOMAIN_OOD)
 def calibrated_domain_ood(spark, sf):
-    return _domain_ood(spark, sf)
+    frame, _ = _mass_frame(spark, sf)
+    domains = sorted(r[0] for r in frame.select("domain").distinct().collect())
+    # Nine decimals: entropies are sums in varying order, and thresholds compare them.
+    entropy = pools.entropy_table(frame).withColumn("uncertainty", F.round("uncertainty", 9))
+    return experiments.calibrated_domain_ood(frame, entropy, MODELS, domains)
 
 
 # ---- cost protocols ------------------------------------------------------------------------------------
