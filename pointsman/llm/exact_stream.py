@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from pointsman.llm.common import HOT_SHARE, attach
 from pointsman.session import scratch_path, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: without files allotted in advance.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def located(docs: DataFrame, *columns: str) -> tuple[DataFrame, str, str]:
@@ -50,18 +53,17 @@ def located(docs: DataFrame, *columns: str) -> tuple[DataFrame, str, str]:
 def retained(spark: SparkSession, log_dir: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """Streams the log in `log_dir` into the state, as many micro-batches as it has files; the state as a table."""
     at = scratch_path(spark, "exact-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ON_DISK)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
         state = log.groupBy("digest").agg(F.max(F.struct("doc_id", "_file", "_row")).alias("keep"), F.count("*").alias("n"))
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     held = spark.read.format("statestore").load(at)
     keep, n = held.schema["value"].dataType.names
     return held.select(F.col("key.digest").alias("digest"), F.col(f"value.{keep}").alias("keep"), F.col(f"value.{n}").alias("n"))
