@@ -155,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def toxic_passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_tokens and the significant segments (with e_value) of every row of `docs`."""
+    """doc_id, held_out, score, predicted, n_tokens and the significant segments (with log_e, the log of the number expected by chance) of every row of `docs`."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     rows = docs.select("doc_id", "text").join(checked(known), "doc_id", "left").withColumn("held_out", held_out(F.col("doc_id")))
     every, toxic, clean = token_counts(rows)
@@ -165,10 +165,11 @@ def toxic_passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
     fit = found.where((F.col("y") == 0) & (F.col("n_tokens") > 0)).agg(F.count("*").alias("n"), F.sum(F.col("n_tokens") * F.exp(-lam * best)).alias("s")).first()
     k = max(fit["n"] / fit["s"], 1e-12) if fit["s"] else 1e-3
-    expected = lambda s: F.lit(k) * F.col("n_tokens") * F.exp(F.lit(-lam) * s["score"])
-    significant = F.filter(F.transform("segments", lambda s: F.struct(s["score"].alias("score"), s["start"].alias("start"), s["end"].alias("end"), expected(s).alias("e_value"))), lambda s: s["e_value"] < 1)
+    # Logarithms, since the expected number itself may be too small for a double.
+    log_e = lambda s: F.log(F.lit(k) * F.col("n_tokens")) - F.lit(lam) * s["score"]
+    significant = F.filter(F.transform("segments", lambda s: F.struct(s["score"].alias("score"), s["start"].alias("start"), s["end"].alias("end"), log_e(s).alias("log_e"))), lambda s: s["log_e"] < 0)
     scored = found.withColumn("passages", significant)
-    scored = scored.withColumn("evidence", F.aggregate("passages", F.lit(0.0), lambda acc, s: acc - F.log(s["e_value"])))
+    scored = scored.withColumn("evidence", F.aggregate("passages", F.lit(0.0), lambda acc, s: acc - s["log_e"]))
     scored = scored.withColumn("bin", F.floor(F.log1p("evidence") * 4).cast("int"))
     bins = [(r["bin"], r["n"], r["y"]) for r in scored.where("y IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()]
     at, share = monotone(bins) if bins else ([0], [0.0])
