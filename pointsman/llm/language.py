@@ -116,16 +116,18 @@ def fit(labelled: DataFrame, per_language: int = 1000) -> dict:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, BUCKETS, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(start, len(texts)), lists], ["lang", "x"])
 
-    rows = sample.mapInArrow(featured, "lang string, x array<double>").select("lang", array_to_vector("x").alias("features")).persist()
+    rows = sample.mapInArrow(featured, "lang string, x array<double>").select("lang", array_to_vector("x").alias("features"))
+    # The sample is bounded, so a few partitions hold it, whatever the number of input files.
+    rows = rows.repartition(max(1, len(langs) * per_language // 1000)).persist()
     try:
         index = lambda names, of: F.create_map(*[F.lit(v) for x in langs for v in (x, float(names.index(of(x))))])[F.col("lang")]
         if len(families) > 1:
-            lr = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4).fit(rows.withColumn("label", index(families, family)))
+            lr = LogisticRegression(family="multinomial", maxIter=20, regParam=1e-4).fit(rows.withColumn("label", index(families, family)))
             model["family_weights"] = (lr.coefficientMatrix.toArray().T, lr.interceptVector.toArray())
         for a, b in combinations(langs, 2):
             if family(a) == family(b):
                 two = rows.where(F.col("lang").isin(a, b)).withColumn("label", (F.col("lang") == b).cast("double"))
-                svm = LinearSVC(maxIter=40, regParam=1e-4).fit(two)
+                svm = LinearSVC(maxIter=20, regParam=1e-4).fit(two)
                 model["pairs"].append((a, b, svm.coefficients.toArray(), svm.intercept))
     finally:
         rows.unpersist()
