@@ -269,7 +269,7 @@ def main_table(spark, sf):
 
     t = experiments.main_table(pools.p_frame(spark, sf), _picks(spark, sf), MODELS, "alpha")
     supports = t["support"].groupBy("system").agg(F.count_distinct("n_ids", "digest_0", "digest_1").alias("n_supports"))
-    odd = t["mismatches"].agg(F.count("*").alias("n_mismatches"))
+    odd = t["n_mismatches"].agg(F.coalesce(F.sum("n_mismatches"), F.lit(0)).alias("n_mismatches"))
     return t["summary"].join(supports, "system").join(F.broadcast(odd))
 
 

@@ -54,6 +54,7 @@ def sweep_picks(
     best = F.greatest(*[F.col(f"_u{i}") for i in n]) if len(models) > 1 else F.col("_u0")
     # The first candidate that reaches the best utility.
     slot = F.coalesce(*[F.when(F.col(f"_u{i}") == F.col("_best"), i + 1) for i in n])
+    slot = F.coalesce(slot, F.raise_error("no candidate with score and cost for a sample").cast("int"))
     rows = rows.withColumn("_best", best).withColumn("_slot", slot)
     return rows.select(
         *keep,

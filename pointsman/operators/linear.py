@@ -101,9 +101,9 @@ def moments(rows: DataFrame, x: str, y: str, cells: str | None = None, masked: b
             yield _row(sums)
 
     parts = src.mapInPandas(partial, SUMS)
-    if int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 4 * FAN_IN:
-        # Many tasks: add their sums up in two rounds, so the driver gets few arrays.
-        parts = parts.repartition(FAN_IN * FAN_IN).mapInPandas(merge, SUMS).repartition(FAN_IN).mapInPandas(merge, SUMS)
+    # Sums are added up by (cell, target) in the cluster, in two rounds, so the driver gets one array of each.
+    parts = parts.repartition(FAN_IN, "cell", "target", F.pmod(F.monotonically_increasing_id(), F.lit(FAN_IN))).mapInPandas(merge, SUMS)
+    parts = parts.repartition(FAN_IN, "cell", "target").mapInPandas(merge, SUMS)
     width = 2 + d if masked else 1 + d + m
     out: dict = {}
     for r in parts.collect():

@@ -15,22 +15,32 @@ MAX_CANDIDATES = 10_000
 
 def candidate_names(outcomes: DataFrame) -> list[str]:
     """Sorted candidate names. The list is part of the plan, so its length is checked."""
-    rows = outcomes.select("model").distinct().limit(MAX_CANDIDATES + 1).collect()
-    if len(rows) > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates")
-    return sorted(r.model for r in rows)
+    return few_values(outcomes, "model")
+
+
+def few_values(rows: DataFrame, column: str) -> list:
+    """All values of a column, sorted; an error if they are too many to be part of a plan."""
+    found = rows.select(column).distinct().limit(MAX_CANDIDATES + 1).collect()
+    if len(found) > MAX_CANDIDATES:
+        raise ValueError(f"more than {MAX_CANDIDATES} values of {column}")
+    return sorted(r[0] for r in found)
 
 
 def outcome_arrays(
     outcomes: DataFrame, models: list[str], values: tuple[str, ...] = ("score",), keys: tuple[str, ...] = ("sample_id",)
 ) -> DataFrame:
-    """One row per sample with an array per value, in candidate order, null where unobserved."""
+    """One row per sample with an array per value, in candidate order, null where unobserved.
+
+    Two outcomes of a candidate for a sample are an error.
+    """
     cells = [
         F.max(F.when(F.col("model") == m, F.col(v))).alias(f"_{v}_{i}") for v in values for i, m in enumerate(models)
     ]
-    return outcomes.groupBy(*keys).agg(*cells).select(
-        *keys, *[F.array(*[F.col(f"_{v}_{i}") for i in range(len(models))]).alias(v) for v in values]
-    )
+    twice = F.greatest(*[F.count_if(F.col("model") == m) for m in models], F.lit(0), F.lit(0)).alias("_most")
+    # A row with two is not dropped but fails the job when its values are used.
+    single = F.assert_true(F.col("_most") <= 1, "two outcomes of a candidate for a sample").isNull()
+    arrays = [F.array(*[F.col(f"_{v}_{i}") for i in range(len(models))]) for v in values]
+    return outcomes.groupBy(*keys).agg(*cells, twice).select(*keys, *[F.when(single, a).alias(v) for v, a in zip(values, arrays, strict=True)])
 
 
 def observed(scores) -> "F.Column":

@@ -210,11 +210,16 @@ def support_digest(ids: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def support_mismatches(predictions: DataFrame, keys: tuple[str, ...], unit: str = "system", top: int = 10) -> DataFrame:
-    """Per key, ids that some but not all units cover, at most `top` listed per key."""
+def partly_covered(predictions: DataFrame, keys: tuple[str, ...], unit: str = "system") -> DataFrame:
+    """Per key, all ids that some but not all units cover."""
     units = predictions.groupBy(*keys).agg(F.count_distinct(unit).alias("n_units"))
     seen = predictions.groupBy(*keys, "sample_id").agg(F.count_distinct(unit).alias("n_seen"))
-    odd = seen.join(units, list(keys)).where("n_seen < n_units")
+    return seen.join(units, list(keys)).where("n_seen < n_units")
+
+
+def support_mismatches(predictions: DataFrame, keys: tuple[str, ...], unit: str = "system", top: int = 10) -> DataFrame:
+    """Per key, ids that some but not all units cover, at most `top` listed per key."""
+    odd = partly_covered(predictions, keys, unit)
     # A first cut per hash bucket keeps the final per-key sort small.
     part = Window.partitionBy(*keys, F.substring(F.md5("sample_id"), 1, 3)).orderBy("sample_id")
     few = odd.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= top)

@@ -23,7 +23,6 @@ from pointsman.operators import ranking
 from pointsman.operators.metrics import sample_std
 from pointsman.session import join_checked
 
-MAX_HASH_DRAWS = 50_000_000
 VALUES_PER_CHUNK = 10_000
 SIGN_BITS = 32
 TOLERANCE = 1e-15
@@ -91,15 +90,16 @@ def units(frame: DataFrame, grouped: bool = False) -> DataFrame:
     )
 
 
-def _method(u: DataFrame, repeats: int, draw: str) -> str:
-    if draw != "auto":
-        return draw
-    return "hash" if u.count() * repeats <= MAX_HASH_DRAWS else "counts"
+def _by_hash(draw: str) -> bool:
+    """Whether draws are hashes, which SQL can repeat, or counts per value, whose cost does not depend on the rows."""
+    if draw not in ("hash", "counts"):
+        raise ValueError(f"unknown way to draw: {draw}")
+    return draw == "hash"
 
 
-def bootstrap_replicates(u: DataFrame, n_bootstrap: int, seed: int = 3407, draw: str = "auto") -> DataFrame:
+def bootstrap_replicates(u: DataFrame, n_bootstrap: int, seed: int = 3407, draw: str = "hash") -> DataFrame:
     """(replicate, macro): the mean of dataset means of each resample, drawn within datasets."""
-    per_dataset = _hash_bootstrap(u, n_bootstrap, seed) if _method(u, n_bootstrap, draw) == "hash" else _count_bootstrap(u, n_bootstrap, seed)
+    per_dataset = _hash_bootstrap(u, n_bootstrap, seed) if _by_hash(draw) else _count_bootstrap(u, n_bootstrap, seed)
     return per_dataset.groupBy("replicate").agg(F.avg(F.col("total") / F.col("size")).alias("macro"))
 
 
@@ -179,10 +179,10 @@ def contributions(frame: DataFrame, grouped: bool = False) -> DataFrame:
     return weighted.select(F.col("sample_id").alias("unit"), F.col("_c").alias("contribution"))
 
 
-def permutation_stats(c: DataFrame, n_permutations: int, seed: int = 3407, draw: str = "auto") -> DataFrame:
+def permutation_stats(c: DataFrame, n_permutations: int, seed: int = 3407, draw: str = "hash") -> DataFrame:
     """(permutation, stat): the sum of contributions under random signs."""
     # One hash yields the signs of 32 permutations, hence the division.
-    if _method(c, ceil(n_permutations / SIGN_BITS), draw) == "hash":
+    if _by_hash(draw):
         return _hash_signs(c, n_permutations, seed)
     return _count_signs(c, n_permutations, seed)
 
@@ -238,7 +238,7 @@ def prediction_test(
     n_permutations: int = 10000,
     seed: int = 3407,
     grouped: bool = False,
-    draw: str = "auto",
+    draw: str = "hash",
 ) -> DataFrame:
     """One row: differences, 95 % bootstrap interval, permutation p-value and counts."""
     frame = paired_frame(samples, a, b, grouped).persist()
@@ -294,7 +294,7 @@ def noninferiority(
     seed: int = 3407,
     confidence: float = 0.95,
     grouped: bool = False,
-    draw: str = "auto",
+    draw: str = "hash",
 ) -> DataFrame:
     """One row: A is not inferior when the one-sided lower bound of A - B exceeds the margin."""
     if margin_pp <= 0:

@@ -57,7 +57,8 @@ def selected(frame: DataFrame, models: list[str], pred: str = "pred", slot: str
 
 def selected_with_cost(frame: DataFrame, models: list[str], value: str = "pred") -> DataFrame:
     """Pick among observed candidates with its score and cost and the number available."""
-    row = frame.withColumn("_slot", first_best(masked(F.col(value), F.col("score"), F.col("cost"))))
+    best = first_best(masked(F.col(value), F.col("score"), F.col("cost")))
+    row = frame.withColumn("_slot", F.coalesce(best, F.raise_error("no candidate with score and cost for a sample").cast("int")))
     keep = [c for c in frame.columns if c not in {value, "score", "cost", "x"}]
     return row.select(
         *keep,

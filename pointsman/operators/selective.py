@@ -159,25 +159,26 @@ def abstention_controls(
     random_repeats: int = 1000,
     seed: int = 3407,
     domain: str = "domain",
-    max_draws: int = 100_000_000,
+    random: str = "draws",
 ) -> DataFrame:
     """Score per domain, coverage and selector: by entropy, at random, and by true advantage.
 
     `rows` has sample_id, the domain, uncertainty, router_score and fallback_score. The
-    random selector repeats its draws while rows times repeats stays within `max_draws`;
-    beyond that it gives the exact mean and deviation that the draws converge to.
+    random selector repeats its `draws` or, with `moments`, gives the exact mean and
+    deviation that the draws converge to.
     """
     base = rows.select(F.col(domain).alias("domain"), "sample_id", "uncertainty", "router_score", "fallback_score")
     base = base.withColumn("_tie", draws.hash_text(F.col("sample_id"))).persist()
     by_entropy = ranking.value_positions(base, ["domain"], "uncertainty", "_tie")
     oracle = base.withColumn("_adv", F.col("fallback_score") - F.col("router_score"))
     by_oracle = ranking.value_positions(oracle, ["domain"], "_adv", "_tie")
-    few = base.count() * random_repeats <= max_draws
-    random = _random_draws(base, coverages, random_repeats, seed) if few else _random_moments(base, coverages)
+    if random not in ("draws", "moments"):
+        raise ValueError(f"unknown random selector: {random}")
+    chance = _random_draws(base, coverages, random_repeats, seed) if random == "draws" else _random_moments(base, coverages)
     fixed = _masked_means(by_entropy, ["domain"], coverages, "semantic_entropy").unionByName(
         _masked_means(by_oracle, ["domain"], coverages, "oracle")
     )
-    return fixed.withColumn("std", F.lit(0.0)).unionByName(random)
+    return fixed.withColumn("std", F.lit(0.0)).unionByName(chance)
 
 
 def abstention_macro(table: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pointsman.functions import numeric
 from pointsman.operators import cost, features, linear, matrix, metrics, paired, routing, selective, splits, tfidf, trees
 from pointsman.operators.features import FeatureSet
-from pointsman.session import fetched, written
+from pointsman.session import summary, written
 
 # Seeds of the published protocols.
 SEEDS = (42, 999, 2024, 2025, 3407)
@@ -98,7 +98,7 @@ def oof(frame: DataFrame, models: list[str], learner: str = "ridge", n_folds: in
 
 def ood(frame: DataFrame, models: list[str], column: str, learner: str = "ridge", **params) -> DataFrame:
     """Leave-one-out picks over the values of `column` (dataset or domain), one per sample."""
-    values = sorted(r[0] for r in frame.select(column).distinct().limit(matrix.MAX_CANDIDATES).collect())
+    values = matrix.few_values(frame, column)
     cell = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)) - 1
     return routing.selected(held_out(frame, models, cell, len(values), learner, **params), models)
 
@@ -384,9 +384,9 @@ def perf_cost_eval(
     rows = _with_cost_predictions(test, coefs).persist()
     bounds = routing.global_bounds(rows, ["pred", "pred_cost"])
     # A sweep has a row per lambda and a baseline one row.
-    sweep = fetched(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
-    sweep = fetched(cost.pareto_flags(sweep))
-    base = fetched(cost.select_baseline(rows, models, baseline))
+    sweep = summary(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
+    sweep = summary(cost.pareto_flags(sweep))
+    base = summary(cost.select_baseline(rows, models, baseline))
     return operating_points(sweep, sweep, base, base), sweep
 
 
@@ -440,8 +440,8 @@ def perf_cost_eval_validated(
             rows = cost.baseline_supported(rows, models, baseline).where("supported").drop("supported")
         rows = _with_cost_predictions(rows, coefs).persist()
         # A sweep has a row per lambda and a baseline one row.
-        table = fetched(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
-        return fetched(cost.pareto_flags(table)), fetched(cost.select_baseline(rows, models, baseline))
+        table = summary(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
+        return summary(cost.pareto_flags(table)), summary(cost.select_baseline(rows, models, baseline))
 
     val_sweep, val_base = sweep("validation", ["inner_fit"], [0])
     test_sweep, test_base = sweep("test", ["inner_fit", "validation"], [0, 1])
@@ -457,6 +457,7 @@ def main_table(frame: DataFrame, predictions: DataFrame, models: list[str], firs
         "baselines": metrics.baseline_summary(runs.where(F.col("system") == first_system)),
         "support": metrics.support_digest(predictions, ("seed", "system")),
         "mismatches": metrics.support_mismatches(predictions, ("seed",)),
+        "n_mismatches": metrics.partly_covered(predictions, ("seed",)).groupBy("seed").agg(F.count("*").alias("n_mismatches")),
     }
 
 
@@ -531,7 +532,7 @@ def reproduce_all(
     entropy = features.semantic_entropy(fs, first)
     area = selective.aurc(selective_curves(picks["pm"], entropy), ("signal",))
     parts_out.append(area.select(F.concat(F.lit("selective/"), F.col("signal")).alias("experiment"), F.lit("aurc").alias("metric"), F.col("aurc").alias("value")))
-    domains = sorted(r[0] for r in samples.select("domain").distinct().limit(matrix.MAX_CANDIDATES).collect())
+    domains = matrix.few_values(samples, "domain")
     manual = features.representation(fs, "full", first)
     manual_frame = training_frame(samples, outcomes, manual, models).persist()
     ood_rows = selective.domain_macro(calibrated_domain_ood(manual_frame, entropy, models, domains))

@@ -67,6 +67,12 @@ def fetched(small: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
     return small.sparkSession.createDataFrame(table, small.schema)
 
 
+def summary(small: DataFrame) -> DataFrame:
+    """A table that is referred to many times: local if small, else written to the shared folder."""
+    local = fetched(small)
+    return written(small, "summary") if local is None else local
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 100_000) -> DataFrame:
     """Join with a summary: broadcast when it has at most `max_rows` rows, shuffled otherwise."""
     local = fetched(small, max_rows)

@@ -220,7 +220,7 @@ def test_random_selector_moments_are_the_limit_of_its_draws(spark):
         "sample_id string, domain string, uncertainty double, router_score double, fallback_score double",
     )
     drawn = {(r.domain, r.coverage): r for r in selective.abstention_controls(rows, random_repeats=400).where("selector = 'random'").collect()}
-    exact = {(r.domain, r.coverage): r for r in selective.abstention_controls(rows, max_draws=0).where("selector = 'random'").collect()}
+    exact = {(r.domain, r.coverage): r for r in selective.abstention_controls(rows, random="moments").where("selector = 'random'").collect()}
     assert drawn.keys() == exact.keys()
     for k, r in exact.items():
         assert drawn[k].score == pytest.approx(r.score, abs=4 * r.std / 20 + 1e-9)
