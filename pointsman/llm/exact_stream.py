@@ -73,10 +73,13 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`, with the place of its content (_file, _row)."""
+def exact_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000, place: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`, with the place of its content (_file, _row).
+
+    `place` names the columns with file and row, if `docs` has them already.
+    """
     spark = docs.sparkSession
-    docs, file, row = located(docs, "doc_id", "text")
+    docs, file, row = (docs, *place) if place else located(docs, "doc_id", "text")
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("whole"), F.col(file).alias("_file"), F.col(row).alias("_row"))
     docs = docs.withColumn("digest", digest(F.col("whole")))
     log_dir = scratch_path(spark, "exact-log")
@@ -114,5 +117,5 @@ def exact_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     places, file, row = located(docs)
-    keep = exact_copies(docs).where("kept").select(F.col("_file").alias(file), F.col("_row").alias(row))
+    keep = exact_copies(places, place=(file, row)).where("kept").select(F.col("_file").alias(file), F.col("_row").alias(row))
     return places.join(keep, [file, row], "left_semi").drop(file, row)

@@ -198,7 +198,7 @@ def _shared(a: bytes, b: bytes, threshold: int) -> np.ndarray:
 
 
 def _verified(threshold: int):
-    def links(key: int, rows: list[tuple[int, bool, bytes, int]]) -> list[tuple[int, int, int]]:
+    def links(key: int, tile: str, rows: list[tuple[int, bool, bytes, int]]) -> list[tuple[int, int, int]]:
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -213,12 +213,12 @@ def _verified(threshold: int):
             have = lines.setdefault(i, [line, False, block])
             have[1] |= own
         items = sorted(lines.items(), key=lambda x: len(x[1][0]))
-        blocks = {v[2] for v in lines.values()}
+        low, high = tile.split("-")
         for n, (i, (a, own_a, block_a)) in enumerate(items):
             for j, (b, own_b, block_b) in items[n + 1 :]:
                 if len(b) - len(a) > threshold:
                     break
-                if not (own_a or own_b) or (len(blocks) > 1 and block_a == block_b):
+                if not (own_a or own_b) or (low != high and block_a == block_b):
                     continue
                 if within(a, b, threshold):
                     if int(_shared(a, b, threshold).view(np.int64).min()) == key:
@@ -242,14 +242,14 @@ def _verified(threshold: int):
             for key, tile, i, own, line, block in zip(*columns, strict=True):
                 if (key, tile) != at:
                     if len(rows) > 1:
-                        out += links(at[0], rows)
+                        out += links(*at, rows)
                     at, rows = (key, tile), []
                 rows.append((i, own, line.encode("utf-8", "surrogatepass"), block))
             if out:
                 yield batch()
                 out = []
         if len(rows) > 1:
-            out += links(at[0], rows)
+            out += links(*at, rows)
         if out:
             yield batch()
 
