@@ -27,7 +27,7 @@ def _running(counts: DataFrame, bucket: str, *by: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def interleave(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_rows: int = 20_000) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_rows: int = 2_000) -> DataFrame:
     """doc_id, source, size, text_crc32, fraction, shard, slot of every row; shard sizes differ by one at most."""
     text = F.coalesce(F.col("text"), F.lit(""))
     stratum = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")).alias("stratum")
