@@ -221,10 +221,11 @@ def test_bm25_scores():
         assert np.allclose(index.scores(q), want)
 
 
-def test_pieces_equal_whole_texts():
-    pieces = packing._Pieces(tokenizer_path())
-    texts = ["", " ", "a  b   c", "x \n y", " lead", "trail ", "it's 'tis.'", "<|endoftext|> a", "ünï.. çode—x", "a...b, c", "日本 語。 x", "\n\n a", "a  b"]
-    assert [np.frombuffer(i, "<u4").tolist() for i in pieces.ids(texts)] == [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def test_both_tokenizer_libraries_agree():
+    tokens = packing._Tokens(tokenizer_path())
+    assert tokens.quick is not None
+    texts = ["", " ", "a  b   c", "x \n y", " lead", "trail ", "it's 'tis.'", "<|endoftext|> a", "ünï.. çode—x", "a...b, c", "日本 語。 x", "\n\n a", "a\u00a0 b", "ab" * 50_000, " " * 1_000_000]
+    assert [np.frombuffer(tokens.ids(t), "<u4").tolist() for t in texts] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_segments():
