@@ -101,10 +101,18 @@ def benchmark_metrics(
     """Headline metrics, as percentages, one row per combination of `keys`.
 
     `frame` has sample_id, dataset and the score array; `predictions` the keys, sample_id
-    and selected_score. A prediction without a complete score array fails the job.
+    and selected_score. A prediction without a complete score array, or a second one of a
+    sample, fails the job.
     """
     n = len(models)
-    rows = predictions.select(*keys, "sample_id", "selected_score").join(
+    # Dealt by sample once: the check for doubles and the join then need no shuffle of their own.
+    once = predictions.repartition("sample_id").groupBy(*keys, "sample_id").agg(
+        F.max("selected_score").alias("selected_score"), F.count("*").alias("_n")
+    )
+    single = F.when(F.col("_n") == 1, F.col("selected_score")).otherwise(
+        F.raise_error(F.concat(F.lit("two predictions of a sample: "), F.col("sample_id"))).cast("double")
+    )
+    rows = once.select(*keys, "sample_id", single.alias("selected_score")).join(
         frame.select("sample_id", "dataset", "score"), "sample_id", "left"
     )
     whole = F.count_if(F.col("score").isNull() | (F.size(F.filter("score", lambda v: v.isNotNull())) < n)) == 0

@@ -59,7 +59,8 @@ def select_threshold(
 
     `rows` has uncertainty, router_score and fallback_score. Each row is counted once, in
     the grid cell of the first threshold that admits it; running sums over the grid then
-    give every threshold's score, instead of a pass per threshold.
+    give every threshold's score, instead of a pass per threshold. A group without any
+    threshold (no finite uncertainty) fails the job.
     """
     const = [] if keys else ["_all"]
     strata = [*keys, *const]
@@ -86,11 +87,12 @@ def select_threshold(
         (F.sum("_c").over(upto) / F.col("_n")).alias("coverage"),
         ((F.sum("_r").over(upto) + total_f - F.sum("_f").over(upto)) / F.col("_n")).alias("score"),
     )
-    fit = swept.where((F.col("coverage") + numeric.TINY >= min_coverage) & F.col("threshold").isNotNull())
+    fits = (F.col("coverage") + numeric.TINY >= min_coverage) & F.col("threshold").isNotNull() & ~F.isnan("threshold")
     # Scores are sums in varying order; equal ones are told apart no finer than this.
     rank = F.struct(-F.round("score", 12), -F.col("coverage"), F.col("threshold"))
-    best = fit.groupBy(*strata).agg(F.min_by(F.struct("threshold", "coverage", "score"), rank).alias("b"))
-    return best.select(*keys, "b.*")
+    best = swept.groupBy(*strata).agg(F.min_by(F.struct("threshold", "coverage", "score"), F.when(fits, rank)).alias("b"))
+    found = F.coalesce("b", F.raise_error(F.lit("no threshold reaches the least coverage")))
+    return best.select(*keys, found.alias("b")).select(*keys, "b.*")
 
 
 def _masked_means(placed: DataFrame, keys: list[str], coverages: list[float], selector: str) -> DataFrame:

@@ -42,3 +42,21 @@ def test_unknown_ways_are_refused(spark):
     empty = spark.createDataFrame([], "domain string, sample_id string, uncertainty double, router_score double, fallback_score double")
     with pytest.raises(ValueError):
         selective.abstention_controls(empty, random="auto")
+
+
+def test_two_predictions_of_a_sample_fail(spark):
+    frame = spark.createDataFrame([("a", "d", [0.1, 0.2]), ("b", "d", [0.3, 0.1])], "sample_id string, dataset string, score array<double>")
+    once = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.3), (2, "a", 0.2)], "seed int, sample_id string, selected_score double")
+    assert {r.seed: r.n_test for r in metrics.benchmark_metrics(frame, once, ["m", "n"], ("seed",)).collect()} == {1: 2, 2: 1}
+    with pytest.raises(Exception, match="two predictions"):
+        metrics.benchmark_metrics(frame, once.union(once.limit(1)), ["m", "n"], ("seed",)).collect()
+
+
+def test_group_without_threshold_fails(spark):
+    kind = "domain string, uncertainty double, router_score double, fallback_score double"
+    good = [("x", i / 10, i / 10, 0.4) for i in range(10)]
+    got = selective.select_threshold(spark.createDataFrame(good, kind), keys=("domain",)).collect()
+    assert len(got) == 1 and got[0].coverage >= 0.5
+    bad = spark.createDataFrame([*good, ("y", float("nan"), 0.1, 0.2), ("y", float("nan"), 0.3, 0.2)], kind)
+    with pytest.raises(Exception, match="no threshold"):
+        selective.select_threshold(bad, keys=("domain",)).collect()
