@@ -55,6 +55,19 @@ def selected(frame: DataFrame, models: list[str], pred: str = "pred", slot: str
     )
 
 
+def best_elsewhere(frame: DataFrame, models: list[str], column: str) -> DataFrame:
+    """(column, best): per value of `column`, the slot of the candidate with the best mean score over all other rows."""
+    n = len(models)
+    sums = [F.sum(F.col("score")[i]).alias(f"_s{i}") for i in range(n)]
+    counts = [F.count(F.col("score")[i]).alias(f"_n{i}") for i in range(n)]
+    per = frame.groupBy(column).agg(*sums, *counts)
+    # One row per value from here on.
+    whole = per.agg(*[F.sum(f"_{k}{i}").alias(f"_all_{k}{i}") for k in "sn" for i in range(n)])
+    rest = F.array(*[(F.col(f"_all_s{i}") - F.coalesce(f"_s{i}", F.lit(0.0))) / F.nullif(F.col(f"_all_n{i}") - F.col(f"_n{i}"), F.lit(0)) for i in range(n)])
+    # Sums in varying order: equal means are told apart no finer than this.
+    return per.join(F.broadcast(whole)).select(column, first_best(F.transform(rest, lambda v: F.round(v, 12))).alias("best"))
+
+
 def selected_with_cost(frame: DataFrame, models: list[str], value: str = "pred") -> DataFrame:
     """Pick among observed candidates with its score and cost and the number available."""
     best = first_best(masked(F.col(value), F.col("score"), F.col("cost")))

@@ -98,13 +98,19 @@ def importances(spark, fitted: list, names: list[str], models: list[str]) -> Dat
     return table.orderBy("model", F.desc("importance"), "feature")
 
 
-def save(fitted: list, path: str) -> None:
+def save_router(spark, path: str, fitted: list, names: list[str], models: list[str]) -> None:
+    """The fitted models beside the feature and candidate order."""
+    order = [("feature", i, n) for i, n in enumerate(names)] + [("model", i, m) for i, m in enumerate(models)]
+    spark.createDataFrame(order, "kind string, pos int, name string").coalesce(1).write.parquet(f"{path}/order")
     for i, model in enumerate(fitted):
         PipelineModel([model]).write().save(f"{path}/{i:05d}")
 
 
-def load(path: str, n_models: int) -> list:
-    return [PipelineModel.load(f"{path}/{i:05d}") for i in range(n_models)]
+def load_router(spark, path: str) -> tuple[list, list[str], list[str]]:
+    """(fitted models, feature names, candidate names) in their saved order."""
+    order = spark.read.parquet(f"{path}/order").orderBy("pos").collect()
+    names, models = ([r.name for r in order if r.kind == kind] for kind in ("feature", "model"))
+    return [PipelineModel.load(f"{path}/{i:05d}") for i in range(len(models))], names, models
 
 
 def indexed_vocabulary(vocab: DataFrame) -> tuple[DataFrame, int]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointsman.operators import features, linear, paired, routing, selective
+from pointsman.operators import features, linear, paired, routing, selective, trees
 from pointsman.operators.features import FeatureSet
 from pointsman.plans import experiments
 
@@ -225,3 +225,22 @@ def test_random_selector_moments_are_the_limit_of_its_draws(spark):
     for k, r in exact.items():
         assert drawn[k].score == pytest.approx(r.score, abs=4 * r.std / 20 + 1e-9)
         assert drawn[k]["std"] == pytest.approx(r["std"], rel=0.2, abs=1e-9)
+
+
+def test_tree_router_keeps_its_orders(spark, tmp_path):
+    rows = [(str(i), [i / 4, 1 - i / 4], [i / 4, 1 - i / 4]) for i in range(4)]
+    frame = spark.createDataFrame(rows, "sample_id string, x array<double>, score array<double>")
+    fitted = trees.fit_per_candidate(frame, ["zeta", "Alpha"], "gbt", max_iter=2, depth=2)
+    trees.save_router(spark, str(tmp_path / "router"), fitted, ["f2", "f1"], ["zeta", "Alpha"])
+    loaded, names, models = trees.load_router(spark, str(tmp_path / "router"))
+    assert (names, models) == (["f2", "f1"], ["zeta", "Alpha"])
+    one = frame.limit(1)
+    assert [len(r.pred) for r in trees.predict(one, loaded).collect()] == [2]
+    assert np.allclose(collected(trees.predict(frame, loaded)), collected(trees.predict(frame, fitted)))
+
+
+def test_best_elsewhere(spark, data):
+    frame, _, y = data
+    got = {r.domain: r.best for r in routing.best_elsewhere(frame, MODELS, "domain").collect()}
+    part = np.arange(len(y)) % 3
+    assert got == {f"m{k}": int(y[part != k].mean(0).argmax()) + 1 for k in range(3)}
