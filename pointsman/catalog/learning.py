@@ -15,7 +15,7 @@ from pointsman.functions import draws
 from pointsman.operators.features import BINARY_PROBES, SCORE_PROBES
 from pointsman.operators import cost, features, linear, metrics, routing, selective, splits, trees
 from pointsman.plans import experiments
-from pointsman.session import scratch_path
+from pointsman.session import join_checked, scratch_path
 from pointsman.streaming import route as live
 
 _LONG_PRED = F.posexplode
@@ -307,14 +307,23 @@ _SUITE_SPEC = "system s, n_seeds i, AvgAcc_mean 6, AvgAcc_std 6, GainR_mean 6, G
 
 @query("representation_ablation", _SUITE_SPEC)
 def representation_ablation(spark, sf):
-    """Six representations under three seeds, from one scan."""
+    """Six representations under five seeds, from one scan."""
     frame = pools.p_frame(spark, sf).persist()
     wide, systems = experiments.representation_systems(pools.p_features(frame), BACKEND)
-    rows, parts = experiments.with_partitions(features.join_features(frame, wide), (42, 999, 2024))
+    rows, parts = experiments.with_partitions(features.join_features(frame, wide), experiments.SEEDS)
     rows = rows.persist()
     return metrics.seed_summary(experiments.suite_metrics(frame, experiments.linear_suite(rows, MODELS, systems, parts), MODELS))
 
 
+@query("grouped_rerun", f"{_SUITE_SPEC}, n_ids i")
+def grouped_rerun(spark, sf):
+    """The linear systems of the grouped main protocol under five seeds, with the size of their common support."""
+    frame = pools.p_frame(spark, sf).persist()
+    table = experiments.grouped_rerun(frame, pools.p_features(frame), MODELS, BACKEND)
+    sizes = table["support"].groupBy("system").agg(F.sum("n_ids").alias("n_ids"))
+    return table["summary"].join(sizes, "system")
+
+
 _PROBES = [*BINARY_PROBES, *SCORE_PROBES]
 _SYSTEMS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(["all_probes", *[f"drop_{p}" for p in _PROBES]]))
 _LOPO_MASK = f"g % 100 = 0 OR list_position([{', '.join(repr(p) for p in _PROBES)}], regexp_extract(feature, '^sem_(.*?)__', 1)) <> g % 100"
@@ -531,13 +540,15 @@ def reproduce_all(spark, sf):
 
 @query("abstention_from_ood", "coverage 4, selector s, score 6, std 6")
 def abstention_from_ood(spark, sf):
-    """Abstention controls on leave-one-domain-out picks, against the domain's best single candidate elsewhere."""
+    """Abstention controls on leave-one-domain-out picks, against the candidate that is best outside the domain."""
     frame, _ = _mass_frame(spark, sf)
     frame = frame.persist()
     picks = experiments.ood(frame, MODELS, "domain").select("sample_id", F.col("selected_score").alias("router_score"))
-    rows = frame.select("sample_id", "domain", F.col("score")[0].alias("fallback_score")).join(picks, "sample_id")
+    safe = routing.best_elsewhere(frame, MODELS, "domain")
+    rows = join_checked(frame, safe, "domain").select("sample_id", "domain", F.element_at("score", F.col("best")).alias("fallback_score"))
+    rows = rows.join(picks, "sample_id")
     rows = rows.join(pools.entropy_table(frame), "sample_id")
-    return selective.abstention_macro(selective.abstention_controls(rows, random_repeats=10))
+    return selective.abstention_macro(selective.abstention_controls(rows))
 
 
 del np, cost

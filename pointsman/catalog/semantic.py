@@ -64,7 +64,7 @@ def parse_probabilities(spark, sf):
 
 def _weights_table(spark, sf):
     """Order lines of a part as a mass that need not sum to 1 and holds zeros."""
-    li = pools.table(spark, sf, "lineitem").where("l_linenumber <= 5")
+    li = pools.table(spark, sf, "lineitem")
     cells = li.groupBy("l_partkey", "l_linenumber").agg((F.sum(F.round(F.col("l_discount") * 100).cast("long")) % 9).alias("w"))
     return cells.groupBy(pools.text_id("l_partkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "w"))).alias("a")).select(
         "sample_id",
@@ -73,7 +73,7 @@ def _weights_table(spark, sf):
     )
 
 
-_W = """w AS (SELECT CAST(l_partkey AS VARCHAR) AS sample_id, l_linenumber AS k, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) % 9 AS DOUBLE) / 16 AS p FROM lineitem WHERE l_linenumber <= 5 GROUP BY l_partkey, l_linenumber)"""
+_W = """w AS (SELECT CAST(l_partkey AS VARCHAR) AS sample_id, l_linenumber AS k, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) % 9 AS DOUBLE) / 16 AS p FROM lineitem GROUP BY l_partkey, l_linenumber)"""
 
 
 @query(
@@ -125,9 +125,9 @@ def sanitize_label(spark, sf):
     return pools.table(spark, sf, "part").select(label).distinct().select("label", text.sanitize_label(F.col("label")).alias("clean"))
 
 
-@query("probe_of_column", "sample_id s, feature s, probe s", "SELECT sample_id, feature, probe FROM pf WHERE stat <> 'p'")
+@query("probe_of_column", "sample_id s, feature s, probe s", "SELECT sample_id, feature, probe FROM pf")
 def probe_of_column(spark, sf):
-    rows = pools.p_features(pools.p_samples(spark, sf)).long().where(~F.col("feature").contains("__p__"))
+    rows = pools.p_features(pools.p_samples(spark, sf)).long()
     return rows.select("sample_id", "feature", text.probe_of(F.col("feature")).alias("probe"))
 
 

@@ -433,12 +433,12 @@ def join_paired_predictions(spark, sf):
 @query(
     "join_features_ordered",
     "sample_id s, feature s, value 8",
-    "SELECT sample_id, feature, value FROM pm JOIN ps USING (sample_id) WHERE key % 2 = 0",
+    "SELECT sample_id, feature, value FROM pm JOIN ps USING (sample_id)",
 )
 def join_features_ordered(spark, sf):
     samples = pools.p_samples(spark, sf)
     fs = pools.p_mass(samples)
-    ids = samples.where("key % 2 = 0").select("sample_id")
+    ids = samples.select("sample_id")
     return features.FeatureSet(features.join_features(ids, fs), fs.names).long()
 
 

@@ -461,6 +461,41 @@ def main_table(frame: DataFrame, predictions: DataFrame, models: list[str], firs
     }
 
 
+def grouped_rerun(
+    frame: DataFrame,
+    fs: FeatureSet,
+    models: list[str],
+    backend: str,
+    seeds=SEEDS,
+    others: dict[str, tuple[DataFrame, dict]] | None = None,
+) -> dict[str, DataFrame]:
+    """The main grouped protocol: six representations and the task family alone under every seed, to the main table.
+
+    `frame` has the samples with their score array, `fs` all features. All linear systems and
+    seeds are solved from one scan. `others` maps a further learner to its frame (texts or
+    embeddings, same samples) and settings; it is fitted once per seed on the same splits.
+    A system that does not cover the support of the others fails the job.
+    """
+    wide, systems = representation_systems(fs, backend)
+    family = fs.take(features.feature_set_names(fs.names, "domain_only", backend))
+    systems["domain_only"] = list(range(len(wide.names), len(wide.names) + len(family.names)))
+    wide = FeatureSet(
+        wide.df.join(family.df.withColumnRenamed("x", "_d"), "sample_id").select("sample_id", F.concat("x", "_d").alias("x")),
+        [*wide.names, *family.names],
+    )
+    labelled, parts = with_partitions(frame, seeds)
+    labelled = labelled.persist()
+    picks = linear_suite(features.join_features(labelled, wide), models, systems, parts)
+    for learner, (own, params) in (others or {}).items():
+        split = labelled.select("sample_id", *parts.values())
+        more = learner_suite(own.join(split, "sample_id").persist(), models, parts, {learner: params})
+        picks = picks.unionByName(more)
+    out = main_table(frame, picks.persist(), models, "probability_mass")
+    if not out["n_mismatches"].isEmpty():
+        raise ValueError("systems do not cover the same samples; see the mismatches of main_table")
+    return out
+
+
 def ood_suite(
     frames: dict[str, tuple[DataFrame, str, dict]], models: list[str], protocols: tuple[str, ...] = ("dataset", "domain")
 ) -> DataFrame:
