@@ -16,7 +16,8 @@ are copies of each other; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,25 @@ SETTINGS = {
     # Many small stores: without files allotted in advance.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Texts that are no hits leave by a Bloom filter of the hits' digests (8 MB at most) before texts are shuffled, at any size.
+FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for the jobs of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def located(docs: DataFrame, *columns: str) -> tuple[DataFrame, str, str]:
@@ -53,17 +73,11 @@ def located(docs: DataFrame, *columns: str) -> tuple[DataFrame, str, str]:
 def retained(spark: SparkSession, log_dir: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """Streams the log in `log_dir` into the state, as many micro-batches as it has files; the state as a table."""
     at = scratch_path(spark, "exact-state")
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, SETTINGS):
         log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
         state = log.groupBy("digest").agg(F.max(F.struct("doc_id", "_file", "_row")).alias("keep"), F.count("*").alias("n"))
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()
         run.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     held = spark.read.format("statestore").load(at)
     keep, n = held.schema["value"].dataType.names
     return held.select(F.col("key.digest").alias("digest"), F.col(f"value.{keep}").alias("keep"), F.col(f"value.{n}").alias("n"))
@@ -96,7 +110,8 @@ def exact_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
         texts.join(F.broadcast(hot), "digest", "left_anti").join(some, "digest", "left_semi")
     )
     per_text = hits.groupBy("digest", "whole").agg(F.count("*").alias("n"))
-    clashes = written(per_text.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "exact-clashes")
+    with settings(spark, FILTER):
+        clashes = written(per_text.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "exact-clashes")
     spread = F.xxhash64("_file", "_row")
     if clashes.isEmpty():
         out = attach(log, state, "digest", "n", total, spread)
