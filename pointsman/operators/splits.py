@@ -43,6 +43,51 @@ def id_split(samples: DataFrame, train_ratio: float = 0.7, seed: int = 3407, gro
     )
 
 
+def _keyed_cutoffs(samples: DataFrame, seeds: list[int], takes_part: list[Column], grouped: bool, ranks) -> DataFrame:
+    """Add `_hs` (a shuffling hash per seed, null where the row takes no part) and `_cuts` (cut values per seed).
+
+    All seeds are keys of one cutoff pass, so the input is read for it once however many there are.
+    """
+    unit = text.leakage_group(F.col("dataset"), F.col("query")) if grouped else F.col("sample_id")
+    marked = samples.withColumn("_hs", F.array(*[F.when(t, draws.hash_text(s, unit)) for s, t in zip(seeds, takes_part, strict=True)]))
+    units = marked.select("dataset", F.posexplode("_hs").alias("_k", "_h")).where("_h is not null")
+    if grouped:
+        units = units.distinct()
+    cuts = stratum_cutoffs(units, ["_k", "dataset"], "_h", ranks)
+    per_dataset = cuts.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("_k", "cuts"))).alias("_cuts"))
+    return join_checked(marked, per_dataset, "dataset")
+
+
+def id_splits(samples: DataFrame, seeds: list[int], train_ratio: float = 0.7, grouped: bool = False) -> tuple[DataFrame, dict[int, str]]:
+    """Add the labels of `id_split` under every seed, and return which column holds which."""
+    if not 0 < train_ratio < 1:
+        raise ValueError("train_ratio must be in (0, 1)")
+    cut = _keyed_cutoffs(samples, seeds, [F.lit(True)] * len(seeds), grouped, lambda n: F.array(numeric.clamped_share(n, train_ratio)))
+    names = {s: f"partition_{s}" for s in seeds}
+    train = [F.col("_hs")[i] <= F.element_at("_cuts", F.lit(i))[0] for i in range(len(seeds))]
+    labels = {names[s]: F.when(t, "train").otherwise("test") for s, t in zip(seeds, train, strict=True)}
+    return cut.withColumns(labels).drop("_hs", "_cuts"), names
+
+
+def nested_folds(
+    samples: DataFrame, outer: str, outer_folds: int, inner_folds: int, seeds: list[int], grouped: bool = False, out: str = "inner"
+) -> DataFrame:
+    """Add `inner`, an array with the fold of the row inside the training set of each outer fold, -1 where it is held out.
+
+    Folds are those of `stratified_folds` over the rows outside that outer fold, with its own seed.
+    """
+    if inner_folds < 2:
+        raise ValueError("inner_folds must be >= 2")
+    trains = [F.col(outer) != o for o in range(outer_folds)]
+    cut = _keyed_cutoffs(samples, seeds, trains, grouped, lambda n: _fold_ends(n, inner_folds))
+
+    def fold(o: int) -> Column:
+        passed = F.filter(F.element_at("_cuts", F.lit(o)), lambda c: F.col("_hs")[o] > c)
+        return F.when(trains[o], F.size(passed)).otherwise(-1).cast("int")
+
+    return cut.withColumn(out, F.array(*[fold(o) for o in range(outer_folds)])).drop("_hs", "_cuts")
+
+
 def holdout_split(samples: DataFrame, column: str, holdout: str) -> DataFrame:
     """Rows of one dataset or domain (any case) are test, all others train."""
     test = F.lower(F.col(column)) == F.lit(holdout.lower())

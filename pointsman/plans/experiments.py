@@ -135,11 +135,7 @@ def linear_suite(
 
 def with_partitions(frame: DataFrame, seeds, train_ratio: float = 0.7, grouped: bool = True) -> tuple[DataFrame, dict[int, str]]:
     """Add one split column per seed."""
-    names = {}
-    for s in seeds:
-        names[s] = f"partition_{s}"
-        frame = splits.id_split(frame, train_ratio, s, grouped).withColumnRenamed("partition", names[s])
-    return frame, names
+    return splits.id_splits(frame, list(seeds), train_ratio, grouped)
 
 
 def representation_systems(fs: FeatureSet, backend: str, modes=features.MODES) -> tuple[FeatureSet, dict[str, list[int]]]:
@@ -214,16 +210,10 @@ def nested_probe_selection(
     if not 1 <= keep < len(probes):
         raise ValueError(f"keep must be between 1 and {len(probes) - 1}")
     rows = splits.stratified_folds(frame, outer_folds, seed, grouped, "_outer")
-    inner = []
-    for o in range(outer_folds):
-        train = rows.where(F.col("_outer") != o)
-        labelled = splits.stratified_folds(train, inner_folds, seed + (o + 1) * INNER_FOLD_SEED_STEP, grouped, f"_inner{o}")
-        inner.append(f"_inner{o}")
-        rest = rows.where(F.col("_outer") == o).withColumn(f"_inner{o}", F.lit(-1))
-        rows = labelled.unionByName(rest)
-    rows = written(rows, "nested-folds")
-    cell = [F.when(F.col(c) >= 0, F.col(c) + o * inner_folds) for o, c in enumerate(inner)]
-    rows = rows.withColumn("_cells", F.array_compact(F.array(*cell)))
+    seeds = [seed + (o + 1) * INNER_FOLD_SEED_STEP for o in range(outer_folds)]
+    rows = written(splits.nested_folds(rows, "_outer", outer_folds, inner_folds, seeds, grouped, "_inner"), "nested-folds")
+    cell = F.transform("_inner", lambda g, o: F.when(g >= 0, g + o * inner_folds))
+    rows = rows.withColumn("_cells", F.array_compact(cell))
     mo = linear.moments(rows, "x", "score", "_cells")
     systems = probe_systems(names, backend)
     pairs = [(o, s) for o in range(outer_folds) for s in systems]
@@ -234,7 +224,7 @@ def nested_probe_selection(
     coefs = np.array(
         [[linear.fit(mo, alpha, include=block(o, g), keep=systems[s]) for g in range(inner_folds)] for o, s in pairs]
     )
-    chosen = linear.picks(rows, "x", coefs, [F.col(inner[o]) for o, _ in pairs])
+    chosen = linear.picks(rows, "x", coefs, [F.col("_inner")[o] for o, _ in pairs])
     tags = F.array(*[F.struct(F.lit(o).alias("outer_fold"), F.lit(s).alias("system")) for o, s in pairs])
     each = chosen.select("dataset", "score", F.explode(F.arrays_zip(tags.alias("tag"), F.col("slots").alias("slot"))).alias("p")).where(
         "p.slot is not null"

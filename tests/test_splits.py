@@ -62,6 +62,27 @@ def test_holdout_labels_match_single_splits(spark):
         assert odd.count() == 0
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_many_seeds_equal_single_splits(spark, grouped):
+    got, names = splits.id_splits(skewed(spark), [1, 42, 3407], 0.7, grouped)
+    for seed, column in names.items():
+        want = splits.id_split(skewed(spark), 0.7, seed, grouped).select("sample_id", "partition")
+        both = got.join(want, "sample_id")
+        assert both.count() == 3000 and both.where(F.col(column) != F.col("partition")).count() == 0
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_nested_folds_equal_folds_of_each_training_set(spark, grouped):
+    rows = splits.stratified_folds(skewed(spark), 3, 5, grouped, "outer").persist()
+    seeds = [11, 12, 13]
+    got = splits.nested_folds(rows, "outer", 3, 2, seeds, grouped)
+    assert got.count() == 3000
+    for o, seed in enumerate(seeds):
+        want = splits.stratified_folds(rows.where(F.col("outer") != o), 2, seed, grouped).select("sample_id", "fold")
+        both = got.join(want, "sample_id", "left")
+        assert both.where(~F.col("inner")[o].eqNullSafe(F.coalesce("fold", F.lit(-1)))).count() == 0
+
+
 def test_unknown_holdout(spark):
     with pytest.raises(ValueError):
         splits.holdout_split(skewed(spark, 10), "dataset", "none")
