@@ -32,18 +32,22 @@ def sink_jsonl(df: DataFrame, path: str) -> None:
 
 
 def scan_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision rows with `_file` and `_block`, their place in the input, for last-wins."""
+    """Decision rows with `_file`, `_block` and `_line`, their place in the input, for last-wins.
+
+    `_line` grows inside a block only; blocks of a file may be read by tasks in any order.
+    """
     rows = scan_jsonl(spark, path, schemas.DECISION)
     return rows.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
     ).where("sample_id is not null")
 
 
 def last_decisions(rows: DataFrame) -> DataFrame:
-    """The last row per sample: by file name, then by place in the file."""
+    """The last row per sample: by file name, block, then place in the block."""
     from pointsman.operators.features import latest_decisions
 
-    return latest_decisions(rows, [F.col("_file"), F.col("_line")]).drop("_file", "_line")
+    return latest_decisions(rows, [F.col("_file"), F.col("_block"), F.col("_line")]).drop("_file", "_block", "_line")
 
 
 def scan_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -87,11 +91,12 @@ def scan_runs(spark: SparkSession, path: str, experiment: str | None = None) ->
 
 
 def unique_predictions(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The rows as they are; a repeated sample id fails the job."""
-    counts = runs.groupBy(*keys, "sample_id").agg(F.count("*").alias("_n"))
-    fail = F.raise_error(F.concat(F.lit("duplicate prediction for sample "), F.col("sample_id")))
-    joined = runs.join(counts, [*keys, "sample_id"])
-    return joined.withColumn("sample_id", F.when(F.col("_n") > 1, fail).otherwise(F.col("sample_id"))).drop("_n")
+    """The rows as they are; a repeated sample id (a null one too) fails the job. One aggregation, the input is read once."""
+    group = [*keys, "sample_id"]
+    rest = [F.first(c).alias(c) for c in runs.columns if c not in group]
+    rows = runs.groupBy(*group).agg(F.count("*").alias("_n"), *rest)
+    fail = F.raise_error(F.concat(F.lit("duplicate prediction for sample "), F.coalesce(F.col("sample_id").cast("string"), F.lit("null"))))
+    return rows.withColumn("sample_id", F.when(F.col("_n") > 1, fail).otherwise(F.col("sample_id"))).select(*runs.columns)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

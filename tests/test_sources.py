@@ -84,6 +84,25 @@ def test_last_decision_wins(spark, tmp_path):
     assert [r.answers["p"].noul for r in rows] == [0.9]
 
 
+def test_last_decision_wins_over_blocks_of_a_file(spark, tmp_path):
+    line = '{{"sample_id": "a", "answers": {{"p": {{"type": "noul", "noul": {}}}}}}}\n'
+    (tmp_path / "d.jsonl").write_text("".join(line.format(i / 1000) for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        scanned = tables.scan_decisions(spark, str(tmp_path))
+        assert scanned.select("_block").distinct().count() > 1
+        rows = tables.last_decisions(scanned).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.answers["p"].noul for r in rows] == [0.399]
+
+
+def test_unique_predictions_stay_as_they_are(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, None), (2, "a", None, "m"), (1, None, 3.0, "n")], "seed int, sample_id string, v double, w string")
+    got = tables.unique_predictions(rows, ("seed",))
+    assert got.columns == rows.columns and sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+
+
 def test_duplicate_prediction_fails(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "sample_id string, selected_score double")
     with pytest.raises(Exception, match="duplicate prediction"):
