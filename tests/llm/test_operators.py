@@ -221,6 +221,43 @@ def test_bm25_scores():
         assert np.allclose(index.scores(q), want)
 
 
+@pytest.mark.parametrize("block", [1000, 40])
+def test_neighbours_are_those_of_brute_force(spark, block):
+    """Recall of the top ten over all rests is 1, in one block and in several."""
+    rng = np.random.default_rng(6)
+    rests = [rng.zipf(1.3, rng.integers(5, 60)) % 200 for _ in range(150)]
+    df = np.bincount(np.concatenate([np.unique(r) for r in rests]), minlength=200)
+    idf, mean = np.maximum(0, np.log((150 - df + 0.5) / (df + 0.5))), 30.0
+    tokens = spark.createDataFrame([(i, i, r.astype("<u4").tobytes()) for i, r in enumerate(rests)], "i long, draw long, rest binary")
+    pool = packing.bags_of(tokens, idf)
+    asked = pool.select(F.col("i").alias("w"), F.col("i").alias("q"), "terms")
+    got = defaultdict(list)
+    for r in packing.neighbours(asked, pool, idf, mean, 150, nearest=10, block=block).collect():
+        got[r.w].append(r.j)
+    index = packing.Index(rests, idf, mean)
+    for q in range(150):
+        s = index.scores(q)
+        s[q] = 0
+        best = np.sort(s)[::-1][:10]
+        assert np.allclose(np.sort(s[got[q]])[::-1], best[best > 0])
+
+
+def test_packing_brings_neighbours_together_from_everywhere(spark):
+    """Nearly as many pairs of rests with words of their own share a window as when one index holds all; shards of 20 by chance: few."""
+    rng = random.Random(12)
+    words = [" " + "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    data = [(i, "".join(rng.choice(words[(i % 300) * 10 : (i % 300) * 10 + 10]) for _ in range(12))) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+
+    def together(shard_docs):
+        at = defaultdict(set)
+        for r in packing.pack(docs, tokenizer_path(), window=128, shard_docs=shard_docs).collect():
+            at[r.doc_id].add(r.sequence_id)
+        return sum(bool(at[i] & at[i + 300]) for i in range(300))
+
+    assert together(60) >= 0.9 * together(1000) > 100
+
+
 def test_both_tokenizer_libraries_agree():
     tokens = packing._Tokens(tokenizer_path())
     assert tokens.quick is not None
