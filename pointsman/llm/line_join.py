@@ -8,8 +8,12 @@ lines are compared by a banded bit-parallel automaton. Links are counted once, a
 shared hash, and a bucket returns its links' spanning forest only. A bucket with many lines is cut
 into tiles, pairs of blocks of its lines, so one task holds two blocks at most.
 
+Segments need a byte each: lines of at most 2 * threshold bytes, which can be linked to one without, also
+meet by every string that up to `threshold` deletions leave of them (two lines within that many edits
+have one in common).
+
 A line is dropped when an equal or linked line (in the same class) stands earlier by doc_id and place.
-Lines under `shortest` bytes are classed with equal ones only, as a few edits make any two alike.
+Lines under `shortest` bytes are classed with equal ones only; at 0 no link is left out.
 
 Defined cases: a null text has no lines, an empty one has one empty line; blank lines are never
 dropped; ties of doc_id are broken by the text's hash, and rows equal in both count as one;
@@ -59,8 +63,17 @@ def places(length: int, threshold: int) -> list[tuple[int, int, int, int, bool]]
     return out
 
 
+def variants(line: bytes, threshold: int) -> set[bytes]:
+    """What up to `threshold` deletions leave of a line."""
+    out = last = {line}
+    for _ in range(threshold):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
 def signatures(lines: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, line, own) of all looked-up substrings of all lines."""
+    """(hash, line, own) of all looked-up substrings of all lines, and of the variants of short ones."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     flat = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64) + np.uint64(1)
     power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(flat), _BASE)]))
@@ -73,7 +86,8 @@ def signatures(lines: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarr
     for group in np.split(order, cuts):
         if not len(group):
             continue
-        spec = np.array(places(int(sizes[group[0]]), threshold), np.int64)
+        # Lines shorter than the segments are many meet by variants only.
+        spec = np.array([p for p in places(int(sizes[group[0]]), threshold) if p[0] > threshold], np.int64).reshape(-1, 5)
         start = begin[group][:, None] + spec[None, :, 2]
         value = (sums[start + spec[None, :, 3]] - sums[start]) * inverse[start]
         label = ((spec[:, 0] * 8 + spec[:, 1]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
@@ -81,6 +95,11 @@ def signatures(lines: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarr
         keys.append((value ^ (value >> np.uint64(31))).ravel())
         which.append(np.repeat(group, len(spec)))
         own.append(np.tile(spec[:, 4].astype(bool), len(group)))
+    short = [(line_id(v + b"\0variant") % (1 << 64), k) for k in np.nonzero(sizes <= 2 * threshold)[0].tolist() for v in variants(lines[k], threshold)]
+    if short:
+        keys.append(np.array([v for v, _ in short], np.uint64))
+        which.append(np.array([k for _, k in short], np.int64))
+        own.append(np.ones(len(short), bool))
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
     return tuple(np.concatenate(x) for x in (keys, which, own)) if keys else empty
 

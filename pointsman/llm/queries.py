@@ -44,8 +44,8 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents within two edits of an earlier line are dropped."""
-    return line_join.without_near_lines(table(spark, sf_dir, "documents"), threshold=2)
+    """Lines of all documents, of any length, within two edits of an earlier line are dropped."""
+    return line_join.without_near_lines(table(spark, sf_dir, "documents"), threshold=2, shortest=0)
 
 
 def tokenizer_path() -> str:

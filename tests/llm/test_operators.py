@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pointsman.llm import exact_stream, language, line_join, packing, sharding, simhash_trie, suffix_runs, surrogates, toxicity, winnowing
+from pointsman.llm import exact_stream, language, line_join, packing, queries, sharding, simhash_trie, suffix_runs, surrogates, toxicity, winnowing
 from pointsman.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, row int, n long"
@@ -176,6 +176,32 @@ def test_line_join(docs, rows):
     assert {k: v for k, v in tiles.items() if v} == {line_join.line_id(k): v for k, v in links.items() if v}
 
 
+def test_short_lines_are_joined(spark, monkeypatch):
+    """The query links lines of any length; compared with every pair."""
+    rng = random.Random(21)
+    short = {"".join(rng.choice("abé") for _ in range(rng.randint(0, 7))) for _ in range(60)}
+    short |= {"Titionly.", "Titionea.", "elevenbytes", "elevenbytesXX", "", "x", "q\r"}
+    data = [(i, "\n".join(rng.sample(sorted(short), 5))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = {r.doc_id: r for r in queries.op4_line_join(spark, "").collect()}
+    every = sorted({x.encode() for _, t in data for x in t.split("\n")})
+    near = {(a, b) for a in every for b in every if a != b and line_join.within(a, b, 2)}
+    links = {a: sum((a, b) in near for b in every) for a in every}
+    group = {a: a for a in every}
+    for _ in every:
+        group = {a: min([group[a], *(group[b] for b in every if (a, b) in near)]) for a in every}
+    seen = set()
+    for i, t in data:
+        lines = t.split("\n")
+        assert got[i].n_links == sum(links[x.encode()] for x in lines)
+        kept = [k for k, x in enumerate(lines) if not x.strip() or (group[x.encode()] not in seen and not seen.add(group[x.encode()]))]
+        blanks = {group[x.encode()] for x in lines if not x.strip()}
+        if not blanks:
+            assert list(got[i].kept) == kept
+        seen |= {group[x.encode()] for x in lines}
+
+
 def test_within_edits():
     rng = random.Random(1)
     for _ in range(300):
