@@ -3,13 +3,15 @@
 Entities (mail addresses, network addresses, card and phone numbers, access keys, hexadecimal
 tokens, titled person names) are found by one pattern; the text is cut at its matches, which are
 replaced and joined again. An entity's canonical form (lower case, digits only, ...) is replaced by
-a form drawn from a keyed hash: digits by digits, letters by letters of the same script and case,
+a form drawn from a keyed hash: digits by digits, letters by letters of the same script and case
+(Latin, with marks or without, Cyrillic, Greek, Armenian; letters of other scripts by Latin ones),
 network addresses by addresses, card numbers by numbers with a valid check digit, names by names
 of the gender of the title and of the same script. So equal entities get equal surrogates, in
 whatever notation they stand.
 
 Surrogates are checked over the whole table: one that two entities of a kind share, or that is itself an
-entity of the table, is drawn anew for all but the smallest, until all are distinct.
+entity of the table, is drawn anew for all but the smallest, until all are distinct. Forms with too few
+different surrogates, or with no character to replace, get one more letter at every eighth attempt.
 
 Defined cases: null texts stay null and have no entities; repeated rows get equal results; an empty
 table gives an empty result; other columns are not read.
@@ -29,6 +31,10 @@ GIVEN = {
     ("m", "latin"): "Adam Alan Carl Daniel David Edward Felix George Henry Ivan Jacob Karl Leon Martin Nils Oscar Paul Robert Simon Thomas Victor Walter".split(),
     ("f", "latin"): "Alice Anna Bella Clara Diana Elena Emma Flora Grace Helen Irene Julia Karen Laura Maria Nora Olivia Paula Rosa Sarah Teresa Vera".split(),
     ("m", "cyrillic"): "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Степан".split(),
+    ("m", "greek"): "Αλέξανδρος Ανδρέας Γιώργος Δημήτρης Θωμάς Κώστας Μάρκος Νίκος Πέτρος Σπύρος Χρήστος".split(),
+    ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("m", "armenian"): "Արամ Արմեն Գագիկ Դավիթ Կարեն Հայկ Սարգիս Տիգրան".split(),
+    ("f", "armenian"): "Աննա Արփի Գայանե Լիլիթ Մարիամ Նարե Սոնա Շուշան".split(),
     ("f", "cyrillic"): "Алина Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Полина Софья".split(),
 }
 PATTERNS = {
@@ -64,14 +70,22 @@ def _pick(names: list[str], draw: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(draw, F.lit(len(names))) + 1).cast("int"))
 
 
+#: Lower-case letters of scripts beside a-z and the Russian letters, by the script's class in regular expressions.
+LETTERS = {
+    "Latin": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "Cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ",
+}
+
+
 def _alphabet(c: Column, draw: Column) -> Column:
-    """A character of the same class: digit, Latin or Cyrillic letter of the same case; others stay."""
+    """A character of the same class: digit, or letter of the same script and case; letters of other scripts become Latin, other characters stay."""
     at = lambda first, n: F.char(F.lit(first) + F.pmod(draw, F.lit(n)))
-    cyrillic = F.substring(F.lit("абвгдежзиклмнопрстуфхцчшщэюя"), (F.pmod(draw, F.lit(28)) + 1).cast("int"), F.lit(1))
-    return (
-        F.when(c.rlike("[0-9]"), at(48, 10)).when(c.rlike("[a-z]"), at(97, 26)).when(c.rlike("[A-Z]"), at(65, 26))
-        .when(c.rlike("[а-яё]"), cyrillic).when(c.rlike("[А-ЯЁ]"), F.upper(cyrillic)).otherwise(c)
-    )
+    out = F.when(c.rlike("[0-9]"), at(48, 10)).when(c.rlike("[a-z]"), at(97, 26)).when(c.rlike("[A-Z]"), at(65, 26))
+    for script, letters in LETTERS.items():
+        one = F.substring(F.lit(letters), (F.pmod(draw, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+        mine = c.rlike(rf"\p{{Is{script}}}")
+        out = out.when(mine & c.rlike(r"\p{Lu}"), F.upper(one)).when(mine & c.rlike(r"\p{L}"), one)
+    return out.when(c.rlike(r"\p{Lu}"), at(65, 26)).when(c.rlike(r"\p{L}"), at(97, 26)).otherwise(c)
 
 
 def _letters(value: Column, seed: Column, keep: Column) -> Column:
@@ -105,21 +119,27 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     number = F.concat(F.substring(canon, 1, 1), F.substring(fresh, F.lit(2), F.length(canon)))
     title = F.regexp_extract(canon, r"^(\S+) ", 1)
     words = F.split(F.regexp_extract(canon, r"^\S+ (.*)$", 1), " ")
-    script = F.when(F.element_at(words, -1).rlike("[а-яё]"), "cyrillic").otherwise("latin")
+    script = F.lit("latin")
+    for other in ("Cyrillic", "Greek", "Armenian"):
+        script = F.when(F.element_at(words, -1).rlike(rf"\p{{Is{other}}}"), other.lower()).otherwise(script)
     woman = F.regexp_replace(title, r"\.$", "").isin(*TITLES["f"])
     given = F.lit(None).cast("string")
     for (g, s), names in GIVEN.items():
         given = F.when((woman == F.lit(g == "f")) & (script == s), _pick(names, draw(9))).otherwise(given)
     last = F.element_at(words, -1)
     # The family name depends on the name itself and the attempt only, so that "Mr A B" and "Mr B" agree while neither clashes.
-    family = _letters(last, F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("family"), last, attempt.cast("string")), 256), none)
+    drawn = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("family"), last, attempt.cast("string")), 256)
+    # Every eighth attempt adds a letter, so that there are enough forms in the end.
+    more = F.floor(attempt / 8).cast("int")
+    family = F.concat(_letters(last, drawn, none), _letters(F.repeat(F.substring(last, -1, 1), more), F.sha2(drawn, 256), none))
+    added = _letters(F.repeat(F.lit("x"), more), F.sha2(seed, 256), none)
     name = F.when(F.size(words) > 1, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
     akia = F.concat(F.lit("AKIA"), _letters(F.substring(canon, F.lit(5), F.length(canon)), seed, none))
     # Hexadecimal digits stay hexadecimal, so that a token's surrogate is a token.
     hexed = F.substring(F.concat(F.sha2(F.concat(seed, F.lit("0")), 256), seed), F.lit(1), F.length(canon))
     return (
-        F.when(kind == "mail", mail).when(kind == "address", address).when(kind == "card", _luhn(number)).when(kind == "phone", number)
-        .when(kind == "name", name).when(kind == "key", akia).when(kind == "token", hexed).otherwise(fresh)
+        F.when(kind == "mail", F.concat(added, mail)).when(kind == "address", address).when(kind == "card", _luhn(number)).when(kind == "phone", number)
+        .when(kind == "name", name).when(kind == "key", akia).when(kind == "token", hexed).otherwise(F.concat(fresh, added))
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -361,6 +362,23 @@ def test_surrogates(spark):
     assert (got[3].text, got[4].text, got[5].text) == (None, "", "nothing here")
 
 
+def test_surrogates_of_other_scripts(spark):
+    """No name stays in clear, its script stays; what has no character to replace gets one."""
+    data = [
+        (1, "Mrs Ελένη Παπαδοπούλου"), (2, "Mr Παπαδόπουλος"), (3, "Herr Müller"), (4, "Señora Núñez"), (5, "Mr Օհանյան"), (6, "_@-.com"), (7, "господин Їжакевич"), (8, "Mr Öß"),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.pseudonymized(docs, "k").collect()}
+    one = got[1].split()
+    assert one[1] in surrogates.GIVEN["f", "greek"] and one[2] != "Παπαδοπούλου"
+    for i, script in ((1, "GREEK"), (2, "GREEK"), (5, "ARMENIAN"), (7, "CYRILLIC"), (3, "LATIN"), (4, "LATIN"), (8, "LATIN")):
+        old, new = data[i - 1][1].split()[-1], got[i].split()[-1]
+        assert all(unicodedata.name(c).startswith(script) for c in new) and new[0].isupper() and new[1:].islower()
+        assert len(new) >= len(old) and new != old
+    assert sum(got[i].split()[-1][1] == c for i, c in ((3, "ü"), (4, "ú"), (8, "ß"))) < 3
+    assert got[6] != "_@-.com" and got[6].endswith(".com") and "_@-" in got[6]
+
+
 def test_surrogates_are_distinct(spark):
     """One-letter local parts have few surrogates, so that many clash at first."""
     docs = spark.range(26).select("id", F.concat(F.char(F.col("id") + 97), F.lit("@b.org")).alias("text")).withColumnRenamed("id", "doc_id")
