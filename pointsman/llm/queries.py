@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointsman.llm import (
-    exact_stream, language, line_join, packing, sharding, simhash_trie, suffix_runs, surrogates, toxicity, winnowing,
+    byte_bpe, exact_stream, language, line_join, packing, sharding, simhash_trie, suffix_runs, surrogates, toxicity, winnowing,
 )
 from pointsman.llm.common import table
 
@@ -123,3 +123,11 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at three differing bits or fewer."""
     out = simhash_trie.near_copies(table(spark, sf_dir, "documents"), shingle=3, budget=3)
     return out.select("doc_id", simhash_trie.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with a vocabulary for many languages and decoded again."""
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
