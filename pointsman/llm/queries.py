@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointsman.llm import (
-    byte_bpe, exact_stream, language, line_join, packing, sharding, simhash_trie, suffix_runs, surrogates, toxicity, winnowing,
+    byte_bpe, exact_stream, language, line_join, packing, prefix_trie, sharding, simhash_trie, suffix_runs, surrogates, toxicity, vector_codes, winnowing,
 )
 from pointsman.llm.common import table
 
@@ -125,9 +125,70 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_trie.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings in 16 parts of 64 entries, after two rounds."""
+    found = vector_codes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return vector_codes.with_label_error(found.rows).select(
+        "vec_id", vector_codes.hexadecimal(F.col("codes")).alias("code"), "error", "label_error",
+        F.sha2(F.lit(vector_codes.listed(found.codebooks)), 256).alias("codebooks_sha256"),
+    )
+
+
+_ROUND = """
+a{k} AS (SELECT r, p, any_value(x) AS x, min(d * 64 + e) AS best FROM
+         (SELECT r, part.p, part.x, e, list_sum(list_transform(range(1, len(part.x) + 1), lambda i: (part.x[i] - c.x[i]) * (part.x[i] - c.x[i])))::BIGINT AS d
+          FROM part JOIN c{k} c ON part.p = c.p) GROUP BY r, p),
+"""
+_MEANS = """
+c{n} AS (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN
+         (SELECT p, e, list(mean ORDER BY i) AS x FROM
+          (SELECT p, best % 64 AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS mean FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY p, best % 64, i)
+          GROUP BY p, e) m USING (p, e)),
+"""
+SQL["op11_vector_codes"] = (
+    """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS r
+              FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x FROM kept, range(16) t(p)),
+c0 AS (SELECT p, r - 1 AS e, x FROM part WHERE r <= 64),
+"""
+    + _ROUND.format(k=0) + _MEANS.format(k=0, n=1) + _ROUND.format(k=1) + _MEANS.format(k=1, n=2) + _ROUND.format(k=2)
+    + """
+coded AS (SELECT r, string_agg(lower(printf('%02x', best % 64)), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+)
+
+
 @_query
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with a vocabulary for many languages and decoded again."""
     import public_tokenizers
 
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the prefixes of all rebuilt conversations."""
+    out = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+SQL["op13_prefix_trie"] = """
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS t FROM turns GROUP BY c),
+checks AS (SELECT c, t, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT),
+           lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 9 AS h FROM own),
+seqs AS (SELECT a.c, CASE WHEN a.c % 5 = 0 THEN a.t ELSE coalesce(b.t, [])[1:a.h] || a.t[a.h + 1:] END AS s FROM checks a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+steps AS (SELECT c, d, s[1:d] AS p, d = len(s) AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT p, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS e,
+          CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].text) END AS saved FROM steps GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p, d)),
+totals AS (SELECT p[1:a] AS p, a AS d, count(*) FILTER (WHERE k = 0) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, n.k::BIGINT AS n_children, t.leaves AS n_leaves, t.saved::BIGINT AS saved_tokens, sha256(n.e) AS ends_sha256
+FROM full_nodes n JOIN totals t ON t.p = n.p AND t.d = n.d LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""
