@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pointsman.catalog import pools
 from pointsman.catalog.pools import BACKEND
 from pointsman.catalog.registry import query
-from pointsman.catalog.sql import MODELS, SEEDS, collapse, h
+from pointsman.catalog.sql import MODELS, collapse, h, mixed, unit
 from pointsman.operators import enrich, paired, routing
 from pointsman.plans import checks
-from pointsman.session import scratch_path
+from pointsman.session import scratch_path, summary
 
-BOOT, PERM, SEED = 100, 128, 3407
+#: The operators' own numbers of draws; a test of non-inferiority takes more.
+BOOT, PERM, BOUND, SEED = 5_000, 10_000, 10_000, 3407
 
 
 def _sides(spark, sf, seed=1):
@@ -37,7 +38,8 @@ def _units(grouped: bool, source: str = "pd") -> str:
 def _boot(grouped: bool, source: str = "pd", seed: int = SEED, n: int = BOOT, tag: str = "") -> str:
     return f"""un{tag} AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5(unit)) - 1 AS slot FROM ({_units(grouped, source)})),
       nn{tag} AS (SELECT dataset, count(*) AS n FROM un{tag} GROUP BY dataset),
-      dr{tag} AS (SELECT b.b AS replicate, dataset, {h(str(seed), 'b.b', 'dataset', 'i.i')} % n AS slot FROM nn{tag}, range(0, {n}) b(b), LATERAL (SELECT unnest(range(0, n)) AS i) i),
+      ky{tag} AS (SELECT b.b AS replicate, dataset, n, {h(str(seed), 'b.b', 'dataset')} AS key FROM nn{tag}, range(0, {n}) b(b)),
+      dr{tag} AS (SELECT replicate, dataset, {mixed('key', 'slot')} % n AS slot FROM ky{tag} JOIN un{tag} USING (dataset)),
       rep{tag} AS (SELECT replicate, avg(m) AS macro FROM (SELECT replicate, dataset, sum(total) / sum(size) AS m FROM dr{tag} JOIN un{tag} USING (dataset, slot) GROUP BY replicate, dataset) GROUP BY replicate),
       ci{tag} AS (SELECT quantile_cont(macro, 0.025) AS lo, quantile_cont(macro, 0.975) AS hi, quantile_cont(macro, 0.05) AS one FROM rep{tag})"""
 
@@ -87,11 +89,16 @@ for _g, _suffix in ((False, ""), (True, "_clustered")):
     query(f"paired_permutation_p{_suffix}", "n_extreme i, n_permutations i, p_value 10", f"WITH {_perm(_g)} SELECT * FROM pv")(_permutation(_g))
 
 
-@query("paired_bootstrap_counts", "n_replicates i, centred b, spread_ok b", f"SELECT 2000 AS n_replicates, true AS centred, true AS spread_ok")
+@query(
+    "paired_bootstrap_counts",
+    "n_replicates i, macro_diff 8, se 8, centred b, spread_ok b",
+    f"""WITH df AS ({_DIFF}), th AS (SELECT sqrt(sum(v)) / count(*) AS se FROM (SELECT var_pop(diff) / count(*) AS v FROM pd GROUP BY dataset))
+        SELECT {BOOT} AS n_replicates, macro_diff, se, true AS centred, true AS spread_ok FROM df, th""",
+)
 def paired_bootstrap_counts(spark, sf):
     """The multinomial way: its replicates centre on the difference with the deviation the sample implies."""
     frame = _frame(spark, sf)
-    reps = paired.bootstrap_replicates(paired.units(frame), 2000, SEED, draw="counts")
+    reps = paired.bootstrap_replicates(paired.units(frame), BOOT, SEED, draw="counts")
     per = frame.groupBy("dataset").agg((F.var_pop("diff") / F.count("*")).alias("v"))
     theory = per.agg((F.sqrt(F.sum("v")) / F.count("*")).alias("se"))
     seen = reps.agg(F.count("*").alias("n_replicates"), F.avg("macro").alias("m"), F.stddev_samp("macro").alias("s"))
@@ -124,32 +131,39 @@ def paired_prediction_test(spark, sf):
         lo * 100 > -2.5 AS noninferior_A_to_B, lo * 100 > -2.5 AND hi * 100 < 2.5 AS equivalent_within_margin, n_queries, n_datasets FROM df, ci""",
 )
 def paired_equivalence(spark, sf):
-    return paired.equivalence(paired.prediction_test(*_sides(spark, sf), n_bootstrap=BOOT, n_permutations=32, seed=SEED), 2.5)
+    return paired.equivalence(paired.prediction_test(*_sides(spark, sf), n_bootstrap=BOOT, n_permutations=PERM, seed=SEED), 2.5)
 
 
 @query(
     "paired_noninferiority",
     "macro_diff_pp 6, margin_pp 4, confidence 4, lower_one_sided_pp 6, bootstrap_ci_low_pp 6, bootstrap_ci_high_pp 6, noninferior_A_to_B b, n_queries i, n_datasets i, n_inference_clusters i",
-    f"""WITH {_boot(True)}, df AS ({_DIFF}) SELECT macro_diff * 100 AS macro_diff_pp, 1.5 AS margin_pp, 0.95 AS confidence, one * 100 AS lower_one_sided_pp, lo * 100 AS bootstrap_ci_low_pp, hi * 100 AS bootstrap_ci_high_pp,
+    f"""WITH {_boot(True, n=BOUND)}, df AS ({_DIFF}) SELECT macro_diff * 100 AS macro_diff_pp, 1.5 AS margin_pp, 0.95 AS confidence, one * 100 AS lower_one_sided_pp, lo * 100 AS bootstrap_ci_low_pp, hi * 100 AS bootstrap_ci_high_pp,
         one * 100 > -1.5 AS noninferior_A_to_B, n_queries, n_datasets, (SELECT count(*) FROM un) AS n_inference_clusters FROM df, ci""",
 )
 def paired_noninferiority(spark, sf):
-    return paired.noninferiority(*_sides(spark, sf), margin_pp=1.5, n_bootstrap=BOOT, seed=SEED, grouped=True)
+    return paired.noninferiority(*_sides(spark, sf), margin_pp=1.5, n_bootstrap=BOUND, seed=SEED, grouped=True)
+
+
+SUITE_SEEDS = (1, 2, 3, 4, 5)
 
 
 @query(
     "paired_seed_suite",
     "n_seeds i, macro_diff_pp_mean 6, macro_diff_pp_std 6, micro_diff_pp_mean 6, micro_diff_pp_std 6, positive_seeds i, negative_seeds i",
-    """WITH d AS (SELECT a.seed, a.dataset, avg(a.selected_score - b.selected_score) AS m, sum(a.selected_score - b.selected_score) AS t, count(*) AS n
-         FROM pk a JOIN pk b ON a.seed = b.seed AND a.sample_id = b.sample_id WHERE a.system = 'alpha' AND b.system = 'beta' GROUP BY ALL),
+    f"""WITH sd AS (SELECT seed, system FROM (VALUES {', '.join(f'({s})' for s in SUITE_SEEDS)}) a(seed), (VALUES ('alpha'), ('beta')) b(system)),
+       q AS (SELECT seed, system, sample_id, dataset, score, {unit('seed', 'system', 'sample_id', 'model')} AS q, model FROM po, sd),
+       k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, system, sample_id ORDER BY q DESC, model) AS rn FROM q) WHERE rn = 1),
+       d AS (SELECT a.seed, a.dataset, avg(a.score - b.score) AS m, sum(a.score - b.score) AS t, count(*) AS n
+         FROM k a JOIN k b ON a.seed = b.seed AND a.sample_id = b.sample_id WHERE a.system = 'alpha' AND b.system = 'beta' GROUP BY ALL),
        s AS (SELECT seed, avg(m) * 100 AS macro, sum(t) / sum(n) * 100 AS micro FROM d GROUP BY seed)
        SELECT count(*) AS n_seeds, avg(macro) AS macro_diff_pp_mean, coalesce(stddev_samp(macro), 0) AS macro_diff_pp_std, avg(micro) AS micro_diff_pp_mean,
          coalesce(stddev_samp(micro), 0) AS micro_diff_pp_std, count(*) FILTER (macro > 0) AS positive_seeds, count(*) FILTER (macro < 0) AS negative_seeds FROM s""",
 )
 def paired_seed_suite(spark, sf):
+    """A whole test per seed, all draws included; the suite reports what is not pooled."""
     rows = None
-    for s in SEEDS:
-        test = paired.prediction_test(*_sides(spark, sf, s), n_bootstrap=10, n_permutations=32, seed=SEED + s)
+    for s in SUITE_SEEDS:
+        test = summary(paired.prediction_test(*_sides(spark, sf, s), n_bootstrap=BOOT, n_permutations=PERM, seed=SEED + s))
         rows = test if rows is None else rows.unionByName(test)
     return paired.seed_suite(rows)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pointsman.catalog import pools
 from pointsman.catalog.registry import query
-from pointsman.catalog.sql import COST_SCALE, MODELS, N_MODELS, h, unit
+from pointsman.catalog.sql import COST_SCALE, MODELS, N_MODELS, SEEDS, SYSTEMS, h, unit
 from pointsman.functions import numeric, text
 from pointsman.operators import audits, cost, dedup, matrix, metrics, paired, routing, selective
 from pointsman.sources import tables
@@ -14,6 +14,14 @@ from pointsman.sources import tables
 METRIC_SPEC = "AvgAcc 6, GainR 6, GainB 6, GapO 6, BestSingleAvg 6, DatasetOracleAvg 6, OracleAvg 6, best_single_model s, n_datasets i, n_test i"
 
 
+def _slots(spark, sf):
+    """Rows with the picks of all runs side by side, the candidates, and the runs' names."""
+    rows = pools.p_frame(spark, sf)
+    picks = F.array(*[routing.first_best(pools.unit_array(s, n, F.col("sample_id"))) for s in SEEDS for n in SYSTEMS])
+    names = [(s, n) for s in SEEDS for n in SYSTEMS]
+    return rows.select("sample_id", "dataset", "score", picks.alias("slots")), MODELS, metrics.Runs(names, ("seed", "system"))
+
+
 def _picks(spark, sf):
     return routing.selected(pools.all_predictions(pools.p_frame(spark, sf)), MODELS)
 
@@ -202,7 +210,7 @@ def routing_metrics(spark, sf):
 @query("benchmark_metrics", f"seed i, system s, {METRIC_SPEC}", "SELECT * FROM bm")
 def benchmark_metrics(spark, sf):
     """Flagship: headline metrics of every run in one job."""
-    return metrics.benchmark_metrics(pools.p_frame(spark, sf), _picks(spark, sf), MODELS, ("seed", "system"))
+    return metrics.slot_metrics(*_slots(spark, sf))
 
 
 @query(
@@ -237,10 +245,10 @@ _SUMMARY = ", ".join(f"{m}_mean 6, {m}_std 6" for m in metrics.METRICS)
     f"system s, n_seeds i, {_SUMMARY}, best_single_model s",
     "SELECT system, count(*) AS n_seeds, "
     + ", ".join(f"avg({m}) AS {m}_mean, coalesce(stddev_samp({m}), 0) AS {m}_std" for m in metrics.METRICS)
-    + ", min(best_single_model) AS best_single_model FROM bm GROUP BY system",
+    + ", mode(best_single_model ORDER BY best_single_model) AS best_single_model FROM bm GROUP BY system",
 )
 def seed_summary(spark, sf):
-    runs = metrics.benchmark_metrics(pools.p_frame(spark, sf), _picks(spark, sf), MODELS, ("seed", "system"))
+    runs = metrics.slot_metrics(*_slots(spark, sf))
     return metrics.seed_summary(runs)
 
 
@@ -253,24 +261,28 @@ def seed_summary(spark, sf):
     ),
 )
 def baseline_summary(spark, sf):
-    runs = metrics.benchmark_metrics(pools.p_frame(spark, sf), _picks(spark, sf), MODELS, ("seed", "system"))
+    runs = metrics.slot_metrics(*_slots(spark, sf))
     return metrics.baseline_summary(runs.where("system = 'alpha'"))
 
 
 @query(
     "main_table",
-    f"system s, n_seeds i, {_SUMMARY}, best_single_model s, n_supports i, n_mismatches i",
-    "SELECT system, count(*) AS n_seeds, "
+    f"system s, n_seeds i, {_SUMMARY}, best_single_model s, n_ids i, digest_0 i, digest_1 i, n_mismatches i",
+    """WITH sup AS (SELECT seed, system, count(*) AS n, bit_xor(CAST('0x' || substr(md5(sample_id), 1, 8) AS BIGINT)) AS d0, bit_xor(CAST('0x' || substr(md5(sample_id), 9, 8) AS BIGINT)) AS d1 FROM pk GROUP BY ALL),
+       part AS (SELECT seed, sample_id FROM pk GROUP BY ALL HAVING count(DISTINCT system) < (SELECT count(DISTINCT system) FROM runs)),
+       sums AS (SELECT system, sum(n) AS n_ids, max(d0) AS digest_0, max(d1) AS digest_1, (SELECT count(*) FROM part) AS n_mismatches FROM sup GROUP BY system) """
+    + "SELECT system, count(*) AS n_seeds, "
     + ", ".join(f"avg({m}) AS {m}_mean, coalesce(stddev_samp({m}), 0) AS {m}_std" for m in metrics.METRICS)
-    + ", min(best_single_model) AS best_single_model, 1 AS n_supports, 0 AS n_mismatches FROM bm GROUP BY system",
+    + ", mode(best_single_model ORDER BY best_single_model) AS best_single_model, any_value(n_ids) AS n_ids, any_value(digest_0) AS digest_0, any_value(digest_1) AS digest_1,"
+    " any_value(n_mismatches) AS n_mismatches FROM bm JOIN sums USING (system) GROUP BY system",
 )
 def main_table(spark, sf):
     from pointsman.plans import experiments
 
-    t = experiments.main_table(pools.p_frame(spark, sf), _picks(spark, sf), MODELS, "alpha")
-    supports = t["support"].groupBy("system").agg(F.count_distinct("n_ids", "digest_0", "digest_1").alias("n_supports"))
-    odd = t["n_mismatches"].agg(F.coalesce(F.sum("n_mismatches"), F.lit(0)).alias("n_mismatches"))
-    return t["summary"].join(supports, "system").join(F.broadcast(odd))
+    rows, models, runs = _slots(spark, sf)
+    t = experiments.main_table(rows, models, runs, "alpha")
+    sums = t["support"].groupBy("system").agg(F.sum("n_ids").alias("n_ids"), F.max("digest_0").alias("digest_0"), F.max("digest_1").alias("digest_1"), F.sum("n_mismatches").alias("n_mismatches"))
+    return t["summary"].join(sums, "system")
 
 
 @query(
@@ -572,7 +584,8 @@ def route_or_abstain(spark, sf):
     )
 
 
-_REPEATS = 20
+#: The operator's own number of random draws.
+_REPEATS = 1000
 _ABSTAIN = f"""WITH {_ROUTE_SRC}, cv AS (SELECT * FROM (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) c(coverage)),
     kk AS (SELECT domain, coverage, CAST(round_even(n * coverage, 0) AS BIGINT) AS k FROM cv, (SELECT domain, count(*) AS n FROM src GROUP BY domain)),
     ranked AS (

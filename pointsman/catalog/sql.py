@@ -26,6 +26,15 @@ def unit(*parts: str) -> str:
     return f"(CAST({h(*parts)} AS DOUBLE) / 4294967296.0::DOUBLE)"
 
 
+def mixed(key: str, i: str) -> str:
+    """The counter draw below 2^31 of a 32-bit key."""
+    mask = (1 << 31) - 1
+    x = f"((({i}) * 2654435761 + ({key})) & {mask})"
+    x = f"((xor({x}, {x} >> 15) * 739982445) & {mask})"
+    x = f"((xor({x}, {x} >> 12) * 695872825) & {mask})"
+    return f"xor({x}, {x} >> 15)"
+
+
 def values(names) -> str:
     return ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pointsman.functions import numeric
 from pointsman.operators.routing import first_best, name_at
 
+#: Errors of predictions that cannot be compared.
+INCOMPLETE = "a predicted sample lacks the score of some candidate"
+UNEQUAL = "runs that should cover the same samples do not"
+
 METRICS = ("AvgAcc", "GainR", "GainB", "GapO", "BestSingleAvg", "DatasetOracleAvg", "OracleAvg")
 
 
@@ -116,7 +120,6 @@ def benchmark_metrics(
         frame.select("sample_id", "dataset", "score"), "sample_id", "left"
     )
     whole = F.count_if(F.col("score").isNull() | (F.size(F.filter("score", lambda v: v.isNotNull())) < n)) == 0
-    # A dataset is one row from here on, so the window sorts dataset counts, not samples.
     per_dataset = rows.groupBy(*keys, "dataset").agg(
         F.avg("selected_score").alias("router"),
         *_slot_means("score", n),
@@ -129,13 +132,18 @@ def benchmark_metrics(
         "router",
         "oracle",
         "n",
-        F.when(F.col("_whole"), _slots(n))
-        .otherwise(F.raise_error(F.lit("outcomes are not a complete sample/model matrix for the predictions")))
-        .alias("means"),
+        F.when(F.col("_whole"), _slots(n)).otherwise(F.raise_error(F.lit(INCOMPLETE))).alias("means"),
     )
+    return headline_metrics(checked, models, keys)
+
+
+def headline_metrics(per_dataset: DataFrame, models: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Macro metrics as percentages from one row per (keys, dataset): router, oracle, n and the candidates' means."""
+    n = len(models)
+    # A dataset is one row here, so the window sorts dataset counts, not samples.
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     macro = F.array(*[F.avg(F.col("means")[i]).over(over) for i in range(n)])
-    ready = checked.withColumn("_best", first_best(macro)).select(
+    ready = per_dataset.withColumn("_best", first_best(macro)).select(
         *keys,
         "router",
         "oracle",
@@ -163,6 +171,136 @@ def benchmark_metrics(
     )
 
 
+# ---- picks of many runs side by side: one slot per run in the row -----------------------------------
+
+
+class Runs:
+    """Names of the runs whose picks stand in the array `slots`, in order: (seed, system) pairs, say.
+
+    `support` lists the key values that share their samples (the seed of a run, say); a row has a
+    pick of all of them or of none.
+    """
+
+    def __init__(self, names: list[tuple], keys: tuple[str, ...], support: int = 1):
+        if len(set(names)) < len(names):
+            raise ValueError("runs must differ")
+        self.names, self.keys = list(names), keys
+        self.supports = list(dict.fromkeys(n[:support] for n in names))
+        self.group = [self.supports.index(n[:support]) for n in names]
+
+    def of(self, support: int) -> list[int]:
+        return [i for i, g in enumerate(self.group) if g == support]
+
+    def tags(self, which: list[int] | None = None) -> Column:
+        return F.array(
+            *[F.struct(*[F.lit(v).alias(k) for k, v in zip(self.keys, self.names[i], strict=True)]) for i in (which or range(len(self.names)))]
+        )
+
+
+def _covered(runs: Runs, support: int, every: bool) -> Column:
+    seen = [F.col("slots")[i].isNotNull() for i in runs.of(support)]
+    out = seen[0]
+    for c in seen[1:]:
+        out = out & c if every else out | c
+    return out
+
+
+def slot_sums(rows: DataFrame, models: list[str], runs: Runs) -> DataFrame:
+    """One row per (dataset, run), from one aggregation by dataset: router, means, oracle and n of the rows the run covers.
+
+    `rows` has dataset, the score array and `slots`, the pick (counted from 1, null for none) of every run. Means and
+    oracle are added up once per support. Rows that only some runs of a support cover, and incomplete rows, fail the job.
+    """
+    m, groups = len(models), range(len(runs.supports))
+    some = [_covered(runs, g, every=False) for g in groups]
+    full = F.size(F.filter("score", lambda v: v.isNotNull())) == m
+    aggs = [F.sum(F.element_at("score", F.col("slots")[i])).alias(f"_p{i}") for i in range(len(runs.names))]
+    for g in groups:
+        aggs += [F.sum(F.when(some[g], F.col("score")[j])).alias(f"_s{g}_{j}") for j in range(m)]
+        aggs += [
+            F.sum(F.when(some[g], F.array_max("score"))).alias(f"_o{g}"),
+            F.count_if(some[g]).alias(f"_n{g}"),
+            F.count_if(some[g] & ~_covered(runs, g, every=True)).alias(f"_partly{g}"),
+            F.count_if(some[g] & ~full).alias(f"_open{g}"),
+        ]
+    per = rows.groupBy("dataset").agg(*aggs)
+    # One row per dataset from here on.
+    mean = lambda c, g: F.when(F.col(f"_n{g}") > 0, F.col(c) / F.col(f"_n{g}"))
+    shared = [
+        F.struct(
+            F.col(f"_n{g}").alias("n"),
+            mean(f"_o{g}", g).alias("oracle"),
+            F.when(F.col(f"_partly{g}") > 0, F.raise_error(F.lit(UNEQUAL)))
+            .when(F.col(f"_open{g}") > 0, F.raise_error(F.lit(INCOMPLETE)))
+            .otherwise(F.array(*[mean(f"_s{g}_{j}", g) for j in range(m)]))
+            .alias("means"),
+        )
+        for g in groups
+    ]
+    tags = runs.tags()
+    each = [
+        F.struct(tags[i].alias("tag"), mean(f"_p{i}", g).alias("router"), shared[g].alias("of"))
+        for i, g in enumerate(runs.group)
+    ]
+    out = per.select("dataset", F.explode(F.array(*each)).alias("r")).where("r.of.n > 0")
+    return out.select(*[F.col(f"r.tag.{k}").alias(k) for k in runs.keys], "dataset", "r.router", "r.of.means", "r.of.oracle", "r.of.n")
+
+
+def slot_metrics(rows: DataFrame, models: list[str], runs: Runs) -> DataFrame:
+    """`benchmark_metrics` of all runs from rows that hold their picks: nothing is shuffled but one row per dataset and task."""
+    return headline_metrics(slot_sums(rows, models, runs), models, runs.keys)
+
+
+def slot_accuracy(rows: DataFrame, runs: Runs) -> DataFrame:
+    """Macro accuracy (a share) of every run from rows that hold their picks."""
+    cells = [f(F.element_at("score", F.col("slots")[i])).alias(f"_{t}{i}") for i in range(len(runs.names)) for t, f in (("s", F.sum), ("n", F.count))]
+    per = rows.groupBy("dataset").agg(*cells)
+    tags = runs.tags()
+    each = F.array(*[F.struct(tags[i].alias("tag"), (F.col(f"_s{i}") / F.nullif(F.col(f"_n{i}"), F.lit(0))).alias("mean")) for i in range(len(runs.names))])
+    rows = per.select(F.explode(each).alias("r"))
+    return rows.groupBy(*[F.col(f"r.tag.{k}").alias(k) for k in runs.keys]).agg(F.avg("r.mean").alias("AvgAcc"))
+
+
+def slot_picks(rows: DataFrame, models: list[str], runs: Runs, *more: str) -> DataFrame:
+    """One row per sample and run that covers it: keys, sample_id, dataset, `more`, selected_model, selected_score."""
+    each = rows.select("sample_id", "dataset", *more, "score", F.explode(F.arrays_zip(runs.tags().alias("tag"), F.col("slots").alias("slot"))).alias("p"))
+    return each.where("p.slot is not null").select(
+        *[F.col(f"p.tag.{k}").alias(k) for k in runs.keys], "sample_id", "dataset", *more,
+        name_at(models, F.col("p.slot")).alias("selected_model"), F.element_at("score", F.col("p.slot")).alias("selected_score"),
+    )
+
+
+def slot_supports(rows: DataFrame, runs: Runs) -> DataFrame:
+    """`support_digest` of every run, and n_mismatches, the rows that only some runs of its support cover; one aggregation to one row."""
+    words = _id_words()
+    aggs = []
+    for i in range(len(runs.names)):
+        seen = F.col("slots")[i].isNotNull()
+        aggs += [F.count_if(seen).alias(f"_n{i}"), *[F.bit_xor(F.when(seen, w)).alias(f"_d{i}_{k}") for k, w in enumerate(words)]]
+    for g in range(len(runs.supports)):
+        aggs.append(F.count_if(_covered(runs, g, every=False) & ~_covered(runs, g, every=True)).alias(f"_partly{g}"))
+    one = rows.agg(*aggs)
+    tags = runs.tags()
+    each = [
+        F.struct(
+            tags[i].alias("tag"), F.col(f"_n{i}").alias("n_ids"), *[F.col(f"_d{i}_{k}").alias(f"digest_{k}") for k in range(len(words))],
+            F.col(f"_partly{g}").alias("n_mismatches"),
+        )
+        for i, g in enumerate(runs.group)
+    ]
+    out = one.select(F.explode(F.array(*each)).alias("r"))
+    return out.select(*[F.col(f"r.tag.{k}").alias(k) for k in runs.keys], "r.n_ids", *[f"r.digest_{k}" for k in range(len(words))], "r.n_mismatches")
+
+
+def slot_mismatches(rows: DataFrame, runs: Runs, top: int = 10) -> list[tuple]:
+    """(support, sample_id) of at most `top` rows that only some runs of a support cover."""
+    out = []
+    for g, name in enumerate(runs.supports):
+        odd = rows.where(_covered(runs, g, every=False) & ~_covered(runs, g, every=True))
+        out += [(*name, r.sample_id) for r in odd.select("sample_id").orderBy("sample_id").limit(top).collect()]
+    return out[:top]
+
+
 def sample_std(c) -> Column:
     """Standard deviation with n - 1, 0 for a single row."""
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
@@ -206,13 +344,17 @@ def duplicate_predictions(predictions: DataFrame, keys: tuple[str, ...] = ()) ->
     return predictions.groupBy(*keys, "sample_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
+def _id_words() -> list[Column]:
+    digest = F.md5("sample_id")
+    return [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+
+
 def support_digest(ids: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Order-free digest of the id set per key, by exclusive-or of hashes, plus the count.
 
     Unlike a hash over the sorted ids it needs no list of all ids in one row.
     """
-    digest = F.md5("sample_id")
-    words = [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    words = _id_words()
     return ids.groupBy(*keys).agg(
         F.count("*").alias("n_ids"), *[F.bit_xor(w).alias(f"digest_{i}") for i, w in enumerate(words)]
     )

@@ -1,11 +1,13 @@
 """Paired comparison of two systems: differences, bootstrap intervals, permutation p-values.
 
-Two ways of drawing. `hash`: every draw is a hash of (seed, replicate, unit), joined to the
-units; replicates times units rows. `counts`: units with equal values are first counted,
-and a replicate draws how often each value occurs (multinomial for the bootstrap, binomial
-for sign flips), which has the same distribution and costs replicates times distinct
-values; scores of 0 and 1 leave three values, however many samples there are. `auto` takes
-hash draws while their number is moderate.
+Two ways of drawing, chosen by the caller. `hash`: every draw is a hash of (seed, replicate,
+unit), joined to the units; replicates times units rows, which SQL can repeat. `counts`:
+units with equal values are first counted, and a replicate draws how often each value occurs
+(multinomial for the bootstrap, binomial for sign flips), which has the same distribution and
+costs replicates times distinct values; scores of 0 and 1 leave three values, however many
+samples there are. Distinct values are spread over chunks. A chunk's share of a replicate comes
+down a binary tree over the chunks of its dataset: at every node the draws above are split by a
+binomial that all chunks below it repeat, so a chunk knows the masses of its ancestors only.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pointsman.operators.metrics import sample_std
 from pointsman.session import join_checked
 
 VALUES_PER_CHUNK = 10_000
+#: Replicates are cut into this many blocks, each a task of its own for every chunk of values.
+BLOCKS = 16
 SIGN_BITS = 32
 TOLERANCE = 1e-15
 
@@ -113,55 +117,68 @@ def _hash_bootstrap(u: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
     table = placed.select("dataset", (F.col("pos") - 1).alias("slot"), "total", "size")
     sizes = u.groupBy("dataset").agg(F.count("*").alias("n"))
     # A row per dataset and replicate is little data, yet each row grows into many draws.
+    many = F.raise_error(F.lit("too many units of a dataset for hash draws; draw counts")).cast("long")
+    sizes = sizes.withColumn("n", F.when(F.col("n") <= draws.MIX_LIMIT, F.col("n")).otherwise(many))
     few = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    few = few.withColumn("key", draws.hash_int(seed, F.col("replicate"), F.col("dataset")))
     slots = _spread(few, "dataset", "replicate").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    drawn = slots.select(
-        "dataset", "replicate", F.pmod(draws.hash_int(seed, F.col("replicate"), F.col("dataset"), F.col("i")), F.col("n")).alias("slot")
-    )
-    # Adaptive execution broadcasts the table when its measured size allows.
-    return drawn.join(table, ["dataset", "slot"]).groupBy("dataset", "replicate").agg(
+    drawn = slots.select("dataset", "replicate", (draws.mixed(F.col("key"), F.col("i")) % F.col("n")).alias("slot"))
+    return join_checked(drawn, table, ["dataset", "slot"]).groupBy("dataset", "replicate").agg(
         F.sum("total").alias("total"), F.sum("size").alias("size")
     )
 
 
-def _chunked(values: DataFrame, columns: list[str]) -> DataFrame:
-    """Spread the distinct values over chunks of bounded size."""
-    n = values.count()
-    return values.withColumn("chunk", F.pmod(F.xxhash64(*columns), F.lit(max(1, ceil(n / VALUES_PER_CHUNK)))).cast("int"))
+def _chunked(values: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """Spread the distinct values over 2^levels chunks of bounded size."""
+    levels = max(0, ceil(values.count() / VALUES_PER_CHUNK) - 1).bit_length()
+    return values.withColumn("chunk", F.pmod(F.xxhash64(*columns), F.lit(1 << levels)).cast("int")), levels
+
+
+def _block_ends(n: int) -> list[int]:
+    return [n * k // BLOCKS for k in range(BLOCKS + 1)]
 
 
 def _count_bootstrap(u: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
     values = u.groupBy("dataset", "total", "size").agg(F.count("*").alias("times"))
-    chunks = _chunked(values, ["dataset", "total", "size"])
-    # How many units each chunk of a dataset holds: one number per chunk.
-    mass = chunks.groupBy("dataset", "chunk").agg(F.sum("times").alias("m")).groupBy("dataset").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("masses")
-    )
+    chunks, levels = _chunked(values, ["dataset", "total", "size"])
+    per_chunk = chunks.groupBy("dataset", "chunk").agg(F.sum("times").alias("m"))
+    # The units below each ancestor of a chunk, from the root (all units of the dataset) down to the chunk itself.
+    path = per_chunk.select("dataset", "chunk")
+    for level in range(levels + 1):
+        node = F.shiftright("chunk", levels - level)
+        below = per_chunk.groupBy("dataset", node.alias("_node")).agg(F.sum("m").alias(f"_m{level}"))
+        path = path.withColumn("_node", F.shiftright("chunk", levels - level)).join(below, ["dataset", "_node"]).drop("_node")
+    path = path.select("dataset", "chunk", F.array(*[f"_m{k}" for k in range(levels + 1)]).alias("masses"))
+    ends = _block_ends(n_bootstrap)
 
     def replicate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dataset, chunk = key[0], int(key[1])
-        masses = pdf["masses"].iloc[0]
-        ids = [int(r["chunk"]) for r in masses]
-        weight = np.array([float(r["m"]) for r in masses])
-        base = [seed, zlib.crc32(str(dataset).encode())]
-        # Every chunk of a dataset draws the same shares, then only its own values.
-        split = np.random.default_rng(base)
-        own = np.random.default_rng([*base, 1 + chunk])
+        dataset, chunk, part = key[0], int(key[1]), int(key[2])
+        masses = [int(m) for m in pdf["masses"].iloc[0]]
+        name = zlib.crc32(str(dataset).encode())
+        n = ends[part + 1] - ends[part]
+        share = np.full(n, masses[0], np.int64)
+        for level in range(1, levels + 1):
+            node = chunk >> (levels - level)
+            # Both children draw the same split of their parent's share: how much goes to the left one.
+            own, parent = masses[level], masses[level - 1]
+            left = own if not node & 1 else parent - own
+            rng = np.random.default_rng([seed, name, part, level, node >> 1])
+            drawn = rng.binomial(share, left / parent)
+            share = share - drawn if node & 1 else drawn
         pdf = pdf.sort_values(["total", "size"])
         p = pdf["times"].to_numpy(float)
         tot, siz = pdf["total"].to_numpy(float), pdf["size"].to_numpy(float)
-        out_t, out_s = np.empty(n_bootstrap), np.empty(n_bootstrap)
-        step = max(1, 2_000_000 // max(len(p), len(ids)))
-        for at in range(0, n_bootstrap, step):
-            k = min(step, n_bootstrap - at)
-            share = split.multinomial(int(weight.sum()), weight / weight.sum(), size=k)[:, ids.index(chunk)]
-            c = own.multinomial(share, p / p.sum(), size=k)
-            out_t[at : at + k], out_s[at : at + k] = c @ tot, c @ siz
-        return pd.DataFrame({"dataset": dataset, "replicate": np.arange(n_bootstrap), "total": out_t, "size": out_s})
-
-    parts = join_checked(chunks, mass, "dataset").groupBy("dataset", "chunk").applyInPandas(
-        replicate, "dataset string, replicate int, total double, size double"
-    )
+        own_draws = np.random.default_rng([seed, name, part, levels + 1, chunk])
+        out_t, out_s = np.empty(n), np.empty(n)
+        step = max(1, 2_000_000 // len(p))
+        for at in range(0, n, step):
+            c = own_draws.multinomial(share[at : at + step], p / p.sum())
+            out_t[at : at + step], out_s[at : at + step] = c @ tot, c @ siz
+        return pd.DataFrame({"dataset": dataset, "replicate": np.arange(ends[part], ends[part + 1]), "total": out_t, "size": out_s})
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    rows = chunks.join(path, ["dataset", "chunk"]).withColumn("part", blocks)
+    parts = rows.groupBy("dataset", "chunk", "part").applyInPandas(replicate, "dataset string, replicate int, total double, size double")
     return parts.groupBy("dataset", "replicate").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))
 
 
@@ -207,18 +224,24 @@ def _hash_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
 def _count_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
     values = c.groupBy(F.abs("contribution").alias("v")).agg(F.count("*").alias("times"))
 
+    chunks, _ = _chunked(values, ["v"])
+    ends = _block_ends(n_permutations)
+
     def flip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key[0])])
+        part = int(key[1])
+        rng = np.random.default_rng([seed, int(key[0]), part])
         pdf = pdf.sort_values("v")
         v, m = pdf["v"].to_numpy(float), pdf["times"].to_numpy(np.int64)
-        out = np.empty(n_permutations)
+        n = ends[part + 1] - ends[part]
+        out = np.empty(n)
         step = max(1, 2_000_000 // len(v))
-        for at in range(0, n_permutations, step):
-            k = min(step, n_permutations - at)
+        for at in range(0, n, step):
+            k = min(step, n - at)
             out[at : at + k] = (2.0 * rng.binomial(m, 0.5, size=(k, len(v))) - m) @ v
-        return pd.DataFrame({"permutation": np.arange(n_permutations), "stat": out})
+        return pd.DataFrame({"permutation": np.arange(ends[part], ends[part + 1]), "stat": out})
 
-    parts = _chunked(values, ["v"]).groupBy("chunk").applyInPandas(flip, "permutation int, stat double")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    parts = chunks.withColumn("part", blocks).groupBy("chunk", "part").applyInPandas(flip, "permutation int, stat double")
     return parts.groupBy("permutation").agg(F.sum("stat").alias("stat"))
 
 

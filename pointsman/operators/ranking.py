@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointsman.session import join_checked
+from pointsman.session import join_checked, summary
 
 HASH_DIGITS = 3
 VALUE_BUCKETS = 128
+#: Rows of a bucket that one task sorts; a larger bucket is cut again.
+SORT_ROWS = 200_000
 
 
 def _offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,6 +76,40 @@ def stratum_cutoffs(units: DataFrame, keys: list[str], order: str, ranks) -> Dat
     )
 
 
+def cutoffs_without(units: DataFrame, keys: list[str], part: str, order: str, ranks) -> DataFrame:
+    """`stratum_cutoffs` of every stratum without the rows of each of its parts, and of the whole: (keys, part, n, cuts).
+
+    `part` is null in the row of the whole stratum; a unit whose part is null belongs to none and is never left
+    out. What is left of a bucket is its count minus that of the part, so rows are not listed once per part:
+    only those of a bucket that some cut falls in are ranked, with the parts whose cut it is.
+    """
+    rows = _hash_buckets(units.select(*keys, F.col(part).alias("_part"), order), order)
+    # One row per (bucket, part) from here on.
+    counts = summary(rows.groupBy(*keys, "_bucket", "_part").agg(F.count("*").alias("_c")))
+    whole = counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"))
+    parts = counts.where("_part is not null").select(*keys, F.col("_part").alias("_out")).distinct()
+    parts = parts.unionByName(counts.select(*keys).distinct().withColumn("_out", F.lit(None).cast(counts.schema["_part"].dataType)))
+    own = counts.where("_part is not null").select(*keys, "_bucket", F.col("_part").alias("_out"), "_c")
+    left = parts.join(whole, keys).join(own, [*keys, "_bucket", "_out"], "left")
+    left = left.select(*keys, "_out", "_bucket", (F.col("_size") - F.coalesce("_c", F.lit(0))).alias("_size"))
+    stratum = Window.partitionBy(*keys, "_out")
+    before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = left.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("n", F.sum("_size").over(stratum))
+    spans = summary(spans)
+    hits = spans.withColumn("_rank", F.explode(F.array_distinct(ranks(F.col("n"))))).where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_size")))
+    wanted = hits.groupBy(*keys, "_bucket").agg(F.collect_list(F.struct("_out", (F.col("_rank") - F.col("_before")).alias("_local"), "_rank")).alias("_wanted"))
+    inside = join_checked(rows, wanted, [*keys, "_bucket"])
+    listed = inside.select(*keys, "_bucket", "_part", order, F.explode("_wanted").alias("w")).where("w._out is null or _part is null or _part <> w._out")
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket", "w._out", "w._rank").orderBy(order))
+    found = listed.withColumn("_rn", place).where(F.col("_rn") == F.col("w._local"))
+    found = found.groupBy(*keys, F.col("w._out").alias("_out")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w._rank").alias("k"), F.col(order).alias("v")))).alias("_found"))
+    sizes = spans.groupBy(*keys, "_out").agg(F.first("n").alias("n"))
+    same = [sizes[k] == found[k] for k in keys] + [sizes["_out"].eqNullSafe(found["_out"])]
+    joined = sizes.join(found, same, "left")
+    cuts = F.transform(ranks(sizes["n"]), lambda r: F.coalesce(F.element_at("_found", r.cast("long")), F.lit("")))
+    return joined.select(*[sizes[k] for k in keys], sizes["_out"].alias(part), sizes["n"], cuts.alias("cuts"))
+
+
 def hash_positions(df: DataFrame, keys: list[str], order: str, position: str = "pos") -> DataFrame:
     """Position 1..n of every row within its stratum by hash text, plus the stratum size `n`."""
     rows = _hash_buckets(df, order)
@@ -94,12 +130,12 @@ def _positions(
     )
 
 
-def value_buckets(df: DataFrame, keys: list[str], value: str, tie: str | None = None) -> DataFrame:
+def value_buckets(df: DataFrame, keys: list[str], value: str, tie: str | None = None, level: int = 0) -> DataFrame:
     """Add `_bucket`, ordered like (value, tie), with no bucket much above its even share.
 
     Borders are approximate quantiles; the open range before a border is one bucket and the
     border value itself, which may hold any share of the rows, the next. That one is cut
-    again by the leading digits of `tie` (hash text) when there is a tie column.
+    again by digits of `tie` (hash text) when there is a tie column, further ones at each `level`.
     """
     shares = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
     borders = F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), 20 * VALUE_BUCKETS))
@@ -111,7 +147,7 @@ def value_buckets(df: DataFrame, keys: list[str], value: str, tie: str | None =
         marked, found = df, F.array(*[F.lit(float(b)) for b in (row.b or [0.0])])
     below = F.size(F.filter(found, lambda b: b < F.col(value)))
     on_border = F.array_contains(found, F.col(value))
-    within = F.substring(tie, 1, HASH_DIGITS) if tie else F.lit("")
+    within = F.substring(tie, 1 + level * HASH_DIGITS, HASH_DIGITS) if tie else F.lit("")
     bucket = F.concat(
         F.lpad(below.cast("string"), 4, "0"),
         F.when(on_border, F.concat(F.lit("b"), within)).otherwise(F.lit("a")),
@@ -129,6 +165,62 @@ def value_positions(df: DataFrame, keys: list[str], value: str, tie: str, positi
     return _positions(rows, counts, [*keys, *const], [F.col(value), F.col(tie)], position).drop(*const)
 
 
+def first_sums(df: DataFrame, keys: list[str], value: str, tie: str, measures: list[str], ranks, level: int = 0) -> DataFrame:
+    """(keys, n, rank, sum_<measure>...): sums over the first `rank` rows of a stratum by (value, tie).
+
+    `ranks` gives the ranks from the size of a stratum, or is a table of keys and `ranks`. Selection
+    instead of sorting: counts and sums per value bucket answer all but the buckets that a rank falls into
+    the middle of. Only their rows are ranked, and where such a bucket has more than `SORT_ROWS` rows it is
+    cut into buckets of its own. Strata, values and ties may have any share of the rows.
+    """
+    const = [] if keys else ["_all"]
+    strata = [*keys, *const]
+    src = df.select(*keys, *[F.lit(0).alias(c) for c in const], value, tie, *measures)
+    rows = value_buckets(src, keys, value, tie, level).persist()
+    # One row per bucket from here on.
+    counts = rows.groupBy(*strata, "_bucket").agg(F.count("*").alias("_size"), *[F.coalesce(F.sum(m), F.lit(0.0)).alias(f"_t_{m}") for m in measures])
+    before = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = summary(
+        counts.select(
+            *strata, "_bucket", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+            F.sum("_size").over(Window.partitionBy(*strata)).alias("n"),
+            *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0.0)).alias(f"_b_{m}") for m in measures], *[f"_t_{m}" for m in measures],
+        )
+    )
+    listed = spans.withColumn("ranks", ranks(F.col("n"))) if callable(ranks) else spans.join(ranks, strata)
+    each = listed.withColumn("rank", F.explode(F.array_distinct(F.col("ranks").cast("array<bigint>")))).drop("ranks")
+    inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_size"))
+    ends = F.col("rank") == F.col("_before") + F.col("_size")
+    out = each.where("rank <= 0 and _before = 0").select(*strata, "n", "rank", *[F.lit(0.0).alias(f"sum_{m}") for m in measures])
+    out = out.unionByName(each.where(inside & ends).select(*strata, "n", "rank", *[(F.col(f"_b_{m}") + F.col(f"_t_{m}")).alias(f"sum_{m}") for m in measures]))
+    # At most one bucket per stratum and rank.
+    cut = summary(each.where(inside & ~ends).withColumn("_local", F.col("rank") - F.col("_before")))
+    largest = cut.agg(F.max("_size")).first()[0]
+    if largest is None:
+        return _fixed(out.drop(*const), rows)
+    wanted = cut.groupBy(*strata, "_bucket").agg(F.array_sort(F.collect_set("_local")).alias("ranks"))
+    hit = join_checked(rows, wanted, [*strata, "_bucket"])
+    if largest <= SORT_ROWS or (level + 2) * HASH_DIGITS > 32:
+        place = F.row_number().over(Window.partitionBy(*strata, "_bucket").orderBy(value, tie))
+        ranked = hit.withColumn("_rn", place).select("*", F.explode(F.filter("ranks", lambda w: w >= F.col("_rn"))).alias("_local"))
+        part = ranked.groupBy(*strata, "_bucket", "_local").agg(*[F.sum(m).alias(f"_p_{m}") for m in measures])
+    else:
+        deeper = f"_within{level}"
+        names = [*strata, deeper]
+        below = first_sums(hit.withColumnRenamed("_bucket", deeper), names, value, tie, measures, wanted.withColumnRenamed("_bucket", deeper), level + 1)
+        part = below.select(*strata, F.col(deeper).alias("_bucket"), F.col("rank").alias("_local"), *[F.col(f"sum_{m}").alias(f"_p_{m}") for m in measures])
+    done = cut.join(part, [*strata, "_bucket", "_local"])
+    out = out.unionByName(done.select(*strata, "n", "rank", *[(F.col(f"_b_{m}") + F.coalesce(f"_p_{m}", F.lit(0.0))).alias(f"sum_{m}") for m in measures]))
+    return _fixed(out.drop(*const), rows)
+
+
+def _fixed(out: DataFrame, cached: DataFrame) -> DataFrame:
+    """A summary that no longer needs the rows it was made of."""
+    table = summary(out)
+    cached.unpersist()
+    return table
+
+
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (keys, n, quantile `share`, `value`).
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointsman.functions import draws, numeric
 from pointsman.operators import ranking
 from pointsman.operators.metrics import sample_std
-from pointsman.session import join_checked
+from pointsman.session import join_checked, summary
 
 # Default coverage points.
 RISK_COVERAGES = [1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5]
@@ -18,25 +18,15 @@ ABSTENTION_COVERAGES = [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 def risk_coverage_curve(rows: DataFrame, uncertainty: str, coverages: list[float] = RISK_COVERAGES) -> DataFrame:
     """Mean regret of the most certain share, per coverage. Ties are broken by a hash of the id.
 
-    Ranks come from ordered buckets, so the global order needs no single sorted task.
+    Sums of the first k rows are selected, not sorted (`ranking.first_sums`).
     """
-    src = rows.select("sample_id", "regret", F.col(uncertainty).alias("_u")).withColumn(
-        "_tie", draws.hash_text(F.col("sample_id"))
-    ).persist()
-    placed = ranking.value_positions(src, [], "_u", "_tie")
-    points = sorted(set(coverages))
-    share = F.array(*[F.lit(float(c)) for c in points])
-    kept = F.transform(share, lambda c: F.greatest(F.lit(1).cast("long"), numeric.half_even(F.col("n") * c)))
-    cells = [F.sum(F.when(F.col("pos") <= F.col("_k")[i], F.col("regret"))).alias(f"_s{i}") for i in range(len(points))]
-    sums = placed.withColumn("_k", kept).agg(F.first("_k").alias("_k"), F.first("n").alias("_n"), *cells)
-    each = F.explode(
-        F.array(*[F.struct(F.col("_k")[i].alias("n"), F.col(f"_s{i}").alias("s")) for i in range(len(points))])
-    )
-    return sums.select("_n", each.alias("p")).select(
-        (F.col("p.n") / F.col("_n")).alias("coverage"),
-        (F.col("p.s") / F.col("p.n")).alias("risk"),
-        F.col("p.n").alias("n"),
-    )
+    src = rows.select("sample_id", "regret", F.col(uncertainty).alias("_u")).withColumn("_tie", draws.hash_text(F.col("sample_id")))
+    share = F.array(*[F.lit(float(c)) for c in sorted(set(coverages))])
+    kept = lambda n: F.transform(share, lambda c: F.greatest(F.lit(1).cast("long"), numeric.half_even(n * c)))
+    sums = ranking.first_sums(src, [], "_u", "_tie", ["regret"], kept)
+    # Coverages that keep the same number of rows are points of their own.
+    each = summary(sums).select("n", "rank", "sum_regret", F.explode(kept(F.col("n"))).alias("_k")).where(F.col("_k") == F.col("rank"))
+    return each.select((F.col("rank") / F.col("n")).alias("coverage"), (F.col("sum_regret") / F.col("rank")).alias("risk"), F.col("rank").alias("n"))
 
 
 def aurc(curve: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -95,17 +85,14 @@ def select_threshold(
     return best.select(*keys, found.alias("b")).select(*keys, "b.*")
 
 
-def _masked_means(placed: DataFrame, keys: list[str], coverages: list[float], selector: str) -> DataFrame:
-    cells = []
-    for i, c in enumerate(coverages):
-        k = F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), numeric.half_even(F.col("n") * F.lit(float(c)))))
-        routed = F.when(F.col("pos") <= k, F.col("router_score")).otherwise(F.col("fallback_score"))
-        cells.append(F.avg(routed).alias(f"_v{i}"))
-    each = F.explode(
-        F.array(*[F.struct(F.lit(float(c)).alias("coverage"), F.col(f"_v{i}").alias("score")) for i, c in enumerate(coverages)])
-    )
-    wide = placed.groupBy(*keys).agg(*cells)
-    return wide.select(*keys, each.alias("p")).select(*keys, "p.*", F.lit(selector).alias("selector"))
+def _routed_means(base: DataFrame, coverages: list[float], value: str, selector: str) -> DataFrame:
+    """Score per domain and coverage when the rows with the smallest `value` are routed and the others fall back."""
+    sums = ranking.first_sums(base, ["domain"], value, "_tie", ["router_score", "fallback_score"], lambda n: _counts(n, coverages))
+    total = base.groupBy("domain").agg(F.sum("fallback_score").alias("_f"))
+    points = F.arrays_zip(F.array(*[F.lit(float(c)) for c in coverages]).alias("coverage"), _counts(F.col("n"), coverages).alias("k"))
+    each = join_checked(sums, total, "domain").select("*", F.explode(points).alias("p")).where(F.col("p.k") == F.col("rank"))
+    score = (F.col("sum_router_score") + F.col("_f") - F.col("sum_fallback_score")) / F.col("n")
+    return each.select("domain", F.col("p.coverage").alias("coverage"), score.alias("score"), F.lit(selector).alias("selector"))
 
 
 def _counts(n: Column, coverages: list[float]) -> Column:
@@ -171,15 +158,11 @@ def abstention_controls(
     """
     base = rows.select(F.col(domain).alias("domain"), "sample_id", "uncertainty", "router_score", "fallback_score")
     base = base.withColumn("_tie", draws.hash_text(F.col("sample_id"))).persist()
-    by_entropy = ranking.value_positions(base, ["domain"], "uncertainty", "_tie")
     oracle = base.withColumn("_adv", F.col("fallback_score") - F.col("router_score"))
-    by_oracle = ranking.value_positions(oracle, ["domain"], "_adv", "_tie")
     if random not in ("draws", "moments"):
         raise ValueError(f"unknown random selector: {random}")
     chance = _random_draws(base, coverages, random_repeats, seed) if random == "draws" else _random_moments(base, coverages)
-    fixed = _masked_means(by_entropy, ["domain"], coverages, "semantic_entropy").unionByName(
-        _masked_means(by_oracle, ["domain"], coverages, "oracle")
-    )
+    fixed = _routed_means(base, coverages, "uncertainty", "semantic_entropy").unionByName(_routed_means(oracle, coverages, "_adv", "oracle"))
     return fixed.withColumn("std", F.lit(0.0)).unionByName(chance)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointsman.functions import draws, numeric, text
-from pointsman.operators.ranking import stratum_cutoffs
+from pointsman.operators.ranking import cutoffs_without, stratum_cutoffs
 from pointsman.session import join_checked
 
 INNER_SEED_STEP = 104729
@@ -147,23 +147,25 @@ def holdout_labels(
 ) -> DataFrame:
     """Add `labels`, an array with one of test, fit or calibration per held-out value of `column`.
 
-    All calibration splits come from one pass: their cutoffs are kept per (holdout,
-    dataset) and every row looks up its own.
+    The cutoff of a holdout is that of the dataset without the rows of the holdout, from counts by subtraction
+    (`ranking.cutoffs_without`); a dataset that a holdout does not occur in keeps its own. Every row looks up its
+    cutoffs in place.
     """
     marked = _ordered(samples, seed, grouped)
     names = F.array(*[F.lit(h) for h in holdouts])
     held = F.lower(F.col(column))
-    units = marked.select("dataset", "_h", held.alias("_d"), F.explode(names).alias("holdout")).where(
-        F.lower("holdout") != F.col("_d")
-    ).select("holdout", "dataset", "_h")
+    units = marked.select("dataset", "_h", held.alias("_d"))
     if grouped:
-        units = units.distinct()
-    cuts = stratum_cutoffs(units, ["holdout", "dataset"], "_h", lambda n: F.array(numeric.clamped_share(n, 1.0 - ratio)))
-    per_dataset = cuts.groupBy("dataset").agg(
-        F.map_from_entries(F.collect_list(F.struct("holdout", F.col("cuts")[0]))).alias("_cuts")
-    )
+        # A group is left out with a holdout only if all its rows are.
+        one = F.when((F.min("_d") == F.max("_d")) & (F.count("_d") == F.count("*")), F.min("_d"))
+        units = units.groupBy("dataset", "_h").agg(one.alias("_d"))
+    cuts = cutoffs_without(units, ["dataset"], "_d", "_h", lambda n: F.array(numeric.clamped_share(n, 1.0 - ratio)))
+    # One row per dataset; the entry * is the dataset as a whole.
+    per_dataset = cuts.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("="), "_d"), F.lit("*")), F.col("cuts")[0]))).alias("_cuts"))
     label = lambda h: (
-        F.when(F.lower(h) == held, "test").when(F.col("_h") <= F.element_at("_cuts", h), "fit").otherwise("calibration")
+        F.when(F.lower(h) == held, "test")
+        .when(F.col("_h") <= F.coalesce(F.element_at("_cuts", F.concat(F.lit("="), F.lower(h))), F.element_at("_cuts", F.lit("*"))), "fit")
+        .otherwise("calibration")
     )
     joined = join_checked(marked, per_dataset, "dataset", "left")
     return joined.withColumn("labels", F.transform(names, label)).drop("_h", "_cuts")

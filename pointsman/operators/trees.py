@@ -1,4 +1,4 @@
-"""Tree, forest, network and sparse text learners: one MLlib model per candidate.
+"""Forests (and trees of the same library): one MLlib model per candidate.
 
 MLlib fits each model on the whole distributed table. The trees are Spark's own, so they
 differ from those of other libraries with the same settings.
@@ -9,13 +9,10 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointsman.functions import numeric
@@ -34,17 +31,7 @@ def forest(trees: int = 400, min_leaf: int = 2, depth: int = 12, seed: int = 340
     )
 
 
-def network(max_iter: int = 300, hidden: tuple[int, ...] = (64, 32), width: int = 40, seed: int = 3407, **_):
-    """A two-layer classifier of score >= 0.5 on scaled features; its probability stands for quality."""
-    scaler = StandardScaler(inputCol="v", outputCol="sv", withMean=True, withStd=True)
-    mlp = MultilayerPerceptronClassifier(
-        featuresCol="sv", labelCol="hit", probabilityCol="prob", predictionCol="cls", rawPredictionCol="raw",
-        layers=[width, *hidden, 2], maxIter=max_iter, seed=seed,
-    )
-    return Pipeline(stages=[scaler, mlp])
-
-
-FAMILIES = {"gbt": gbt, "random_forest": forest, "mlp": network}
+FAMILIES = {"gbt": gbt, "random_forest": forest}
 
 
 def as_vector(x: str) -> Column:
@@ -55,15 +42,13 @@ def fit_per_candidate(
     train: DataFrame, models: list[str], family: str = "gbt", x: str = "x", y: str = "score", parallelism: int = 2, **params
 ) -> list:
     """One fitted model per candidate, on the rows that observe it. `y` is the output array."""
-    width = train.select(F.size(x).alias("d")).first().d
     rows = train.select(as_vector(x).alias("v"), F.col(y).alias("_y")).persist()
 
     def one(i: int):
         seen = rows.select("v", F.col("_y")[i].alias("label")).where(numeric.is_finite(F.col("label")))
-        seen = seen.withColumn("hit", (F.col("label") >= 0.5).cast("double"))
         if len(seen.limit(2).collect()) < 2:
             raise ValueError(f"candidate {models[i]!r} has fewer than two observed training rows")
-        return FAMILIES[family](width=width, **params).fit(seen)
+        return FAMILIES[family](**params).fit(seen)
 
     pool = ThreadPool(parallelism)
     try:
@@ -80,12 +65,8 @@ def predict(rows: DataFrame, fitted: list, x: str = "x", out: str = "pred") -> D
     names = []
     for i, model in enumerate(fitted):
         cur = model.transform(cur)
-        if "out" in cur.columns:
-            value, extra = F.col("out"), ["out"]
-        else:
-            value, extra = vector_to_array("prob")[1], ["prob", "cls", "raw", "sv"]
         names.append(f"_p{i}")
-        cur = cur.withColumn(names[-1], value).drop(*extra)
+        cur = cur.withColumnRenamed("out", names[-1])
     return cur.withColumn(out, F.array(*names)).drop("v", *names)
 
 
@@ -111,56 +92,3 @@ def load_router(spark, path: str) -> tuple[list, list[str], list[str]]:
     order = spark.read.parquet(f"{path}/order").orderBy("pos").collect()
     names, models = ([r.name for r in order if r.kind == kind] for kind in ("feature", "model"))
     return [PipelineModel.load(f"{path}/{i:05d}") for i in range(len(models))], names, models
-
-
-def indexed_vocabulary(vocab: DataFrame) -> tuple[DataFrame, int]:
-    """Give each vocabulary term a slot; the vocabulary is bounded by its feature limit."""
-    w = Window.partitionBy(F.lit(0)).orderBy("term")
-    table = vocab.select("term", (F.row_number().over(w) - 1).alias("slot")).persist()
-    return table, table.count()
-
-
-def sparse_vectors(weights: DataFrame, vocab: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sample_id, v): one sparse vector per sample; a sample without known terms gets an empty one."""
-    slots, width = indexed_vocabulary(vocab)
-    pairs = weights.join(F.broadcast(slots), "term").groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("p")
-    )
-
-    @F.udf(VectorUDT())
-    def build(p):
-        return SparseVector(width, [(r.slot, r.weight) for r in (p or [])])
-
-    return ids.join(pairs, "sample_id", "left").select("sample_id", build("p").alias("v"))
-
-
-def fit_sparse_ridge(rows: DataFrame, models: list[str], alpha: float = 5.0, max_iter: int = 100, y: str = "score") -> list:
-    """Ridge with an unpenalised intercept on sparse vectors, by L-BFGS, one model per candidate.
-
-    The solver divides its penalty by the label deviation and by the row count, so both are
-    multiplied in to keep the plain `alpha`.
-    """
-    rows = rows.persist()
-    out = []
-    for i in range(len(models)):
-        seen = rows.select("v", F.col(y)[i].alias("label")).where(numeric.is_finite(F.col("label")))
-        n, dev = seen.agg(F.count("*"), F.stddev_samp("label")).first()
-        if n < 2:
-            raise ValueError(f"candidate {models[i]!r} has fewer than two observed training rows")
-        reg = alpha * (dev or 1.0) / n
-        out.append(
-            LinearRegression(
-                featuresCol="v", labelCol="label", predictionCol="out", regParam=reg, elasticNetParam=0.0,
-                standardization=False, solver="l-bfgs", maxIter=max_iter, tol=1e-9,
-            ).fit(seen)
-        )
-    rows.unpersist()
-    return out
-
-
-def predict_sparse(rows: DataFrame, fitted: list, out: str = "pred") -> DataFrame:
-    cur, names = rows, []
-    for i, model in enumerate(fitted):
-        names.append(f"_p{i}")
-        cur = model.transform(cur).withColumnRenamed("out", names[-1])
-    return cur.withColumn(out, F.array(*names)).drop("v", *names)

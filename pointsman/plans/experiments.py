@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointsman.functions import numeric
-from pointsman.operators import cost, features, linear, matrix, metrics, paired, routing, selective, splits, tfidf, trees
+from pointsman.operators import boosting, cost, features, linear, matrix, metrics, network, paired, routing, selective, sparse, splits, tfidf, trees
 from pointsman.operators.features import FeatureSet
+from pointsman.operators.metrics import Runs
 from pointsman.session import summary, written
 
 # Seeds of the published protocols.
@@ -44,18 +45,23 @@ def fit_predict(train: DataFrame, test: DataFrame, models: list[str], learner: s
         return linear.score(test, "x", coefs)
     if learner == "tfidf":
         return _fit_predict_text(train, test, models, **params)
+    if learner == "gbt":
+        return boosting.predict(test, boosting.fit(train, **params))
+    if learner == "mlp":
+        return network.predict(test, network.fit(train, **params))
     return trees.predict(test, trees.fit_per_candidate(train, models, learner, **params))
 
 
 def _fit_predict_text(train: DataFrame, test: DataFrame, models: list[str], alpha: float = 5.0, max_iter: int = 100, **_) -> DataFrame:
     """TF-IDF learned on the training texts, ridge on top; test texts use the training vocabulary."""
     counts = tfidf.term_counts(train).persist()
-    vocab = tfidf.vocabulary(counts).persist()
+    table, width = sparse.slots(tfidf.vocabulary(counts))
+    vocab = table.join(tfidf.vocabulary(counts), "term")
     n_docs = train.count()
-    tr = trees.sparse_vectors(tfidf.weights(counts, vocab, n_docs), vocab, train.select("sample_id"))
-    te = trees.sparse_vectors(tfidf.weights(tfidf.term_counts(test), vocab, n_docs), vocab, test.select("sample_id"))
-    fitted = trees.fit_sparse_ridge(tr.join(train.select("sample_id", "score"), "sample_id"), models, alpha, max_iter)
-    return trees.predict_sparse(test.join(te, "sample_id"), fitted)
+    rows = sparse.sparse_rows(tfidf.weights(counts, vocab.drop("slot"), n_docs), table, train.select("sample_id", "score"))
+    fitted = sparse.fit(rows, width, alpha, max_iter)
+    counts.unpersist()
+    return sparse.predict(sparse.sparse_rows(tfidf.weights(tfidf.term_counts(test), vocab.drop("slot"), n_docs), table, test), fitted)
 
 
 def evaluate(predicted: DataFrame, train: DataFrame, models: list[str]) -> DataFrame:
@@ -80,6 +86,10 @@ def held_out(frame: DataFrame, models: list[str], cell: Column, n_cells: int, le
         kw = {"alpha": params.get("alpha", LINEAR[learner]), "standardize": learner != "embedding_ridge"}
         coefs = linear.fit_without(mo, list(range(n_cells)), **kw)
         return linear.score(rows, "x", coefs, F.col("_cell")).drop("_cell", "_cells")
+    if learner == "gbt":
+        # One fit for all cells: each is a training set of the same jobs.
+        model = boosting.fit(frame, sets=[cell != k for k in range(n_cells)], **params)
+        return boosting.predict(frame, model, which=cell)
     out = None
     for k in range(n_cells):
         part = fit_predict(
@@ -103,13 +113,12 @@ def ood(frame: DataFrame, models: list[str], column: str, learner: str = "ridge"
     return routing.selected(held_out(frame, models, cell, len(values), learner, **params), models)
 
 
-def linear_suite(
+def linear_slots(
     frame: DataFrame, models: list[str], systems: dict[str, list[int]], partitions: dict[int, str], alpha: float = 1.0
-) -> DataFrame:
-    """Test picks of every system (a subset of x) under every seed, from one scan.
+) -> tuple[DataFrame, Runs]:
+    """The frame with `slots`, the test pick of every system (a subset of x) under every seed, and the runs' names; one scan.
 
-    `partitions` maps a seed to the column with its split label. Returns (seed, system,
-    sample_id, dataset, selected_model, selected_score).
+    `partitions` maps a seed to the column with its split label. A row outside a seed's test part has no picks of it.
     """
     seeds = list(partitions)
     cells = F.array_compact(F.array(*[F.when(F.col(partitions[s]) == "train", F.lit(i)) for i, s in enumerate(seeds)]))
@@ -118,19 +127,18 @@ def linear_suite(
     pairs = [(i, s, name) for i, s in enumerate(seeds) for name in systems]
     coefs = np.array([[linear.fit(mo, alpha, include=[i], keep=systems[name])] for i, _, name in pairs])
     which = [F.when(F.col(partitions[s]) == "test", 0).otherwise(-1) for _, s, _ in pairs]
-    chosen = linear.picks(rows, "x", coefs, which)
-    tags = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(name).alias("system")) for _, s, name in pairs])
-    each = chosen.select(
-        "sample_id", "dataset", "score", F.explode(F.arrays_zip(tags.alias("tag"), F.col("slots").alias("slot"))).alias("p")
-    ).where("p.slot is not null")
-    return each.select(
-        F.col("p.tag.seed").alias("seed"),
-        F.col("p.tag.system").alias("system"),
-        "sample_id",
-        "dataset",
-        routing.name_at(models, F.col("p.slot")).alias("selected_model"),
-        F.element_at("score", F.col("p.slot")).alias("selected_score"),
-    )
+    return linear.picks(rows, "x", coefs, which).drop("_cells"), Runs([(s, name) for _, s, name in pairs], ("seed", "system"))
+
+
+def linear_suite(
+    frame: DataFrame, models: list[str], systems: dict[str, list[int]], partitions: dict[int, str], alpha: float = 1.0
+) -> DataFrame:
+    """The picks of `linear_slots` as rows: (seed, system, sample_id, dataset, selected_model, selected_score)."""
+    return metrics.slot_picks(*_slot_args(linear_slots(frame, models, systems, partitions, alpha), models))
+
+
+def _slot_args(found: tuple[DataFrame, Runs], models: list[str]) -> tuple[DataFrame, list[str], Runs]:
+    return found[0], models, found[1]
 
 
 def with_partitions(frame: DataFrame, seeds, train_ratio: float = 0.7, grouped: bool = True) -> tuple[DataFrame, dict[int, str]]:
@@ -167,26 +175,34 @@ def probe_systems(names: list[str], backend: str) -> dict[str, list[int]]:
     return out
 
 
-def suite_metrics(frame: DataFrame, predictions: DataFrame, models: list[str]) -> DataFrame:
-    return metrics.benchmark_metrics(frame, predictions, models, ("seed", "system"))
-
-
 def drop_effects(summary: DataFrame, baseline: str = "all_probes") -> DataFrame:
     """Add `drop_vs_all_pp`: what accuracy loses without the probe."""
     base = summary.where(F.col("system") == baseline).select(F.col("AvgAcc_mean").alias("_base"))
     return summary.join(F.broadcast(base)).withColumn("drop_vs_all_pp", F.col("_base") - F.col("AvgAcc_mean")).drop("_base")
 
 
+def learner_slots(frame: DataFrame, models: list[str], partitions: dict[int, str], learners: dict[str, dict]) -> tuple[DataFrame, Runs]:
+    """The frame with the test picks of several learners under several seeds, one slot each."""
+    out, slots, names = frame, [], []
+    for name, params in learners.items():
+        if name == "gbt":
+            # All seeds are training sets of one fit.
+            model = boosting.fit(frame, sets=[F.col(c) == "train" for c in partitions.values()], **params)
+        for k, (s, col) in enumerate(partitions.items()):
+            slots.append(f"_slot{len(slots)}")
+            names.append((s, name))
+            if name == "gbt":
+                out = boosting.predict(out, model, which=F.lit(k))
+            else:
+                out = fit_predict(frame.where(F.col(col) == "train"), out, models, name, **params)
+            picked = F.when(F.col(col) == "test", routing.first_best(F.col("pred")))
+            out = out.withColumn(slots[-1], picked).drop("pred")
+    return out.withColumn("slots", F.array(*slots)).drop(*slots), Runs(names, ("seed", "system"))
+
+
 def learner_suite(frame: DataFrame, models: list[str], partitions: dict[int, str], learners: dict[str, dict]) -> DataFrame:
-    """Test picks of several learners under several seeds."""
-    out = None
-    for s, col in partitions.items():
-        split = frame.withColumn("partition", F.col(col))
-        for name, params in learners.items():
-            picks, _ = train_evaluate(split, models, name, **params)
-            one = picks.select(F.lit(s).alias("seed"), F.lit(name).alias("system"), "sample_id", "dataset", "selected_model", "selected_score")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """The picks of `learner_slots` as rows."""
+    return metrics.slot_picks(*_slot_args(learner_slots(frame, models, partitions, learners), models))
 
 
 def nested_probe_selection(
@@ -200,8 +216,8 @@ def nested_probe_selection(
     seed: int = 3407,
     grouped: bool = True,
     alpha: float = 1.0,
-) -> tuple[DataFrame, DataFrame]:
-    """(selection, predictions): probes ranked inside each outer training set, then full and lite picks.
+) -> tuple[DataFrame, DataFrame, Runs]:
+    """(selection, rows with `slots`, runs): probes ranked inside each outer training set, then full and lite picks.
 
     A probe's contribution is what inner out-of-fold accuracy loses without it. All models
     (outer x inner x dropped probe) are solved from one set of sums per (outer, inner) cell.
@@ -225,14 +241,7 @@ def nested_probe_selection(
         [[linear.fit(mo, alpha, include=block(o, g), keep=systems[s]) for g in range(inner_folds)] for o, s in pairs]
     )
     chosen = linear.picks(rows, "x", coefs, [F.col("_inner")[o] for o, _ in pairs])
-    tags = F.array(*[F.struct(F.lit(o).alias("outer_fold"), F.lit(s).alias("system")) for o, s in pairs])
-    each = chosen.select("dataset", "score", F.explode(F.arrays_zip(tags.alias("tag"), F.col("slots").alias("slot"))).alias("p")).where(
-        "p.slot is not null"
-    )
-    inner_acc = metrics.macro_accuracy(
-        each.select("p.tag.outer_fold", "p.tag.system", "dataset", F.element_at("score", F.col("p.slot")).alias("v")),
-        "v", ("outer_fold", "system"),
-    ).withColumn("AvgAcc", F.col("AvgAcc") * 100.0).persist()
+    inner_acc = metrics.slot_accuracy(chosen, Runs(pairs, ("outer_fold", "system"))).withColumn("AvgAcc", F.col("AvgAcc") * 100.0).persist()
     base = inner_acc.where("system = 'all_probes'").select("outer_fold", F.col("AvgAcc").alias("inner_all_avgacc"))
     position = F.array_position(F.array(*[F.lit(p) for p in probes]), F.col("probe"))
     table = (
@@ -255,16 +264,8 @@ def nested_probe_selection(
         ]
     )
     out = linear.picks(rows, "x", final, [F.col("_outer"), F.col("_outer")])
-    both = F.array(F.lit("full"), F.lit("lite"))
-    predictions = out.select(
-        "sample_id", "dataset", "score", F.col("_outer").alias("fold"),
-        F.explode(F.arrays_zip(both.alias("system"), F.col("slots").alias("slot"))).alias("p"),
-    ).select(
-        F.col("p.system").alias("system"), "sample_id", "dataset", "fold",
-        routing.name_at(models, F.col("p.slot")).alias("selected_model"),
-        F.element_at("score", F.col("p.slot")).alias("selected_score"),
-    )
-    return selection.drop("position"), predictions
+    out = out.withColumn("fold", F.col("_outer")).drop("_outer", "_inner", "_cells")
+    return selection.drop("position"), out, Runs([("full",), ("lite",)], ("system",), support=0)
 
 
 def selection_frequency(selection: DataFrame, outer_folds: int) -> DataFrame:
@@ -359,19 +360,36 @@ def _cost_moments(rows: DataFrame, labels: list[str]) -> linear.Moments:
     return linear.moments(rows.withColumn("_y", F.concat("score", "cost")).withColumn("_cells", cells), "x", "_y", "_cells", masked=True)
 
 
+def _cost_fit(frame: DataFrame, labels: list[str], cells: list[list[int]], m: int, learner: str, params: dict):
+    """For every list of cells (positions in `labels`), a function that adds `pred` and `pred_cost` fitted on those rows.
+
+    The cost model is linear; the quality model is linear (`ridge`) or boosted trees, one per candidate on its observed rows (`gbt`).
+    """
+    mo = _cost_moments(frame, labels)
+    coefs = [_cost_coefs(mo, c, m) for c in cells]
+    if learner == "ridge":
+        return [lambda rows, c=c: _with_cost_predictions(rows, c) for c in coefs]
+    if learner != "gbt":
+        raise ValueError(f"unknown quality learner: {learner}")
+    sets = [F.col("partition").isin([labels[i] for i in c]) for c in cells]
+    model = boosting.fit(frame, sets=sets, shared=False, **params)
+    money = lambda rows, k: linear.score(rows, "x", coefs[k][1], out="pred_cost", floor=0.0)
+    return [lambda rows, k=k: money(boosting.predict(rows, model, which=F.lit(k)), k) for k in range(len(cells))]
+
+
 def perf_cost_eval(
-    frame: DataFrame, models: list[str], baseline: str | None = None, lambdas: list[float] = cost.LAMBDAS
+    frame: DataFrame, models: list[str], baseline: str | None = None, lambdas: list[float] = cost.LAMBDAS, learner: str = "ridge", **params
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics, sweep) of a frame with `partition` train or test; lambda is chosen on the test rows.
 
     Rows where the named baseline is unobserved are left out of the evaluation.
     """
     frame = written(frame, "cost-frame")
-    coefs = _cost_coefs(_cost_moments(frame, ["train"]), [0], len(models))
+    predicted = _cost_fit(frame, ["train"], [[0]], len(models), learner, params)[0]
     test = frame.where("partition = 'test'")
     if baseline is not None:
         test = cost.baseline_supported(test, models, baseline).where("supported").drop("supported")
-    rows = _with_cost_predictions(test, coefs).persist()
+    rows = predicted(test).persist()
     bounds = routing.global_bounds(rows, ["pred", "pred_cost"])
     # A sweep has a row per lambda and a baseline one row.
     sweep = summary(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
@@ -410,7 +428,7 @@ def operating_points(selection: DataFrame, test: DataFrame, selection_base: Data
 
 
 def perf_cost_eval_validated(
-    frame: DataFrame, models: list[str], baseline: str | None = None, lambdas: list[float] = cost.LAMBDAS
+    frame: DataFrame, models: list[str], baseline: str | None = None, lambdas: list[float] = cost.LAMBDAS, learner: str = "ridge", **params
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics, test sweep) of a frame with `partition` inner_fit, validation or test.
 
@@ -418,36 +436,39 @@ def perf_cost_eval_validated(
     ones instead of reading the training rows again.
     """
     frame = written(frame, "cost-frame")
-    n = len(models)
-    mo = _cost_moments(frame, ["inner_fit", "validation"])
+    inner, outer = _cost_fit(frame, ["inner_fit", "validation"], [[0], [0, 1]], len(models), learner, params)
 
-    def sweep(label: str, fit_labels: list[str], cells: list[int]) -> tuple[DataFrame, DataFrame]:
-        coefs = _cost_coefs(mo, cells, n)
-        fitted = _with_cost_predictions(frame.where(F.col("partition").isin(fit_labels)), coefs)
+    def sweep(label: str, fit_labels: list[str], predicted) -> tuple[DataFrame, DataFrame]:
+        fitted = predicted(frame.where(F.col("partition").isin(fit_labels)))
         bounds = routing.global_bounds(fitted, ["pred", "pred_cost"])
         rows = frame.where(F.col("partition") == label)
         if baseline is not None:
             rows = cost.baseline_supported(rows, models, baseline).where("supported").drop("supported")
-        rows = _with_cost_predictions(rows, coefs).persist()
+        rows = predicted(rows).persist()
         # A sweep has a row per lambda and a baseline one row.
         table = summary(cost.sweep_metrics(cost.sweep_picks(rows, models, bounds, lambdas)))
         return summary(cost.pareto_flags(table)), summary(cost.select_baseline(rows, models, baseline))
 
-    val_sweep, val_base = sweep("validation", ["inner_fit"], [0])
-    test_sweep, test_base = sweep("test", ["inner_fit", "validation"], [0, 1])
+    val_sweep, val_base = sweep("validation", ["inner_fit"], inner)
+    test_sweep, test_base = sweep("test", ["inner_fit", "validation"], outer)
     return operating_points(val_sweep, test_sweep, val_base, test_base), test_sweep
 
 
-def main_table(frame: DataFrame, predictions: DataFrame, models: list[str], first_system: str) -> dict[str, DataFrame]:
-    """runs, summary, baselines and support of predictions keyed by (seed, system)."""
-    runs = suite_metrics(frame, predictions, models).persist()
+def main_table(rows: DataFrame, models: list[str], runs: Runs, first_system: str) -> dict[str, DataFrame]:
+    """runs, summary, baselines and support of (seed, system) picks in `slots`.
+
+    Systems of a seed that do not cover the same samples are an error, which lists the first of them.
+    """
+    support = summary(metrics.slot_supports(rows, runs))
+    # One row per run.
+    if support.where("n_mismatches > 0").count():
+        raise ValueError(f"{metrics.UNEQUAL}: {metrics.slot_mismatches(rows, runs)}")
+    found = metrics.slot_metrics(rows, models, runs).persist()
     return {
-        "runs": runs,
-        "summary": metrics.seed_summary(runs),
-        "baselines": metrics.baseline_summary(runs.where(F.col("system") == first_system)),
-        "support": metrics.support_digest(predictions, ("seed", "system")),
-        "mismatches": metrics.support_mismatches(predictions, ("seed",)),
-        "n_mismatches": metrics.partly_covered(predictions, ("seed",)).groupBy("seed").agg(F.count("*").alias("n_mismatches")),
+        "runs": found,
+        "summary": metrics.seed_summary(found),
+        "baselines": metrics.baseline_summary(found.where(F.col("system") == first_system)),
+        "support": support,
     }
 
 
@@ -457,14 +478,14 @@ def grouped_rerun(
     models: list[str],
     backend: str,
     seeds=SEEDS,
-    others: dict[str, tuple[DataFrame, dict]] | None = None,
+    others: dict[str, tuple[DataFrame, str, dict]] | None = None,
 ) -> dict[str, DataFrame]:
     """The main grouped protocol: six representations and the task family alone under every seed, to the main table.
 
     `frame` has the samples with their score array, `fs` all features. All linear systems and
-    seeds are solved from one scan. `others` maps a further learner to its frame (texts or
-    embeddings, same samples) and settings; it is fitted once per seed on the same splits.
-    A system that does not cover the support of the others fails the job.
+    seeds are solved from one scan. `others` maps a further system to its frame (texts or
+    embeddings, same samples), learner and settings; it is fitted once per seed on the same splits and
+    joined once. A system that does not cover the support of the others fails the job.
     """
     wide, systems = representation_systems(fs, backend)
     family = fs.take(features.feature_set_names(fs.names, "domain_only", backend))
@@ -475,15 +496,15 @@ def grouped_rerun(
     )
     labelled, parts = with_partitions(frame, seeds)
     labelled = labelled.persist()
-    picks = linear_suite(features.join_features(labelled, wide), models, systems, parts)
-    for learner, (own, params) in (others or {}).items():
+    rows, runs = linear_slots(features.join_features(labelled, wide), models, systems, parts)
+    for system, (own, learner, params) in (others or {}).items():
         split = labelled.select("sample_id", *parts.values())
-        more = learner_suite(own.join(split, "sample_id").persist(), models, parts, {learner: params})
-        picks = picks.unionByName(more)
-    out = main_table(frame, picks.persist(), models, "probability_mass")
-    if not out["n_mismatches"].isEmpty():
-        raise ValueError("systems do not cover the same samples; see the mismatches of main_table")
-    return out
+        more, extra = learner_slots(own.join(split, "sample_id").persist(), models, parts, {learner: params})
+        more = written(more.select("sample_id", F.col("slots").alias("_more")), "further-picks")
+        none = F.array(*[F.lit(None).cast("int")] * len(extra.names))
+        rows = rows.join(more, "sample_id", "left").withColumn("slots", F.concat("slots", F.coalesce("_more", none))).drop("_more")
+        runs = Runs([*runs.names, *[(s, system) for s, _ in extra.names]], runs.keys)
+    return main_table(written(rows.select("sample_id", "dataset", "score", "slots"), "grouped-picks"), models, runs, "probability_mass")
 
 
 def ood_suite(
@@ -531,10 +552,10 @@ def reproduce_all(
     wide, systems = representation_systems(fs, first)
     frame, parts = with_partitions(training_frame(samples, outcomes, wide, models), seeds)
     frame = frame.persist()
-    runs = suite_metrics(frame, linear_suite(frame, models, systems, parts), models)
-    summary = metrics.seed_summary(runs)
+    runs = metrics.slot_metrics(*_slot_args(linear_slots(frame, models, systems, parts), models))
+    means = metrics.seed_summary(runs)
     label = F.concat(F.lit("representation/"), F.col("system"))
-    parts_out = [summary.select(label.alias("experiment"), F.lit("AvgAcc_mean").alias("metric"), F.col("AvgAcc_mean").alias("value"))]
+    parts_out = [means.select(label.alias("experiment"), F.lit("AvgAcc_mean").alias("metric"), F.col("AvgAcc_mean").alias("value"))]
     picks = {}
     for name, backend, mode in [("pm", first, "probability_mass"), ("hard", first, "hard")] + [
         (f"pm_{b}", b, "probability_mass") for b in list(feature_sets)[1:]
@@ -550,8 +571,8 @@ def reproduce_all(
         parts_out.append(headline(test, f"paired/{a}-{b}", cols))
     pm = features.representation(fs, "probability_mass", first)
     pm_frame = training_frame(samples, outcomes, pm, models).persist()
-    _, nested = nested_probe_selection(pm_frame, pm.names, models, first)
-    nested_runs = metrics.benchmark_metrics(pm_frame, nested, models, ("system",))
+    _, nested, both = nested_probe_selection(pm_frame, pm.names, models, first)
+    nested_runs = metrics.slot_metrics(nested, models, both)
     tag = F.concat(F.lit("nested/"), F.col("system"))
     parts_out.append(nested_runs.select(tag.alias("experiment"), F.lit("AvgAcc").alias("metric"), F.col("AvgAcc").alias("value")))
     entropy = features.semantic_entropy(fs, first)

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Scratch folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "pointsman", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
@@ -43,8 +47,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="pointsman-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # The setting cannot be changed in a running session, so the folder is kept here.
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="pointsman-")
+        _LOCAL[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/pointsman/{name}-{uuid.uuid4().hex}"
 
 

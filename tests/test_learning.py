@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointsman.operators import features, linear, paired, routing, selective, trees
+from pointsman.operators import features, linear, metrics, paired, routing, selective, trees
 from pointsman.operators.features import FeatureSet
 from pointsman.plans import experiments
 
@@ -121,7 +121,7 @@ def test_linear_suite_equals_single_runs(spark, data):
 def test_nested_selection_against_brute_force(spark, data):
     frame, x, y = data
     names = ["b_p__noul", "b_q__noul", "b_r__p__0", "b_r__p__1", "b_s__p__0", "b_s__p__1"]
-    selection, picks = experiments.nested_probe_selection(frame, names, MODELS, "b", keep=2, outer_folds=3, inner_folds=2, seed=5)
+    selection, rows, runs = experiments.nested_probe_selection(frame, names, MODELS, "b", keep=2, outer_folds=3, inner_folds=2, seed=5)
     from pointsman.operators import splits
 
     outer = {int(r.sample_id): r["fold"] for r in splits.stratified_folds(frame, 3, 5, True).collect()}
@@ -147,6 +147,7 @@ def test_nested_selection_against_brute_force(spark, data):
         for probe, own in cols.items():
             want = base - accuracy([i for i in range(6) if i not in own])
             assert got[(o, probe)].contribution_pp == pytest.approx(want, abs=1e-9)
+    picks = metrics.slot_picks(rows, MODELS, runs)
     assert picks.groupBy("system").agg(F.count_distinct("sample_id").alias("n")).where("n = 240").count() == 2
 
 
