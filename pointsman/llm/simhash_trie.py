@@ -248,9 +248,227 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component stays (smallest doc_id, then first by file and row), with all its columns."""
+# ---- one of each group of near copies ---------------------------------------------------------
+
+#: Tries of the wide budget (each reads the bits from another quarter on) and the ratio of shingle counts of one size class.
+QUARTERS, RATIO = 4, 1.25
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted, distinct 64-bit hashes of the text's word shingles; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n))
+
+
+def quarter_pairs(a: np.ndarray, b: np.ndarray, budget: int, chunk: int = 1 << 18):
+    """Index pairs (into the sorted unsigned `a` and `b`) within `budget` bits, of which at most a quarter in the leading quarter.
+
+    Both tries are traversed together down to the leading quarter's last bit; what is left of a node pair is compared directly.
+    """
+    lead = BITS // QUARTERS
+    stack = [(0, np.array([[0], [len(a)], [0], [len(b)], [0]], np.int64))] if len(a) and len(b) else []
+    while stack:
+        depth, nodes = stack.pop()
+        la, ha, lb, hb, _ = nodes
+        few = ((ha - la) * (hb - lb) <= 16) if depth < lead else np.ones(len(la), bool)
+        large = few & ((ha - la) * (hb - lb) > chunk)
+        if large.any():
+            # Halved on the longer side until a piece fits.
+            big = nodes[:, large]
+            on_a = (big[1] - big[0]) >= (big[3] - big[2])
+            mid = np.where(on_a, big[0] + big[1], big[2] + big[3]) // 2
+            lower, upper = big.copy(), big.copy()
+            lower[1], upper[0] = np.where(on_a, mid, big[1]), np.where(on_a, mid, big[0])
+            lower[3], upper[2] = np.where(on_a, big[3], mid), np.where(on_a, big[2], mid)
+            stack += [(depth, lower), (depth, upper)]
+            nodes, few = nodes[:, ~large], few[~large]
+            la, ha, lb, hb, _ = nodes
+        if few.any():
+            na, nb = (ha - la)[few], (hb - lb)[few]
+            each = na * nb
+            cuts = np.searchsorted(np.cumsum(each), np.arange(chunk, each.sum() + chunk, chunk), "left") + 1
+            for s, e in zip([0, *cuts[:-1]], cuts, strict=True):
+                m = each[s:e]
+                if not m.sum():
+                    continue
+                k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                i = np.repeat(la[few][s:e], m) + k // np.repeat(nb[s:e], m)
+                j = np.repeat(lb[few][s:e], m) + k % np.repeat(nb[s:e], m)
+                ok = np.bitwise_count(a[i] ^ b[j]) <= budget
+                if ok.any():
+                    yield i[ok], j[ok]
+        la, ha, lb, hb, err = nodes[:, ~few]
+        if not len(la):
+            continue
+        bit = np.uint64(BITS - 1 - depth)
+        top = lambda x: (x >> bit | np.uint64(1)) << bit
+        ma, mb = np.clip(np.searchsorted(a, top(a[la])), la, ha), np.clip(np.searchsorted(b, top(b[lb])), lb, hb)
+        parts = [np.array([la, ma, lb, mb, err]), np.array([ma, ha, mb, hb, err]), np.array([la, ma, mb, hb, err + 1]), np.array([ma, ha, lb, mb, err + 1])]
+        nxt = np.concatenate(parts, axis=1)
+        nxt = nxt[:, (nxt[0] < nxt[1]) & (nxt[2] < nxt[3]) & (nxt[4] <= budget // QUARTERS)]
+        stack += [(depth + 1, nxt[:, k : k + chunk]) for k in range(0, nxt.shape[1], chunk)]
+
+
+def _class(size: str) -> Column:
+    """Sets of a similarity of 0.8 or more are of the same size class or of neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / float(np.log(RATIO))).cast("long")
+
+
+def _dealt(rows: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """`rows` (i, fp, class, asks) with the node pair they meet in: turn, window, a, mask, side.
+
+    A window is a size class and the next larger one. Prefixes of the leading quarter are as long as groups of about `leaf` rows need; a row
+    goes to every prefix within the quarter's share of the budget. A node pair is named by its lower prefix and the difference.
+    """
+    turned = [F.shiftleft("fp", k * BITS // QUARTERS).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * BITS // QUARTERS)) if k else F.col("fp") for k in range(QUARTERS)]
+    turns = F.array(*[F.struct(F.lit(k).alias("turn"), v.alias("v")) for k, v in enumerate(turned)])
+    most = rows.groupBy("class").count().agg(F.max("count")).first()[0] or 0
+    depth = min(BITS // QUARTERS, max(0, int(np.ceil(np.log2(max(1, 2 * most / leaf))))))
+    node = F.shiftrightunsigned("v", BITS - depth) if depth else F.lit(0).cast("long")
+    masks = [sum(1 << i for i in c) for r in range(min(budget // QUARTERS, depth) + 1) for c in combinations(range(depth), r)]
+    met = rows.select("i", "asks", "class", F.explode(turns).alias("t")).select("i", "asks", "class", "t.*")
+    met = met.withColumn("low", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("window", F.col("class") - F.col("low")).drop("class").withColumn("node", node)
+    met = met.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+    met = met.withColumn("a", F.least("node", F.col("node").bitwiseXOR(F.col("mask"))))
+    return met.withColumn("side", (F.col("node") != F.col("a")).cast("int")).drop("node")
+
+
+class _Meeting:
+    """The rows of one node pair, in the order of their numbers."""
+
+    def __init__(self, pdf: pd.DataFrame, budget: int):
+        pdf = pdf.sort_values("i")
+        self.ids, self.v, self.asks = pdf["i"].to_numpy(), pdf["v"].to_numpy().view(np.uint64), pdf["asks"].to_numpy()
+        self.side, self.low, self.budget = pdf["side"].to_numpy(), pdf["low"].to_numpy(), budget
+        self.one = pdf["mask"].iloc[0] == 0
+
+    def pairs(self, q: np.ndarray, h: np.ndarray):
+        """Pairs of the rows q and h within the budget (in a window, not two of its larger class, which meet in another)."""
+        sides = [(q, h)] if self.one else [(q[self.side[q] == s], h[self.side[h] != s]) for s in (0, 1)]
+        for x, y in sides:
+            x, y = x[np.argsort(self.v[x], kind="stable")], y[np.argsort(self.v[y], kind="stable")]
+            for i, j in quarter_pairs(self.v[x], self.v[y], self.budget):
+                i, j = x[i], y[j]
+                ok = ((self.low[i] == 0) | (self.low[j] == 0)) & (i != j)
+                yield i[ok], j[ok]
+
+
+def _first_neighbours(rows: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """(i, m): the smallest row number that each row is within the budget of, if it is smaller than its own.
+
+    Equal fingerprints of a size class are one row first. In a task, rows look among the first ones before they look further, and leave once they
+    have found one, so a group of near copies costs no more than its size.
+    """
+    rows = rows.withColumn("key", F.concat_ws(":", "fp", "class"))
+    groups = written(rows.groupBy("key", "fp", "class").agg(F.min("i").alias("i"), F.count("*").alias("n")), "simhash-groups")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        met = _Meeting(pdf, budget)
+        n = len(met.ids)
+        best, left, start, size = np.arange(n), np.arange(n), 0, 1024
+        while start < n and len(left):
+            for i, j in met.pairs(left, np.arange(start, min(n, start + size))):
+                np.minimum.at(best, i, j)
+            start, size = start + size, 2 * size
+            left = left[(left >= start) & (best[left] == left)]
+        k = np.nonzero(best < np.arange(n))[0]
+        return pd.DataFrame({"i": met.ids[k], "m": met.ids[best[k]]})
+
+    met = _dealt(groups.withColumn("asks", F.lit(False)), budget, leaf).groupBy("turn", "window", "a", "mask").applyInPandas(run, "i bigint, m bigint")
+    least = met.groupBy("i").agg(F.min("m").alias("m"))
+    least = groups.join(least, "i", "left").select("key", "n", F.least("i", F.coalesce("m", "i")).alias("m"))
+    found = attach(rows.select("i", "key"), least, "key", "n", rows.count(), F.col("i"))
+    return found.where("m < i").select("i", "m")
+
+
+def _asked(rows: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """(i, hub): rows that do not ask, each with every asking row within the budget."""
+    # Rows are spread over copies of the asking ones, which are few where rows are near each other.
+    salts = 1 + rows.count() // (20 * leaf)
+    salt = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.pmod(F.xxhash64("i"), F.lit(salts).cast("long"))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        met = _Meeting(pdf, budget)
+        out = [np.zeros((2, 0), np.int64)]
+        for i, j in met.pairs(np.nonzero(~met.asks)[0], np.nonzero(met.asks)[0]):
+            out.append(np.stack([met.ids[i], met.ids[j]]))
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pd.DataFrame({"i": found[0], "hub": found[1]})
+
+    dealt = _dealt(rows, budget, leaf).withColumn("salt", F.explode(salt))
+    return dealt.groupBy("turn", "window", "a", "mask", "salt").applyInPandas(run, "i bigint, hub bigint").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows i of `pairs` (i, hub) whose shingles have the similarity with some hub's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("own").to_pylist(), b.column("theirs").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("i")], ["i"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs, "simhash-asked")
+    sizes = written(pairs.groupBy("hub").agg(F.count("*").alias("n")), "simhash-hubs")
+    hubs = sizes.join(sets.select(F.col("i").alias("hub"), F.col("set").alias("theirs")), "hub")
+    both = attach(pairs, hubs, "hub", "n", pairs.count(), F.col("i")).join(sets.select("i", F.col("set").alias("own")), "i")
+    return both.select("i", "own", "theirs").mapInArrow(run, "i bigint").distinct()
+
+
+def kept_rows(rows: DataFrame, budget: int = 15, similarity: float = 0.8, leaf: int = 100_000) -> DataFrame:
+    """(i) of the rows of (i, fp, set) that stay: each other row is similar to one that stays, and no two of them are found similar.
+
+    In a round, a row without an earlier neighbour within the budget stays, and rows whose shingles have the similarity with it go; the others try again
+    among themselves.
+    """
+    if similarity < 1 / RATIO:
+        raise ValueError("size classes are made for a similarity of 0.8 or more")
+    sized = rows.select("i", "fp", (F.octet_length("set") / 8).cast("long").alias("size"))
+    left = written(sized.select("i", "fp", _class("size").alias("class")), "simhash-left")
+    sets = rows.select("i", "set")
+    stay = None
+    while True:
+        first = written(_first_neighbours(left, budget, leaf), "simhash-first")
+        marked = left.join(first.select("i", F.lit(False).alias("asks")), "i", "left")
+        marked = written(marked.withColumn("asks", F.coalesce("asks", F.lit(True))), "simhash-round")
+        hubs = marked.where("asks").select("i")
+        stay = hubs if stay is None else stay.unionByName(hubs)
+        rest = marked.where("not asks").drop("asks")
+        if rest.isEmpty():
+            return stay
+        gone = written(_similar(_asked(marked, budget, leaf), sets, similarity), "simhash-gone")
+        left = written(rest.join(gone, "i", "left_anti"), "simhash-left")
+        if left.isEmpty():
+            return stay
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, budget: int = 15, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` that stay when of similar ones (shingles of five words, Jaccard 0.8 or more) one is kept, with all their columns.
+
+    Candidates are fingerprints of the same shingles within `budget` bits: near copies at the very limit of the similarity differ in ten bits on
+    average, so most are found; every candidate is compared by its whole shingles, so no other row goes. A row goes only for its similarity with one
+    that stays, never through others; of two similar rows that of the smaller id is tried first. Texts without words are similar to each other. Rows with
+    equal ids are told apart by file and row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+            sets = pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("f"), b.column("r"), pa.array(fps), sets], ["d", "f", "r", "fp", "set"])
+
     places, file, row = located(docs)
-    rows = near_copies(places, file, row)
-    keep = rows.groupBy("root").agg(F.min(F.struct("doc_id", file, row)).alias("k")).select(f"k.{file}", f"k.{row}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = places.select(F.col("doc_id").alias("d"), F.col(file).alias("f"), F.col(row).alias("r"), "text")
+    made = made.mapInArrow(run, f"d {kind}, f string, r bigint, fp bigint, set binary")
+    # Row numbers in the order of ids, whatever files the rows came from.
+    made = made.repartitionByRange("d", "f", "r").sortWithinPartitions("d", "f", "r")
+    rows = written(made.withColumn("i", F.monotonically_increasing_id()).drop("d"), "simhash-sets")
+    keep = rows.join(kept_rows(rows, budget, similarity), "i", "left_semi").select(F.col("f").alias(file), F.col("r").alias(row))
     return places.join(keep, [file, row], "left_semi").drop(file, row)
