@@ -179,33 +179,46 @@ def _expected(spark, sf):
     return checks.Expected(samples=n, datasets=24, models=len(MODELS), outcomes=n * len(MODELS), reference_model="m3")
 
 
+_ID = "CAST(sample_id AS BIGINT)"
+_FAULTS = f"""fs AS (SELECT sample_id, dataset FROM ps UNION ALL SELECT sample_id, dataset FROM ps WHERE key % 500 = 1),
+    fo AS (SELECT sample_id, model FROM po WHERE {_ID} % 400 <> 3 UNION ALL SELECT sample_id, model FROM po WHERE {_ID} % 300 = 2 AND model = 'm2'
+      UNION ALL SELECT 'x' || sample_id, model FROM po WHERE {_ID} % 700 = 5 AND model = 'm1')"""
 _POOL = [
-    ("samples", "(SELECT count(*) FROM ps)", "true"),
-    ("datasets", "(SELECT count(DISTINCT dataset) FROM ps)", "(SELECT count(DISTINCT dataset) FROM ps) = 24"),
-    ("outcomes", "(SELECT count(*) FROM po)", "(SELECT count(*) FROM po) = 7 * (SELECT count(*) FROM ps)"),
-    ("models", "(SELECT count(DISTINCT model) FROM po)", "(SELECT count(DISTINCT model) FROM po) = 7"),
-    ("duplicate samples", "0", "true"),
-    ("duplicate outcomes", "0", "true"),
-    ("samples without outcome", "0", "true"),
-    ("outcomes without sample", "0", "true"),
-    ("reference candidate", "1", "true"),
+    ("samples", "(SELECT count(*) FROM fs)", "(SELECT count(*) FROM ps)"),
+    ("datasets", "(SELECT count(DISTINCT dataset) FROM fs)", "24"),
+    ("outcomes", "(SELECT count(*) FROM fo)", "7 * (SELECT count(*) FROM ps)"),
+    ("models", "(SELECT count(DISTINCT model) FROM fo)", "7"),
+    ("duplicate samples", "(SELECT count(*) FROM (SELECT sample_id FROM fs GROUP BY ALL HAVING count(*) > 1))", "0"),
+    ("duplicate outcomes", "(SELECT count(*) FROM (SELECT sample_id, model FROM fo GROUP BY ALL HAVING count(*) > 1))", "0"),
+    ("samples without outcome", "(SELECT count(*) FROM fs WHERE sample_id NOT IN (SELECT sample_id FROM fo))", "0"),
+    ("outcomes without sample", "(SELECT count(*) FROM fo WHERE sample_id NOT IN (SELECT sample_id FROM fs))", "0"),
+    ("reference candidate", "(SELECT count(*) FROM (SELECT 1 FROM fo WHERE model = 'm3' LIMIT 1))", "1"),
 ]
 
 
 def _pool_sql(label: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{label}: {n}' AS \"check\", {p} AS passed, CAST({v} AS VARCHAR) AS observed" for n, v, p in _POOL)
+    return " UNION ALL ".join(f"SELECT '{label}: {n}' AS \"check\", {v} = {e} AS passed, CAST({v} AS VARCHAR) AS observed" for n, v, e in _POOL)
 
 
-@query("pool_validation", _CHECK_SPEC, _pool_sql("pool"))
+def _faulty(spark, sf):
+    """The pool with faults: samples twice, outcomes missing, twice and of unknown samples."""
+    samples, outcomes = pools.p_samples(spark, sf), pools.p_outcomes(spark, sf)
+    key = F.col("sample_id").cast("long")
+    twice = outcomes.where((key % 300 == 2) & (F.col("model") == "m2"))
+    stray = outcomes.where((key % 700 == 5) & (F.col("model") == "m1")).withColumn("sample_id", F.concat(F.lit("x"), "sample_id"))
+    return samples.unionByName(samples.where("key % 500 = 1")).persist(), outcomes.where(key % 400 != 3).unionByName(twice).unionByName(stray).persist()
+
+
+@query("pool_validation", _CHECK_SPEC, f"WITH {_FAULTS} {_pool_sql('pool')}")
 def pool_validation(spark, sf):
-    return checks.pool_checks("pool", pools.p_samples(spark, sf).persist(), pools.p_outcomes(spark, sf).persist(), _expected(spark, sf))
+    return checks.pool_checks("pool", *_faulty(spark, sf), _expected(spark, sf))
 
 
 _FEATURE = [
     ("rows", "(SELECT count(*) FROM ps)"), ("ids", "(SELECT count(*) FROM ps)"), ("features", "40"), ("not finite", "0"), ("out of range", "0"),
     ("samples without features", "0"), ("features without sample", "0"),
 ]
-_RELEASE = _pool_sql("performance") + "".join(
+_RELEASE = f"WITH {_FAULTS} " + _pool_sql("performance") + "".join(
     f" UNION ALL SELECT 'sem: {n}', true, CAST({v} AS VARCHAR)" for n, v in _FEATURE
 ) + """ UNION ALL SELECT 'direct: duplicate predictions', true, '0' UNION ALL SELECT 'direct: samples without prediction', true, '0'
   UNION ALL SELECT 'direct: predictions without sample', true, '0' UNION ALL SELECT 'vectors: dimensions', true, '1'
@@ -218,7 +231,7 @@ def release_validation(spark, sf):
     expected = _expected(spark, sf)
     frame, a, _ = _sides(spark, sf)
     tables = [
-        checks.pool_checks("performance", samples, pools.p_outcomes(spark, sf).persist(), expected),
+        checks.pool_checks("performance", *_faulty(spark, sf), expected),
         checks.feature_checks("sem", pools.p_features(samples), BACKEND, samples, expected),
         checks.prediction_checks("direct", a.select("sample_id", "selected_score").persist(), samples),
         checks.vector_checks("vectors", pools.d_vectors(spark, sf), samples),

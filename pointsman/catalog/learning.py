@@ -13,9 +13,10 @@ from pointsman.catalog.semantic import _D_GROUPS, _fold_sql, _share, _split_sql
 from pointsman.catalog.sql import MODELS, h, h_text
 from pointsman.functions import draws
 from pointsman.operators.features import BINARY_PROBES, SCORE_PROBES
-from pointsman.operators import boosting, cost, features, linear, metrics, routing, selective, splits
+from pointsman.operators import boosting, cost, features, linear, metrics, paired, routing, selective, splits
 from pointsman.plans import experiments
-from pointsman.session import join_checked, scratch_path
+from pointsman.session import join_checked, scratch_path, summary
+from pointsman.streaming import monitor
 from pointsman.streaming import route as live
 
 _LONG_PRED = F.posexplode
@@ -405,13 +406,25 @@ def nested_probe_metrics(spark, sf):
     return metrics.slot_metrics(rows, MODELS, runs)
 
 
+@query(
+    "nested_probe_test",
+    "macro_diff_pp 6, bootstrap_ci_low_pp 6, bootstrap_ci_high_pp 6, permutation_p_two_sided 6, margin_pp 4, lower_one_sided_pp 6, noninferior_A_to_B b, n_queries i, n_datasets i, n_inference_clusters i",
+)
+def nested_probe_test(spark, sf):
+    """The twelve probes kept in each outer fold against all of them: two-sided test and one-sided bound from the same replicates."""
+    frame, names = _mass_frame(spark, sf)
+    _, rows, runs = experiments.nested_probe_selection(frame.persist(), names, MODELS, BACKEND)
+    return paired.slot_test(rows, runs.names.index(("lite",)), runs.names.index(("full",)))
+
+
 _OOD_SPEC = "domain s, safe_model s, threshold 6, calibration_coverage 6, calibration_score 6, test_coverage 6, test_score 6, router_only_score 6, best_single_score 6, oracle_score 6, n_fit i, n_calibration i, n_test i"
 
 
 _GRID = ", ".join(f"{0.5 + 0.5 * i / 100}::DOUBLE" for i in range(101))
-_DOMAIN_OOD = f"""WITH RECURSIVE dms AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS g FROM (SELECT DISTINCT domain FROM ps)),
+def _domain_ood(seed: int) -> str:
+    return f"""WITH RECURSIVE dms AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS g FROM (SELECT DISTINCT domain FROM ps)),
     lab AS (SELECT g, sample_id, CASE WHEN rn <= {_share('n', 0.8)} THEN 'fit' ELSE 'calibration' END AS label FROM (
-        SELECT dms.g, s.sample_id, row_number() OVER (PARTITION BY dms.g, s.dataset ORDER BY {h_text('3407', 's.sample_id')}) AS rn, count(*) OVER (PARTITION BY dms.g, s.dataset) AS n
+        SELECT dms.g, s.sample_id, row_number() OVER (PARTITION BY dms.g, s.dataset ORDER BY {h_text(str(seed), 's.sample_id')}) AS rn, count(*) OVER (PARTITION BY dms.g, s.dataset) AS n
         FROM ps s JOIN dms ON s.domain <> dms.domain) UNION ALL SELECT g, sample_id, 'test' FROM ps JOIN dms USING (domain)),
     {ridge_sql('r', "SELECT g, sample_id FROM lab WHERE label = 'fit'", 'SELECT g, CAST(substr(model, 2) AS BIGINT) AS t, sample_id, score AS y FROM po, (SELECT g FROM dms) q', "SELECT g, sample_id FROM lab WHERE label <> 'fit'")},
     safe AS (SELECT g, model FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a DESC, model) AS rn FROM (SELECT g, model, avg(score) AS a FROM lab JOIN po USING (sample_id) WHERE label = 'fit' GROUP BY ALL)) WHERE rn = 1),
@@ -428,13 +441,35 @@ _DOMAIN_OOD = f"""WITH RECURSIVE dms AS (SELECT domain, row_number() OVER (ORDER
     FROM rt JOIN cho ON cho.g = rt.g JOIN safe ON safe.g = rt.g JOIN dms ON dms.g = rt.g WHERE label = 'test' GROUP BY rt.g, domain"""
 
 
-@query("calibrated_domain_ood", _OOD_SPEC, _DOMAIN_OOD)
-def calibrated_domain_ood(spark, sf):
+@query("calibrated_domain_ood", _OOD_SPEC, _domain_ood(3407))
+def calibrated_domain_ood(spark, sf, seed=3407):
     frame, _ = _mass_frame(spark, sf)
     domains = sorted(r[0] for r in frame.select("domain").distinct().collect())
     # Nine decimals: entropies are sums in varying order, and thresholds compare them.
     entropy = pools.entropy_table(frame).withColumn("uncertainty", F.round("uncertainty", 9))
-    return experiments.calibrated_domain_ood(frame, entropy, MODELS, domains)
+    return experiments.calibrated_domain_ood(frame, entropy, MODELS, domains, seed=seed)
+
+
+def _of_seeds(sql, seeds) -> str:
+    return " UNION ALL ".join(f"SELECT {s} AS seed, * FROM ({sql(s)})" for s in seeds)
+
+
+@query(
+    "calibrated_summary",
+    "n_seeds i, test_score_mean_pct 6, test_score_std_pct 6, router_only_mean_pct 6, router_only_std_pct 6, coverage_mean_pct 6, coverage_std_pct 6",
+    f"""WITH d AS ({_of_seeds(_domain_ood, experiments.SEEDS)}),
+       s AS (SELECT seed, avg(test_score) AS ts, avg(router_only_score) AS rs, avg(test_coverage) AS cov FROM d GROUP BY seed)
+       SELECT count(*) AS n_seeds, avg(ts) * 100 AS test_score_mean_pct, stddev_samp(ts) * 100 AS test_score_std_pct, avg(rs) * 100 AS router_only_mean_pct,
+         stddev_samp(rs) * 100 AS router_only_std_pct, avg(cov) * 100 AS coverage_mean_pct, stddev_samp(cov) * 100 AS coverage_std_pct FROM s""",
+)
+def calibrated_summary(spark, sf):
+    """Calibrated domain holdouts under every seed."""
+    # A row per domain.
+    runs = [summary(calibrated_domain_ood(spark, sf, s)).withColumn("seed", F.lit(s)) for s in experiments.SEEDS]
+    rows = runs[0]
+    for r in runs[1:]:
+        rows = rows.unionByName(r)
+    return selective.calibrated_seed_summary(selective.domain_macro(rows, ("seed",)))
 
 
 # ---- cost protocols ------------------------------------------------------------------------------------
@@ -496,22 +531,46 @@ def perf_cost_eval(spark, sf):
     return experiments.perf_cost_eval(frame, MODELS, "m1")[0]
 
 
-@query(
-    "perf_cost_eval_validated",
-    _COST_SPEC,
-    f"""WITH RECURSIVE {_COST_PART}, ou AS ({_split_sql(3407, 0.7, 'sm', 'leakage_group')}), tr AS (SELECT * FROM sm WHERE sample_id IN (SELECT sample_id FROM ou WHERE partition = 'train')),
-        inn AS ({_split_sql(3407 + splits.INNER_SEED_STEP, 0.8, 'tr', 'leakage_group', 'inner_fit', 'validation')}),
+def _validated(seed: int) -> str:
+    return f"""WITH RECURSIVE {_COST_PART}, ou AS ({_split_sql(seed, 0.7, 'sm', 'leakage_group')}), tr AS (SELECT * FROM sm WHERE sample_id IN (SELECT sample_id FROM ou WHERE partition = 'train')),
+        inn AS ({_split_sql(seed + splits.INNER_SEED_STEP, 0.8, 'tr', 'leakage_group', 'inner_fit', 'validation')}),
         vfit AS (SELECT sample_id FROM inn WHERE partition = 'inner_fit'), val AS (SELECT sample_id FROM inn WHERE partition = 'validation'), tst AS (SELECT sample_id FROM ou WHERE partition = 'test'),
         {_cost_predictions('v', 'SELECT sample_id FROM vfit', 'SELECT sample_id FROM vfit UNION ALL SELECT sample_id FROM val')},
         {_cost_sweep('v', f'SELECT sample_id FROM val WHERE sample_id IN ({_SUPPORTED})', 'SELECT sample_id FROM vfit')},
         {_cost_predictions('e', 'SELECT sample_id FROM tr', 'SELECT sample_id FROM tr UNION ALL SELECT sample_id FROM tst')},
-        {_cost_sweep('e', f'SELECT sample_id FROM tst WHERE sample_id IN ({_SUPPORTED})', 'SELECT sample_id FROM tr')}, {_points('v', 'e')}""",
-)
-def perf_cost_eval_validated(spark, sf):
-    frame = splits.nested_split(_cost_frame(spark, sf)).persist()
+        {_cost_sweep('e', f'SELECT sample_id FROM tst WHERE sample_id IN ({_SUPPORTED})', 'SELECT sample_id FROM tr')}, {_points('v', 'e')}"""
+
+
+@query("perf_cost_eval_validated", _COST_SPEC, _validated(3407))
+def perf_cost_eval_validated(spark, sf, seed=3407):
+    frame = splits.nested_split(_cost_frame(spark, sf), seed=seed).persist()
     return experiments.perf_cost_eval_validated(frame, MODELS, "m1")[0]
 
 
+@query(
+    "cost_seed_summary",
+    "PerfGain_pct_mean 6, PerfGain_pct_std 6, positive_PerfGain_seeds i, strict_CostSave_reported_seeds i, positive_strict_CostSave_seeds i",
+    f"""WITH r AS ({_of_seeds(_validated, experiments.COST_SEEDS)})
+       SELECT avg(PerfGain_pct) AS PerfGain_pct_mean, stddev_samp(PerfGain_pct) AS PerfGain_pct_std, count(*) FILTER (PerfGain_pct > 0) AS positive_PerfGain_seeds,
+         count(CostSave_pct) AS strict_CostSave_reported_seeds, count(*) FILTER (CostSave_pct > 0) AS positive_strict_CostSave_seeds FROM r""",
+)
+def cost_seed_summary(spark, sf):
+    """The validated protocol under every cost seed."""
+    # One row each.
+    runs = [summary(perf_cost_eval_validated(spark, sf, s)) for s in experiments.COST_SEEDS]
+    rows = runs[0]
+    for r in runs[1:]:
+        rows = rows.unionByName(r)
+    return cost.seed_summary(rows)
+
+
+@query("perf_cost_eval_trees", _COST_SPEC)
+def perf_cost_eval_trees(spark, sf):
+    """The protocol with boosted trees per candidate as the quality model; 40 of the learner's 500 rounds (README, Partial)."""
+    frame = splits.id_split(_cost_frame(spark, sf), 0.7, 3407, grouped=True).persist()
+    return experiments.perf_cost_eval(frame, MODELS, "m1", learner="gbt", max_iter=40)[0]
+
+
 # ---- batch and streaming routes --------------------------------------------------------------------------
 
 _ROUTE = f"""WITH RECURSIVE {ridge_sql('r', _ALL, _SCORES, _ALL)}, rk AS (SELECT sample_id, 'm' || t AS model, pred, row_number() OVER (PARTITION BY sample_id ORDER BY pred DESC, t) AS rn FROM r_pred)"""
@@ -548,6 +607,22 @@ def stream_route(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(
+    "stream_outcome_monitor",
+    "start s, candidate s, n i, mean_score 6, least 6, most 6",
+    """WITH w AS (SELECT date_trunc('day', ts) AS d, event_type AS candidate, count(*) AS n, avg(value) AS mean_score, min(value) AS least, max(value) AS most FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+       SELECT strftime(d, '%Y-%m-%d') AS start, candidate, n, mean_score, least, most FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
+def stream_outcome_monitor(spark, sf):
+    """Daily outcomes per event type, emitted as the watermark closes the days."""
+    source, out = scratch_path(spark, "events"), scratch_path(spark, "monitored")
+    events = pools.table(spark, sf, "events")
+    events.write.parquet(source)
+    windows = monitor.outcome_monitor(live.scan_stream(spark, source, events.schema), "ts", "event_type", "value")
+    live.sink(windows, out, scratch_path(spark, "monitor-log"), available_now=True).awaitTermination()
+    return spark.read.schema(windows.schema).parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
 @query("reproduce_all", "experiment s, metric s, value 6")
 def reproduce_all(spark, sf):
     """The grouped protocol for two backends, all seeds and draws."""
@@ -572,4 +647,4 @@ def abstention_from_ood(spark, sf):
     return selective.abstention_macro(selective.abstention_controls(rows))
 
 
-del np, cost
+del np

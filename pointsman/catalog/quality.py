@@ -606,24 +606,6 @@ def abstention_macro(spark, sf):
     return selective.abstention_macro(selective.abstention_controls(_routed(spark, sf), random_repeats=_REPEATS))
 
 
-@query(
-    "calibrated_summary",
-    "n_seeds i, test_score_mean_pct 6, test_score_std_pct 6, router_only_mean_pct 6, router_only_std_pct 6, coverage_mean_pct 6, coverage_std_pct 6",
-    """WITH d AS (SELECT seed, domain, avg(selected_score) AS ts, avg(oracle_score) AS rs, avg(CASE WHEN prediction_margin > 0.1 THEN 1.0 ELSE 0.0 END) AS cov FROM pk WHERE system = 'alpha' GROUP BY ALL),
-       s AS (SELECT seed, avg(ts) AS ts, avg(rs) AS rs, avg(cov) AS cov FROM d GROUP BY seed)
-       SELECT count(*) AS n_seeds, avg(ts) * 100 AS test_score_mean_pct, stddev_samp(ts) * 100 AS test_score_std_pct, avg(rs) * 100 AS router_only_mean_pct,
-         stddev_samp(rs) * 100 AS router_only_std_pct, avg(cov) * 100 AS coverage_mean_pct, stddev_samp(cov) * 100 AS coverage_std_pct FROM s""",
-)
-def calibrated_summary(spark, sf):
-    rows = _picks(spark, sf).where("system = 'alpha'").groupBy("seed", "domain").agg(
-        F.avg("selected_score").alias("test_score"),
-        F.avg("oracle_score").alias("router_only_score"),
-        F.avg("selected_score").alias("best_single_score"),
-        F.avg((F.col("prediction_margin") > 0.1).cast("double")).alias("test_coverage"),
-    )
-    return selective.calibrated_seed_summary(selective.domain_macro(rows, ("seed",)))
-
-
 # ---- quality and cost --------------------------------------------------------------------
 
 _BOUNDS = "b AS (SELECT min(q) AS qmin, max(q) AS qmax, min(c) AS cmin, max(c) AS cmax FROM opr)"
@@ -741,18 +723,6 @@ def perf_gain_cost_save(spark, sf):
     )
 
 
-@query(
-    "cost_seed_summary",
-    "PerfGain_pct_mean 6, PerfGain_pct_std 6, positive_PerfGain_seeds i, strict_CostSave_reported_seeds i, positive_strict_CostSave_seeds i",
-    """WITH r AS (SELECT seed, system, (AvgAcc / BestSingleAvg - 1) * 100 AS pg, CASE WHEN GainB > 0 THEN GainB END AS cs FROM bm)
-       SELECT avg(pg) AS PerfGain_pct_mean, stddev_samp(pg) AS PerfGain_pct_std, count(*) FILTER (pg > 0) AS positive_PerfGain_seeds,
-         count(cs) AS strict_CostSave_reported_seeds, count(*) FILTER (cs > 0) AS positive_strict_CostSave_seeds FROM r""",
-)
-def cost_seed_summary(spark, sf):
-    runs = benchmark_metrics(spark, sf).withColumn("PerfGain_pct", cost.perf_gain(F.col("AvgAcc"), F.col("BestSingleAvg")))
-    return cost.seed_summary(runs.withColumn("CostSave_pct", F.when(F.col("GainB") > 0, F.col("GainB"))))
-
-
 @query(
     "route_cost_aware",
     "sample_id s, lambda 4, selected_model s, selected_score 6",

@@ -10,7 +10,7 @@ from pointsman.catalog.registry import query
 from pointsman.catalog.sql import collapse, h_text
 from pointsman.functions import numeric, text
 from pointsman.operators import features, splits, tfidf
-from pointsman.operators.features import FAMILY_PROBE, FeatureSet
+from pointsman.operators.features import FAMILY_LABELS, FAMILY_PROBE, FeatureSet
 
 # ---- encoding ---------------------------------------------------------------------------------
 
@@ -54,11 +54,12 @@ _MASS = """SELECT sample_id, probe, k, p FROM pf_score"""
 @query(
     "parse_probabilities",
     "sample_id s, probe s, pos i, key s, p 8",
-    f"SELECT sample_id, probe, k AS pos, CAST(k AS VARCHAR) AS key, p FROM ({_MASS})",
+    f"""SELECT sample_id, probe, k AS pos, CAST(k AS VARCHAR) AS key, p FROM ({_MASS})
+        UNION ALL SELECT sample_id, '{FAMILY_PROBE}', list_position({list(FAMILY_LABELS)!r}, label) - 1, label, p FROM pf_fam""",
 )
 def parse_probabilities(spark, sf):
     rows = pools.p_decisions(pools.p_samples(spark, sf)).select("sample_id", F.explode("answers").alias("probe", "a"))
-    scored = rows.where("a.type = 'score'").select("sample_id", "probe", F.posexplode(features.parse_probabilities(F.col("a.probabilities"))).alias("pos", "e"))
+    scored = rows.where("a.probabilities is not null").select("sample_id", "probe", F.posexplode(features.parse_probabilities(F.col("a.probabilities"))).alias("pos", "e"))
     return scored.select("sample_id", "probe", "pos", F.col("e.key").alias("key"), F.col("e.value").alias("p"))
 
 

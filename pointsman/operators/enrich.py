@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointsman.functions import text
@@ -42,21 +43,75 @@ def judged(rows: DataFrame, judge: Callable[[str], str], column: str = "query")
     return rows.mapInPandas(run, schema)
 
 
-def enrich(samples: DataFrame, done: DataFrame, judge: Callable[[str], str], path: str, limit: int | None = None) -> DataFrame:
-    """Judge pending samples, append results and errors under `path`, return the counts.
+LOG = "run string, slice int, requested long, completed long, failed long, meta map<string,string>"
+RESULT = "sample_id string, answers string, error string, status string, run string, slice int"
 
-    Results are written once, split into `status=ok` and `status=error`, and counted from
-    the written table, so the judge is never called again for a count.
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at `path`, empty if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """Answers and errors of all committed slices under `path`; those of a job that died count for nothing."""
+    done = _read(spark, f"{path}/log", LOG).where("slice >= 0").select("run", "slice").distinct()
+    # A row per run and slice.
+    return _read(spark, f"{path}/results", RESULT).join(F.broadcast(done), ["run", "slice"], "left_semi")
+
+
+def enrich(
+    samples: DataFrame,
+    done: DataFrame,
+    judge: Callable[[str], str],
+    path: str,
+    limit: int | None = None,
+    run: str = "run",
+    meta: dict[str, str] | None = None,
+    slices: int = 4,
+) -> DataFrame:
+    """Judge pending samples under a run key, keep answers and errors under `path`, return the run's counts.
+
+    What a run has to judge is written down first and cut into slices by the hash of the id. A slice's results replace whatever an
+    earlier attempt left in its folder, and a line in the log commits them, with the run's metadata. So a job that died and runs again
+    with the same key neither doubles rows nor judges a committed slice twice, and a finished run only reports. Samples in `done` or
+    answered by another run are not judged.
     """
-    out = judged(pending(samples, done, limit), judge)
-    status = F.when(F.col("error").isNull(), "ok").otherwise("error")
-    out.withColumn("status", status).write.partitionBy("status").mode("append").parquet(path)
     spark = samples.sparkSession
-    return spark.read.schema("sample_id string, status string").parquet(path).agg(
-        F.count("*").alias("requested"),
-        F.count_if(F.col("status") == "ok").alias("completed"),
-        F.count_if(F.col("status") == "error").alias("failed"),
-    )
+    about = F.create_map(*[F.lit(x) for kv in sorted((meta or {}).items()) for x in kv]).cast("map<string,string>") if meta else F.lit(None).cast("map<string,string>")
+    log = _read(spark, f"{path}/log", LOG).where(F.col("run") == run)
+    # At most a row per slice.
+    committed = {r.slice for r in log.collect()}
+    asked = f"{path}/pending/run={run}"
+    if -1 not in committed:
+        answered = results(spark, path).where("status = 'ok'").select("sample_id")
+        todo = pending(samples, done.select("sample_id").unionByName(answered), limit)
+        todo.withColumn("slice", F.pmod(F.xxhash64("sample_id"), F.lit(slices)).cast("int")).write.mode("overwrite").parquet(asked)
+        n = spark.read.parquet(asked).agg(F.count("*").alias("requested")).withColumns({"completed": F.lit(0), "failed": F.lit(0)})
+        _commit(n, run, -1, about, path)
+    rows = spark.read.parquet(asked)
+    # The slices are those that were written down, whatever is asked for now.
+    for s in sorted(r["slice"] for r in rows.select("slice").distinct().collect()):
+        if s in committed:
+            continue
+        status = F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status")
+        out = judged(rows.where(F.col("slice") == s).drop("slice"), judge)
+        folder = f"{path}/results/run={run}/slice={s}"
+        out.select(F.col("sample_id").cast("string").alias("sample_id"), "answers", "error", status).write.mode("overwrite").parquet(folder)
+        written = spark.read.parquet(folder)
+        _commit(written.agg(F.count("*").alias("requested"), F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") == "error").alias("failed")), run, s, about, path)
+    done_now = _read(spark, f"{path}/log", LOG).where(F.col("run") == run).where("slice >= 0").dropDuplicates(["slice"])
+    return done_now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requested", "completed", "failed")])
+
+
+def _commit(counts: DataFrame, run: str, part: int, meta: Column, path: str) -> None:
+    """One line of the log."""
+    line = counts.select(F.lit(run).alias("run"), F.lit(part).alias("slice"), *[F.col(c).cast("long").alias(c) for c in ("requested", "completed", "failed")], meta.alias("meta"))
+    line.coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
 def answered_once(

@@ -293,6 +293,41 @@ def prediction_test(
     )
 
 
+def slot_test(
+    rows: DataFrame, a: int, b: int, margin_pp: float = 0.5, n_bootstrap: int = 10_000, n_permutations: int = 20_000, seed: int = 3407,
+    confidence: float = 0.95, grouped: bool = True, draw: str = "hash",
+) -> DataFrame:
+    """One row for the runs at places `a` and `b` (from 0) of rows that hold the picks of all runs: two-sided test and one-sided bound.
+
+    Both sides stand in the row, so nothing is joined, and the interval, the bound and its decision come from the same replicates.
+    """
+    if margin_pp <= 0:
+        raise ValueError("margin_pp must be > 0")
+    if not 0.5 < confidence < 1.0:
+        raise ValueError("confidence must be between 0.5 and 1")
+    one, two = (F.element_at("score", F.col("slots")[k]) for k in (a, b))
+    fail = F.raise_error(F.concat(F.lit("unpaired sample "), F.col("sample_id")))
+    meta = [text.leakage_group(F.col("dataset"), F.col("query")).alias("leakage_group")] if grouped else []
+    both = rows.where(F.col("slots")[a].isNotNull() | F.col("slots")[b].isNotNull())
+    frame = both.select("sample_id", "dataset", *meta, F.when(one.isNull() | two.isNull(), fail).otherwise(one - two).alias("diff")).persist()
+    u = units(frame, grouped)
+    q = bootstrap_quantiles(bootstrap_replicates(u, n_bootstrap, seed, draw), [1.0 - confidence, 0.025, 0.975])
+    diff = difference(frame)
+    p = permutation_p(permutation_stats(contributions(frame, grouped), n_permutations, seed, draw), diff)
+    # Each side of these joins is one row.
+    whole = diff.join(F.broadcast(q)).join(F.broadcast(p)).join(F.broadcast(u.agg(F.count("*").alias("n_inference_clusters"))))
+    return whole.select(
+        (F.col("macro_diff") * 100.0).alias("macro_diff_pp"),
+        (F.col("q1") * 100.0).alias("bootstrap_ci_low_pp"),
+        (F.col("q2") * 100.0).alias("bootstrap_ci_high_pp"),
+        F.col("p_value").alias("permutation_p_two_sided"),
+        F.lit(float(margin_pp)).alias("margin_pp"),
+        (F.col("q0") * 100.0).alias("lower_one_sided_pp"),
+        (F.col("q0") * 100.0 > -margin_pp).alias("noninferior_A_to_B"),
+        "n_queries", "n_datasets", "n_inference_clusters", "query_wins", "query_losses", "query_ties",
+    )
+
+
 def equivalence(test: DataFrame, margin_pp: float = 0.5) -> DataFrame:
     """Decisions from the interval of `prediction_test`: inside both margins, above the lower one."""
     low, high = F.col("bootstrap_ci_low_pp"), F.col("bootstrap_ci_high_pp")

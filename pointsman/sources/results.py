@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointsman.functions import text
 from pointsman.operators import dedup
-from pointsman.session import join_checked
 
 # Numbers are read as text first: a score may be written as a number, a text or a boolean.
 _RAW_RECORD = T.StructType(
@@ -42,20 +44,26 @@ def path_parts(rel: Column) -> list[Column]:
     ]
 
 
-def scan_result_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, dataset, split, model, demo, records) of every readable result file under `root`.
+def _literal(path: str) -> str:
+    """A file path as the readers take it: not percent-encoded, and no glob."""
+    return re.sub(r"([*?\[\]{}])", r"\\\1", unquote(path))
+
+
+def scan_result_files(spark: SparkSession, root: str, paths: list[str] | None = None, records: bool = True) -> DataFrame:
+    """(path, dataset, split, model, demo, records) of every readable result file under `root`, or of `paths` among them.
 
     Ids come from the payload; when one of them is missing, all come from the path. A file
-    with neither, or one that is not JSON, is skipped.
+    with neither, or one that is not JSON, is skipped. Without `records` only headers are kept.
     """
+    fields = _RAW_FILE if records else T.StructType([f for f in _RAW_FILE if f.name != "records"])
     raw = (
-        spark.read.schema(_RAW_FILE)
+        spark.read.schema(fields)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
-        .json(root)
+        .json(root if paths is None else [_literal(p) for p in paths])
         .select("*", F.col("_metadata.file_path").alias("path"))
         .where("_bad is null")
     )
@@ -65,7 +73,7 @@ def scan_result_files(spark: SparkSession, root: str) -> DataFrame:
     whole = ids[0].isNotNull() & ids[1].isNotNull() & ids[2].isNotNull()
     chosen = [F.when(whole, a).otherwise(b).alias(n) for n, a, b in zip(("dataset", "split", "model"), ids, path_parts(rel))]
     demo = F.when(whole, F.coalesce("demo", F.lit(False))).otherwise(False).alias("demo")
-    return raw.select("path", *chosen, demo, "records").where("dataset is not null")
+    return raw.select("path", *chosen, demo, *(["records"] if records else [])).where("dataset is not null")
 
 
 def _quoted(s: str) -> str:
@@ -127,6 +135,9 @@ def explode_records(files: DataFrame) -> DataFrame:
 
 
 def load_records(spark: SparkSession, root: str, lexical: bool = False, **pool) -> DataFrame:
-    """Records of the selected files: scan, filter, latest file per (dataset, split, model)."""
-    files = filter_pool(scan_result_files(spark, root), **pool)
-    return join_checked(explode_records(files), latest_artifact(files, lexical).select("path"), "path", "left_semi")
+    """Records of the selected files: headers choose the latest file per (dataset, split, model), and only those files are read for their records."""
+    headers = filter_pool(scan_result_files(spark, root, records=False), **pool)
+    # A path per file that is read, as the reader lists it anyway.
+    paths = sorted(r.path for r in latest_artifact(headers, lexical).select("path").collect())
+    files = scan_result_files(spark, root, paths) if paths else scan_result_files(spark, root).limit(0)
+    return explode_records(files)

@@ -12,7 +12,7 @@ from tests.oracle import connect, difference
 
 SF_DIR = f"/root/testdata/sf{os.environ.get('POINTSMAN_SF', '0.001')}"
 # Long protocols of many fits; their parts are tested against brute force.
-LONG = {"reproduce_all", "learner_ablation", "nested_probe_metrics", "nested_probe_selection", "representation_ablation", "fit_mlp"}
+LONG = {"reproduce_all", "learner_ablation", "fit_gbt", "feature_importance_sorted", "fit_random_forest", "fit_gbt_per_model", "fit_embedding_gbt"}
 # Too few samples of the smallest tables for a unique least-squares solution, which the SQL elimination needs.
 NOT_UNIQUE = {"fit_ols"} if SF_DIR.endswith("0.001") else set()
 
