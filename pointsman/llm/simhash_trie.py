@@ -401,6 +401,11 @@ def _asked(rows: DataFrame, budget: int, leaf: int) -> DataFrame:
     return dealt.groupBy("turn", "window", "a", "mask", "salt").applyInPandas(run, "i bigint, hub bigint").distinct()
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rows i of `pairs` (i, hub) whose shingles have the similarity with some hub's."""
 
@@ -408,9 +413,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("own").to_pylist(), b.column("theirs").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity))
             yield pa.RecordBatch.from_arrays([b.column("i")], ["i"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = written(pairs, "simhash-asked")
@@ -420,16 +423,38 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("i", "own", "theirs").mapInArrow(run, "i bigint").distinct()
 
 
+#: The last rows (and bytes of their shingle sets) that one task finishes.
+LAST, LAST_BYTES = 10_000, 64 << 20
+
+
+def _finished(rows: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(i) of the rows of (i, fp, class, set) that stay when they are taken one by one: what further rounds would keep."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        v, kind = pdf["fp"].to_numpy().view(np.uint64), pdf["class"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        kept = np.zeros(0, np.int64)
+        for k in range(len(v)):
+            near = kept[(np.bitwise_count(v[kept] ^ v[k]) <= budget) & (np.abs(kind[kept] - kind[k]) <= 1)]
+            if not any(_alike(sets[k], sets[j], similarity) for j in near):
+                kept = np.append(kept, k)
+        return pd.DataFrame({"i": pdf["i"].to_numpy()[kept]})
+
+    return rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "i bigint")
+
+
 def kept_rows(rows: DataFrame, budget: int = 15, similarity: float = 0.8, leaf: int = 100_000) -> DataFrame:
     """(i) of the rows of (i, fp, set) that stay: each other row is similar to one that stays, and no two of them are found similar.
 
     In a round, a row without an earlier neighbour within the budget stays, and rows whose shingles have the similarity with it go; the others try again
-    among themselves.
+    among themselves. That keeps the rows that taking all rows in order would keep, so the last few, which would need a round for every link of a
+    chain, are taken in order by one task.
     """
     if similarity < 1 / RATIO:
         raise ValueError("size classes are made for a similarity of 0.8 or more")
     sized = rows.select("i", "fp", (F.octet_length("set") / 8).cast("long").alias("size"))
-    left = written(sized.select("i", "fp", _class("size").alias("class")), "simhash-left")
+    left = written(sized.select("i", "fp", "size", _class("size").alias("class")), "simhash-left")
     sets = rows.select("i", "set")
     stay = None
     while True:
@@ -443,8 +468,9 @@ def kept_rows(rows: DataFrame, budget: int = 15, similarity: float = 0.8, leaf:
             return stay
         gone = written(_similar(_asked(marked, budget, leaf), sets, similarity), "simhash-gone")
         left = written(rest.join(gone, "i", "left_anti"), "simhash-left")
-        if left.isEmpty():
-            return stay
+        n, size = left.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        if n <= LAST and 8 * size <= LAST_BYTES:
+            return stay.unionByName(written(_finished(left.join(sets, "i"), budget, similarity), "simhash-last")) if n else stay
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, budget: int = 15, similarity: float = 0.8) -> DataFrame:

@@ -162,3 +162,10 @@ def test_dense_group_of_near_fingerprints(spark):
         marked = rows.selectExpr("*", "i % 7 = 0 as asks")
         got = {(r.i, r.hub) for r in simhash_trie._asked(marked, 12, leaf).collect()}
         assert got == {(i, j) for i in range(600) for j in range(0, 600, 7) if i % 7 and bits(fps[i], fps[j]) <= 12}
+
+
+def test_rounds_keep_what_taking_rows_in_order_keeps(spark, stages, monkeypatch):
+    docs = spark.createDataFrame(stages["exact"][["doc_id", "text"]])
+    whole = sorted(r.doc_id for r in simhash_trie.one_of_each(docs).collect())
+    monkeypatch.setattr(simhash_trie, "LAST", 0)
+    assert sorted(r.doc_id for r in simhash_trie.one_of_each(docs).collect()) == whole
