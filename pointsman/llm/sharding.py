@@ -4,9 +4,10 @@ Rows are shuffled by a seeded hash and ranked within their source; the rank as a
 source's size is the row's place in the whole; cutting the order of places into equal runs gives
 every shard each source's share, within a row or so per source.
 
-No window spans a source: a source is cut into buckets of its hash order and the whole into
-buckets of places, each of bounded expected size, and ranks are offsets of bucket counts plus a
-rank within the bucket. So a source may hold any share of the rows.
+No window spans a source: a source is cut into buckets of its hash order, each of bounded expected
+size, and ranks are offsets of bucket counts plus a rank within the bucket. Places are numbered by a
+sort by ranges of (fraction, hash of the source, draw): the fraction alone would put all sources of
+one row into one range. So a source may hold any share of the rows, or be as small as a row.
 
 Nulls: a null source is a source of its own, a null text has no bytes, a null id is an id.
 Repeated rows are separate rows. An empty table gives an empty result. Other columns are ignored.
@@ -46,11 +47,13 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_rows: i
     ranked = written(ranked, "interleave")
 
     total = ranked.count()
-    place = F.floor(F.col("fraction") * max(1, -(-total // bucket_rows))).alias("bucket")
-    starts = checked(_running(ranked.groupBy(place).agg(F.count("*").alias("n")), "bucket").select("bucket", "before"))
-    across = Window.partitionBy("bucket").orderBy("fraction", F.xxhash64(F.lit(seed), "stratum"), "stratum", "draw", "doc_id", "text_crc32", "size")
-    at = F.col("before") + F.row_number().over(across) - 1
-    placed = ranked.withColumn("bucket", place).join(starts, "bucket").withColumn("at", at)
+    order = [F.col("fraction"), F.xxhash64(F.lit(seed), "stratum"), F.col("stratum"), F.col("draw"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    place = F.monotonically_increasing_id()
+    dealt = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.select("*", F.shiftright(place, 33).alias("range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("local")), "interleave-places")
+    # One row per range.
+    starts = checked(_running(dealt.groupBy("range").agg(F.count("*").alias("n")), "range").select("range", "before"))
+    placed = dealt.join(starts, "range").withColumn("at", F.col("before") + F.col("local"))
     shard = F.expr(f"(at * {shards}) div {max(total, 1)}")
     return placed.withColumn("shard", shard.cast("int")).select(
         "doc_id", "source", "size", "text_crc32", "fraction", "shard",
