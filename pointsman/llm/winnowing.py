@@ -110,6 +110,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *more: str, span: int =
     rows = rows.select("row", "n_words", "words", F.concat(*pieces).alias("all_marks"), *[e.alias(f"end{n}") for n, e in ends])
     # The outer form, since the optimizer would copy the whole chain of marks into a size filter below the plain one.
     hits = rows.select("*", F.posexplode_outer("all_marks").alias("pos", "mark")).where("pos = 0 OR mark IS NOT NULL").drop("all_marks")
+    # A row's leading null meets nothing (its hit is not asked for), but each under a key of its own: as null they would all be in one task.
+    hits = hits.withColumn("mark", F.coalesce("mark", F.xxhash64("row.row", F.lit("none"))))
     hits = hits.join(marks.withColumn("hit", F.lit(True)), "mark", "left").where("pos = 0 OR hit")
     at, length = F.col("pos") - 1, F.lit(span)
     start = F.greatest(at - (window - 1), F.lit(0))
@@ -121,6 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *more: str, span: int =
     wanted = F.when((F.col("pos") > 0) & (stop >= start), F.sequence(start, stop))
     near = hits.select("row", "n_words", "words", length.alias("len"), F.explode_outer(wanted).alias("start"))
     near = near.select("row", "n_words", "len", "start", F.when(F.col("start").isNotNull(), F.array_join(F.expr("slice(words, start + 1, len)"), " ")).alias("span"))
+    # Words hold no blank before the first one, so these keys are no spans.
+    near = near.withColumn("span", F.coalesce("span", F.concat(F.lit(" "), F.col("row.row").cast("string"))))
     true = near.join(checked(found.drop("len"), 200_000), "span", "left")
     per_row = true.groupBy("row").agg(
         F.first("n_words").alias("n_words"),
