@@ -15,7 +15,6 @@ null lang are not learned from. Repeated rows are separate rows; other columns a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,7 +35,6 @@ FAMILIES = {
     "indic": "bn gu hi mr ne pa ur".split(),
 }
 BUCKETS = 2048
-LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _ORDERS = (1, 2, 3)
 
@@ -137,7 +135,7 @@ def fit(labelled: DataFrame, per_language: int = 1000) -> dict:
 def decide(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
     """Predicted language and a confidence from 0 to 1 of every text."""
     langs, families = model["langs"], model["families"]
-    letters = np.array([LETTER.search(t) is not None for t in texts], bool)
+    letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)  # the letter categories: no digits, fractions or circled numbers
     if not langs:
         return ["und"] * len(texts), np.where(letters, 0.0, 1.0)
     fw = model["family_weights"]

@@ -393,3 +393,28 @@ def test_surrogates_are_distinct(spark):
 ])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def test_sources_of_one_row(spark):
+    """All fractions are equal; places are still cut into many ranges, none of them large."""
+    rows = spark.range(6000).selectExpr("id as doc_id", "'t' as text", "concat('s', id) as source").repartition(4)
+    got = sharding.interleave(rows, shards=7).collect()
+    n = [sum(r.shard == s for r in got) for s in range(7)]
+    assert len(got) == 6000 and max(n) - min(n) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n[s])) for s in range(7))
+
+
+def test_winnowing_without_broadcast(spark, docs, rows, monkeypatch):
+    """More marks and windows than are broadcast: same rows, and rows without a hit do not meet in one task."""
+    items = [(1, " ".join((rows[5][1] or "").split()[2:20])), (2, " ".join(rows[8][1].split()[:4]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = sorted(map(str, winnowing.contamination(docs, bench).collect()))
+    monkeypatch.setattr(winnowing, "checked", lambda df, most=0: df.hint("shuffle_merge"))
+    assert sorted(map(str, winnowing.contamination(docs, bench).collect())) == plain
+
+
+@pytest.mark.parametrize("text, letters", [("²½①٣ 12", False), ("__ --", False), ("ª", True), ("漢", True), ("é1", True)])
+def test_letters(spark, docs, text, letters):
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    row = language.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert (row.lang_pred != "und") == letters
