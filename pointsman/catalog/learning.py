@@ -16,6 +16,7 @@ from pointsman.operators.features import BINARY_PROBES, SCORE_PROBES
 from pointsman.operators import boosting, cost, features, linear, metrics, paired, routing, selective, splits
 from pointsman.plans import experiments
 from pointsman.session import join_checked, scratch_path, summary
+from pointsman.sources import tables
 from pointsman.streaming import monitor
 from pointsman.streaming import route as live
 
@@ -146,7 +147,9 @@ _D_ALL = "SELECT DISTINCT 0 AS g, sample_id FROM dv"
 
 
 def _vector_frame(spark, sf):
-    return pools.d_frame(spark, sf).join(pools.d_vectors(spark, sf), "sample_id").persist()
+    """Labelled documents that vectors were made for; one of them without its vector fails the job."""
+    rows = pools.d_frame(spark, sf).where(pools.has_vector(spark, sf))
+    return tables.join_vectors(rows, pools.d_vectors(spark, sf)).persist()
 
 
 @query(

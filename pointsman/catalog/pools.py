@@ -273,6 +273,12 @@ def d_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(text_id("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
+def has_vector(spark: SparkSession, sf: str) -> Column:
+    """Whether a document of pool D belongs to those that vectors were made for: ids up to the last vector's."""
+    last = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    return F.col("key") <= F.lit(-1 if last is None else last)
+
+
 def entropy_table(frame: DataFrame) -> DataFrame:
     from pointsman.operators.features import semantic_entropy
 

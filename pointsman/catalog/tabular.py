@@ -457,17 +457,16 @@ def join_features_semantic_left(spark, sf):
 
 @query(
     "join_embeddings_required",
-    "sample_id s, first 6, n_missing i",
-    """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, embedding[1] AS first FROM embeddings)
-       SELECT sample_id, first, (SELECT count(*) FROM d_out d WHERE d.model = 'quality' AND NOT EXISTS (SELECT 1 FROM e WHERE e.sample_id = d.sample_id)) AS n_missing
-       FROM e WHERE sample_id IN (SELECT sample_id FROM d_out)""",
+    "sample_id s, first 6, n_beyond i",
+    """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, embedding[1] AS first FROM embeddings), d AS (SELECT sample_id, CAST(sample_id AS BIGINT) <= (SELECT max(vec_id) FROM embeddings) AS own FROM d_out WHERE model = 'quality')
+       SELECT sample_id, first, (SELECT count(*) FROM d WHERE NOT own) AS n_beyond FROM d LEFT JOIN e USING (sample_id) WHERE own""",
 )
 def join_embeddings_required(spark, sf):
-    vectors = pools.d_vectors(spark, sf)
-    ids = pools.d_frame(spark, sf).select("sample_id")
-    missing = ids.join(vectors, "sample_id", "left_anti").agg(F.count("*").alias("n_missing"))
-    joined = tables.join_vectors(ids.join(vectors, "sample_id", "left_semi"), vectors)
-    return joined.select("sample_id", F.col("x")[0].alias("first")).join(F.broadcast(missing))
+    """Every labelled document up to the last vector must have one; a gap would fail the job."""
+    ids = pools.d_frame(spark, sf).select("sample_id", pools.has_vector(spark, sf).alias("own"))
+    beyond = ids.agg(F.count_if(~F.col("own")).alias("n_beyond"))
+    joined = tables.join_vectors(ids.where("own").select("sample_id"), pools.d_vectors(spark, sf))
+    return joined.select("sample_id", F.col("x")[0].alias("first")).join(F.broadcast(beyond))
 
 
 @query("anti_resume_pending", "sample_id s", "SELECT sample_id FROM p_samples WHERE sample_id NOT IN (SELECT sample_id FROM p_ids)")

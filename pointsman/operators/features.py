@@ -209,17 +209,35 @@ def encode_vectors(decisions: DataFrame, backend: str, probes: tuple[Probe, ...]
     return FeatureSet(split.select("sample_id", F.array(*cells).alias("x")), names)
 
 
-def is_fine(name: str, backend: str) -> bool:
-    """A semantic feature other than the task family and the meta columns."""
-    return name.startswith(f"{backend.rstrip('_')}_") and FAMILY_PROBE not in name and not name.startswith("meta_")
+@dataclass(frozen=True)
+class Part:
+    """A feature name taken apart: `<backend>_<probe>__<stat>[__<level>]`."""
+
+    name: str
+    head: str
+    probe: str
+    stat: str
+    level: str
+
+    @classmethod
+    def of(cls, name: str, backend: str) -> Part:
+        head, _, rest = name.partition("__")
+        stat, _, level = rest.partition("__")
+        return cls(name, head, head.removeprefix(_prefix(backend)), stat, level)
+
+
+def _prefix(backend: str) -> str:
+    return backend.rstrip("_") + "_"
 
 
-def _probe_part(name: str) -> str:
-    return name.split("__", 1)[0]
+def judged_parts(names: list[str], backend: str) -> list[Part]:
+    """The backend's judgments of the query: its features without the task family and the meta columns."""
+    parts = [Part.of(n, backend) for n in names if n.startswith(_prefix(backend)) and not n.startswith("meta_")]
+    return [p for p in parts if FAMILY_PROBE not in p.name]
 
 
 def probe_name(name: str, backend: str) -> str:
-    return _probe_part(name).removeprefix(f"{backend.rstrip('_')}_")
+    return Part.of(name, backend).probe
 
 
 def probe_names(names: list[str], backend: str) -> list[str]:
@@ -227,44 +245,44 @@ def probe_names(names: list[str], backend: str) -> list[str]:
     return list(dict.fromkeys(probe_name(n, backend) for n in names))
 
 
+#: The statistics a representation is made of; with a minus sign those it is made without.
+STATS = {
+    "full": (),
+    "probability_mass": ("noul", "p"),
+    "no_entropy": ("-entropy",),
+    "primary": ("noul", "expected"),
+    "primary_entropy": ("noul", "expected", "entropy"),
+}
+
+
 def representation_names(names: list[str], mode: str, backend: str) -> list[str]:
-    fine = [n for n in names if is_fine(n, backend)]
-    ends = {
-        "primary": ("__noul", "__expected"),
-        "primary_entropy": ("__noul", "__expected", "__entropy"),
-    }
-    if mode == "full":
-        return fine
-    if mode == "probability_mass":
-        return [n for n in fine if n.endswith("__noul") or "__p__" in n]
-    if mode == "no_entropy":
-        return [n for n in fine if not n.endswith("__entropy")]
-    if mode in ends:
-        return [n for n in fine if n.endswith(ends[mode])]
-    raise ValueError(f"unknown mode {mode}; expected one of {MODES}")
+    if mode not in STATS:
+        raise ValueError(f"unknown mode {mode}; expected one of {MODES}")
+    out = {s[1:] for s in STATS[mode] if s.startswith("-")}
+    only = {s for s in STATS[mode] if not s.startswith("-")}
+    return [p.name for p in judged_parts(names, backend) if p.stat not in out and (not only or p.stat in only)]
 
 
 def _hard(fs: FeatureSet, backend: str) -> FeatureSet:
     """One decision per probe: noul at 0.5 and above is 1; a score probe gives its likeliest level."""
-    at = {n: i for i, n in enumerate(fs.names)}
-    fine = [n for n in fs.names if is_fine(n, backend)]
-    cols, names = [], []
-    for part in dict.fromkeys(_probe_part(n) for n in fine):
-        masses = sorted(n for n in fine if n.startswith(f"{part}__p__"))
-        if f"{part}__noul" in at:
-            value = (F.col("x")[at[f"{part}__noul"]] >= 0.5).cast("double")
+    at = {n: F.col("x")[i] for i, n in enumerate(fs.names)}
+    by_probe: dict[str, list[Part]] = {}
+    for p in judged_parts(fs.names, backend):
+        by_probe.setdefault(p.head, []).append(p)
+    decisions = {}
+    for head, parts in by_probe.items():
+        stats = {p.stat: at[p.name] for p in parts if not p.level}
+        # Levels in text order, as the columns are named; the first wins among equals.
+        masses = sorted(((p.level, at[p.name]) for p in parts if p.stat == "p"), key=lambda m: m[0]) if all(p.stat != "noul" for p in parts) else []
+        if "noul" in stats:
+            decisions[head] = (stats["noul"] >= 0.5).cast("double")
         elif masses:
-            p = F.array(*[F.col("x")[at[n]] for n in masses])
-            # Levels in text order, as the columns are named; the first wins among equals.
-            level = F.array(*[_level(n.split("__p__", 1)[1], i) for i, n in enumerate(masses)])
-            value = F.element_at(level, F.array_position(p, F.array_max(p)).cast("int"))
-        elif f"{part}__expected" in at:
-            value = F.rint(F.col("x")[at[f"{part}__expected"]])
-        else:
-            continue
-        cols.append(value)
-        names.append(f"{part}__hard")
-    return fs.replace(F.array(*cols), names)
+            share = F.array(*[c for _, c in masses])
+            level = F.array(*[_level(label, i) for i, (label, _) in enumerate(masses)])
+            decisions[head] = F.element_at(level, F.array_position(share, F.array_max(share)).cast("int"))
+        elif "expected" in stats:
+            decisions[head] = F.rint(stats["expected"])
+    return fs.replace(F.array(*decisions.values()), [f"{head}__hard" for head in decisions])
 
 
 def _level(label: str, position: int) -> Column:
@@ -319,7 +337,7 @@ def cleaned(fs: FeatureSet) -> FeatureSet:
 
 def semantic_entropy(fs: FeatureSet, backend: str) -> DataFrame:
     """(sample_id, uncertainty): mean over the entropy features that are present."""
-    names = [n for n in fs.names if is_fine(n, backend) and n.endswith("__entropy")]
+    names = [p.name for p in judged_parts(fs.names, backend) if p.stat == "entropy"]
     if not names:
         raise ValueError("no semantic entropy features")
     out = fs.take(names).df.withColumn("_v", F.filter("x", lambda v: v.isNotNull()))

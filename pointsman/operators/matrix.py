@@ -47,9 +47,12 @@ def observed(scores) -> "F.Column":
     return F.filter(scores, lambda v: v.isNotNull())
 
 
-def complete_samples(outcomes: DataFrame) -> DataFrame:
-    """Ids of samples with an outcome from every candidate seen anywhere in the table."""
-    expected = outcomes.agg(F.count_distinct("model").alias("_expected"))
+def complete_samples(outcomes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Ids of samples with an outcome from every candidate of `candidates` (column model), or of the table itself.
+
+    Pass what was scanned: a candidate whose records are all blank has no outcome, yet is expected.
+    """
+    expected = (candidates if candidates is not None else outcomes).agg(F.count_distinct("model").alias("_expected"))
     per_sample = outcomes.groupBy("sample_id").agg(F.count_distinct("model").alias("_seen"))
     # One row, so the broadcast is of fixed size.
     return per_sample.join(F.broadcast(expected), F.col("_seen") == F.col("_expected"), "left_semi").select("sample_id")

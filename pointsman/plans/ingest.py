@@ -24,11 +24,11 @@ def _ordered(rows: DataFrame) -> list[Column]:
     return [F.col(c) for c in SCAN_ORDER if c in rows.columns]
 
 
-def _finish(samples: DataFrame, outcomes: DataFrame, complete_only: bool) -> Pool:
+def _finish(samples: DataFrame, outcomes: DataFrame, complete_only: bool, records: DataFrame) -> Pool:
     samples = samples.select("sample_id", "dataset", "split", "record_index", "query", "query_hash", "domain")
     outcomes = outcomes.select("sample_id", "dataset", "split", "model", *OUTCOME_VALUES)
     if complete_only:
-        keep = matrix.complete_samples(outcomes)
+        keep = matrix.complete_samples(outcomes, records.select("model"))
         samples, outcomes = matrix.keep_complete(samples, keep), matrix.keep_complete(outcomes, keep)
     return Pool(samples, outcomes)
 
@@ -82,7 +82,7 @@ def ingest_generic(
     outcomes = dedup.outcomes_by_priority(
         rows.select("sample_id", "dataset", "split", "model", "pos", *OUTCOME_VALUES), ["sample_id", "model"], _ordered(rows), priority
     )
-    return _finish(samples, outcomes, complete_only)
+    return _finish(samples, outcomes, complete_only, records)
 
 
 def ingest_rectangular(records: DataFrame, complete_only: bool = True) -> Pool:
@@ -105,7 +105,7 @@ def ingest_rectangular(records: DataFrame, complete_only: bool = True) -> Pool:
     outcomes = dedup.keep_last(
         rows.select("sample_id", "dataset", "split", "model", "pos", *OUTCOME_VALUES), ["sample_id", "model"], [F.col("pos")]
     )
-    return _finish(samples, outcomes, complete_only)
+    return _finish(samples, outcomes, complete_only, records)
 
 
 def ingest_partial(

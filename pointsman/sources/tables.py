@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +106,37 @@ def unique_predictions(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     return rows.withColumn("sample_id", F.when(F.col("_n") > 1, fail).otherwise(F.col("sample_id"))).select(*runs.columns)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file. A file is hashed whole inside one task."""
+def _stream(path: str):
+    """The file system and the path in it, for a store that can be read by blocks; None for one that only Spark reads."""
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", quote(path, safe="/:@+=,;&$!'()*~")))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        return None
+
+
+def file_hashes(spark: SparkSession, path: str, block: int = 16 << 20) -> DataFrame:
+    """(path, length, sha256) of every file that is not empty.
+
+    A file is one row of its path and is hashed by blocks in a task, so it may have any length. In a store that only Spark reads, its
+    content is a row's value, which is limited to 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    first = files.select("path").limit(1).collect()
+    if not first or _stream(first[0].path) is None:
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name in b.column("path").to_pylist():
+                store, at = _stream(name)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as f:
+                    while part := f.read(block):
+                        digest.update(part)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+    # Without their content, files are dealt evenly by path rather than by size of the listing.
+    listed = files.select("path", "length")
+    return listed.repartition(F.col("path")).mapInArrow(run, "path string, length long, sha256 string")

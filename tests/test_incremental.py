@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointsman.operators import enrich, paired
 from pointsman.operators.metrics import Runs
-from pointsman.sources import results
+from pointsman.sources import results, tables
 from pointsman.streaming import monitor
 from pointsman.streaming import route as live
 from tests.test_sources import root  # noqa: F401
@@ -104,3 +104,22 @@ def test_test_of_two_slots_is_that_of_two_tables(spark):
     for c in ("macro_diff_pp", "bootstrap_ci_low_pp", "bootstrap_ci_high_pp", "permutation_p_two_sided", "n_queries", "n_inference_clusters", "query_wins"):
         assert got[c] == pytest.approx(test[c])
     assert got.lower_one_sided_pp == pytest.approx(bound.lower_one_sided_pp) and got.noninferior_A_to_B == bound.noninferior_A_to_B
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_files_are_hashed_by_blocks(spark, tmp_path, block):
+    import hashlib
+
+    (tmp_path / "a b").mkdir()
+    contents = {"empty.bin": b"", "a b/odd 1%20+.bin": bytes(range(256)) * 41, "ö.bin": b"x" * 100}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    got = {(r.length, r.sha256) for r in tables.file_hashes(spark, str(tmp_path), block).collect()}
+    # The reader lists no empty files.
+    assert got == {(len(d), hashlib.sha256(d).hexdigest()) for d in contents.values() if d}
+
+
+def test_files_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    monkeypatch.setattr(tables, "_stream", lambda path: None)
+    assert [r.length for r in tables.file_hashes(spark, str(tmp_path)).collect()] == [3]
