@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +49,34 @@ def mixed(key: Column, i: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 15))
 
 
+#: Draws made at a time; small enough for a core's cache.
+DRAWS_AT_ONCE = 1 << 16
+
+
+def drawn_sums(keys: np.ndarray, n: int, low: int, values: np.ndarray) -> np.ndarray:
+    """(values, keys): per key the sums of `values` over n draws of slots, `mixed(key, i) % n` for i below n.
+
+    `values` holds the slots from `low` on, and one more that takes the draws of all others. Only the low 31 bits
+    of each product count, so 32-bit arithmetic that wraps around gives the same numbers as `mixed`.
+    """
+    mask, last = np.uint32((1 << MIX_BITS) - 1), np.uint32(values.shape[1] - 1)
+    out = np.zeros((len(values), len(keys)))
+    for start in range(0, n, DRAWS_AT_ONCE):
+        i = np.arange(start, min(n, start + DRAWS_AT_ONCE), dtype=np.uint32) * np.uint32(2654435761)
+        step = max(1, DRAWS_AT_ONCE // len(i))
+        for at in range(0, len(keys), step):
+            x = (i + keys[at : at + step, None]) & mask
+            x = ((x ^ (x >> np.uint32(15))) * np.uint32(739982445)) & mask
+            x = ((x ^ (x >> np.uint32(12))) * np.uint32(695872825)) & mask
+            x ^= x >> np.uint32(15)
+            x -= x // np.uint32(n) * np.uint32(n)
+            # Slots below `low` wrap around to large numbers.
+            x = np.minimum(x - np.uint32(low), last)
+            for k, v in enumerate(values):
+                out[k, at : at + step] += v[x].sum(axis=1)
+    return out
+
+
 def stable_seed(*parts, modulo: int = 2_147_483_647) -> Column:
     """Seed from the first 64 bits of the SHA-256 of the parts as a JSON list, mod `modulo`."""
     if modulo <= 1:

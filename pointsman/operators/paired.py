@@ -1,7 +1,7 @@
 """Paired comparison of two systems: differences, bootstrap intervals, permutation p-values.
 
 Two ways of drawing, chosen by the caller. `hash`: every draw is a hash of (seed, replicate,
-unit), joined to the units; replicates times units rows, which SQL can repeat. `counts`:
+unit), which SQL can repeat; tasks that hold a chunk of a dataset's units draw for a block of replicates and return sums. `counts`:
 units with equal values are first counted, and a replicate draws how often each value occurs
 (multinomial for the bootstrap, binomial for sign flips), which has the same distribution and
 costs replicates times distinct values; scores of 0 and 1 leave three values, however many
@@ -13,6 +13,7 @@ binomial that all chunks below it repeat, so a chunk knows the masses of its anc
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from pointsman.functions import draws, text
 from pointsman.operators import ranking
 from pointsman.operators.metrics import sample_std
-from pointsman.session import join_checked
+from pointsman.session import join_checked, spread
 
 VALUES_PER_CHUNK = 10_000
 #: Replicates are cut into this many blocks, each a task of its own for every chunk of values.
 BLOCKS = 16
+#: Units of a dataset that one task of hash draws holds.
+SLOTS = 1 << 19
 SIGN_BITS = 32
 TOLERANCE = 1e-15
 
@@ -107,25 +110,42 @@ def bootstrap_replicates(u: DataFrame, n_bootstrap: int, seed: int = 3407, draw:
     return per_dataset.groupBy("replicate").agg(F.avg(F.col("total") / F.col("size")).alias("macro"))
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Over all tasks: a fixed count, since adaptive execution would merge small partitions."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _hash_bootstrap(u: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
+    """Draws are made and added up where their units are: neither draws nor a dataset's units are joined, listed or broadcast."""
     placed = ranking.hash_positions(u.withColumn("_h", F.md5("unit")), ["dataset"], "_h")
-    table = placed.select("dataset", (F.col("pos") - 1).alias("slot"), "total", "size")
-    sizes = u.groupBy("dataset").agg(F.count("*").alias("n"))
-    # A row per dataset and replicate is little data, yet each row grows into many draws.
     many = F.raise_error(F.lit("too many units of a dataset for hash draws; draw counts")).cast("long")
-    sizes = sizes.withColumn("n", F.when(F.col("n") <= draws.MIX_LIMIT, F.col("n")).otherwise(many))
-    few = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
-    few = few.withColumn("key", draws.hash_int(seed, F.col("replicate"), F.col("dataset")))
-    slots = _spread(few, "dataset", "replicate").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    drawn = slots.select("dataset", "replicate", (draws.mixed(F.col("key"), F.col("i")) % F.col("n")).alias("slot"))
-    return join_checked(drawn, table, ["dataset", "slot"]).groupBy("dataset", "replicate").agg(
-        F.sum("total").alias("total"), F.sum("size").alias("size")
-    )
+    n = F.when(F.col("n") <= draws.MIX_LIMIT, F.col("n")).otherwise(many)
+    slot = F.col("pos") - 1
+    table = placed.select(
+        "dataset", n.alias("n"), (slot / F.lit(SLOTS)).cast("int").alias("chunk"), (slot % SLOTS).cast("int").alias("slot"),
+        F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), F.col("size").cast("double").alias("size"),
+    )
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, first = int(min(SLOTS, pdf["n"].iloc[0] - SLOTS * pdf["chunk"].iloc[0])), pdf[["dataset", "n", "chunk"]].iloc[:1]
+        # A slot whose unit has no id stays empty; the one beyond the last takes draws of other chunks.
+        both = np.zeros((2, size + 1))
+        both[:, pdf["slot"]] = pdf["total"], pdf["size"]
+        return first.assign(values=[both.tobytes()])
+
+    name = u.schema["dataset"].dataType.simpleString()
+    chunks = table.groupBy("dataset", "chunk").applyInPandas(packed, f"dataset {name}, n long, chunk int, values binary")
+    ends = _block_ends(n_bootstrap)
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(ends, ends[1:]) if a < b]
+    few = chunks.withColumn("part", F.explode(F.array(*parts))).select("dataset", "n", "chunk", "values", "part.a", "part.b")
+    keys = F.transform(F.sequence("a", F.col("b") - 1), lambda r: draws.hash_int(seed, r, F.col("dataset")))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                low = int(row.chunk) * SLOTS
+                both = np.frombuffer(row.values, "<f8").reshape(2, -1)
+                total, size = draws.drawn_sums(np.asarray(row.keys, np.uint32), int(row.n), low, both)
+                yield pd.DataFrame({"dataset": row.dataset, "replicate": np.arange(row.a, row.b, dtype=np.int32), "total": total, "size": np.rint(size).astype(np.int64)})
+
+    spaced = spread(few, "dataset", "chunk", "a").select("dataset", "n", "chunk", "values", "a", "b", keys.alias("keys"))
+    sums = spaced.mapInPandas(drawn, f"dataset {name}, replicate int, total double, size long")
+    return sums.groupBy("dataset", "replicate").agg(F.sum("total").alias("total"), F.sum("size").alias("size")).where("size > 0")
 
 
 def _chunked(values: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
@@ -206,7 +226,7 @@ def permutation_stats(c: DataFrame, n_permutations: int, seed: int = 3407, draw:
 
 def _hash_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
     blocks = ceil(n_permutations / SIGN_BITS)
-    rows = _spread(c, "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+    rows = spread(c, "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
         "_w", draws.hash_int(seed, F.col("block"), F.col("unit"))
     )
 
