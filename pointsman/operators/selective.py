@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pointsman.functions import draws, numeric
 from pointsman.operators import ranking
 from pointsman.operators.metrics import sample_std
-from pointsman.session import join_checked, summary
+from pointsman.session import join_checked, spread, summary, written
 
 # Default coverage points.
 RISK_COVERAGES = [1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5]
+#: Blocks of repeats that tasks draw for, about how many rows a task draws from, and leading digits of a hash that are counted together.
+REPEAT_BLOCKS, REPEAT_ROWS, DRAW_DIGITS = 16, 50_000, 2
 ABSTENTION_COVERAGES = [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
@@ -101,24 +103,45 @@ def _counts(n: Column, coverages: list[float]) -> Column:
 
 
 def _random_draws(base: DataFrame, coverages: list[float], repeats: int, seed: int) -> DataFrame:
-    """Mean and deviation over draws. A draw of k rows is the set up to the k-th hash, so it needs only a cutoff."""
-    rows = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
-        "_h", draws.hash_text(seed, F.col("repeat"), F.col("sample_id"))
-    )
-    cuts = ranking.stratum_cutoffs(rows, ["domain", "repeat"], "_h", lambda n: _counts(n, coverages))
-    cells = [
-        F.avg(F.when(F.col("_h") <= F.col("cuts")[i], F.col("router_score")).otherwise(F.col("fallback_score"))).alias(f"_v{i}")
-        for i in range(len(coverages))
-    ]
-    drawn = join_checked(rows, cuts, ["domain", "repeat"]).groupBy("domain", "repeat").agg(*cells)
-    each = F.explode(
-        F.array(*[F.struct(F.lit(float(c)).alias("coverage"), F.col(f"_v{i}").alias("score")) for i, c in enumerate(coverages)])
+    """Mean and deviation over draws. A draw of k rows is the set up to the k-th hash, so it needs only a cutoff.
+
+    Sums per leading digits of the hash answer all but the digits that a cutoff falls into; only their rows are ranked.
+    """
+    # A task draws for a block of repeats, so its sums are few beside its draws.
+    blocks = [(repeats * k // REPEAT_BLOCKS, repeats * (k + 1) // REPEAT_BLOCKS) for k in range(REPEAT_BLOCKS)]
+    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b - 1).alias("b")) for a, b in blocks if a < b])
+    few = base.where("domain is not null").select("domain", "sample_id", F.col("router_score").alias("_r"), F.col("fallback_score").alias("_f"), F.explode(parts).alias("_p"))
+    share = F.pmod(F.xxhash64("sample_id"), F.lit(1 + base.count() // REPEAT_ROWS)).alias("_share")
+    rows = spread(few.select("*", "_p.a", "_p.b", share), "a", "_share").drop("_p", "_share").withColumn("repeat", F.explode(F.sequence("a", "b")))
+    rows = rows.withColumn("_h", draws.hash_text(seed, F.col("repeat"), F.col("sample_id"))).withColumn("_bucket", F.substring("_h", 1, DRAW_DIGITS)).drop("a", "b")
+    keys = ["domain", "repeat", "_bucket"]
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_s{c}") for c in ("_r", "_f")] + [F.count(c).alias(f"_c{c}") for c in ("_r", "_f")]
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("_size"), *sums), "draws")
+    stratum = Window.partitionBy("domain", "repeat")
+    before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    after = stratum.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    outside = lambda k: F.coalesce(F.sum(f"_{k}_r").over(before), F.lit(0)) + F.coalesce(F.sum(f"_{k}_f").over(after), F.lit(0))
+    spans = counts.select(
+        "*", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(stratum).alias("n"), outside("s").alias("_s"), outside("c").alias("_c")
     )
+    each = spans.withColumn("rank", F.explode(F.array_distinct(_counts(F.col("n"), coverages)))).withColumn("_local", F.col("rank") - F.col("_before"))
+    first = (F.col("rank") == 0) & (F.col("_before") == 0)
+    cut = summary(each.where(first | ((F.col("_local") > 0) & (F.col("_local") <= F.col("_size")))))
+    wanted = cut.where("_local > 0 and _local < _size").groupBy(*keys).agg(F.collect_set("_local").alias("_wanted"))
+    # Rows of one hash are drawn together.
+    place = F.rank().over(Window.partitionBy(*keys).orderBy("_h"))
+    ranked = join_checked(rows, wanted, keys).withColumn("_rk", place).select(*keys, "_rk", "_r", "_f", F.explode("_wanted").alias("_local"))
+    value = F.when(F.col("_rk") <= F.col("_local"), F.col("_r")).otherwise(F.col("_f"))
+    inner = ranked.groupBy(*keys, "_local").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_is"), F.count(value).alias("_ic"))
+    whole = lambda k, i: F.col(f"_{k}") + F.when(F.col("_local") == 0, F.col(f"_{k}_f")).when(F.col("_local") == F.col("_size"), F.col(f"_{k}_r")).otherwise(F.col(i))
+    done = cut.join(inner, [*keys, "_local"], "left").withColumn("_total", whole("s", "_is")).withColumn("_seen", whole("c", "_ic"))
+    points = F.arrays_zip(F.array(*[F.lit(float(c)) for c in coverages]).alias("coverage"), _counts(F.col("n"), coverages).alias("k"))
+    drawn = done.select("domain", "rank", F.when(F.col("_seen") > 0, F.col("_total") / F.col("_seen")).alias("score"), F.explode(points).alias("p"))
     return (
-        drawn.select("domain", each.alias("p"))
+        drawn.where(F.col("p.k") == F.col("rank"))
         .groupBy("domain", "p.coverage")
-        .agg(F.avg("p.score").alias("score"), sample_std("p.score").alias("std"))
-        .select("domain", "coverage", "score", F.lit("random").alias("selector"), "std")
+        .agg(F.avg("score").alias("_m"), sample_std("score").alias("std"))
+        .select("domain", "coverage", F.col("_m").alias("score"), F.lit("random").alias("selector"), "std")
     )
 
 
