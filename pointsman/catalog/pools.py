@@ -235,18 +235,29 @@ def o_raw(spark: SparkSession, sf: str) -> DataFrame:
 O_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "cost", "score")
 
 
+def o_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest row per sample and candidate. Rows are spread by sample, so arrays and joins by sample stay in place."""
+    raw = o_raw(spark, sf).repartition("sample_id")
+    return dedup.keep_last(raw, ["sample_id", "model"], [F.col(c) for c in O_ORDER])
+
+
 def o_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """The latest row per sample and candidate, with the sample's dataset and domain."""
-    latest = dedup.keep_last(o_raw(spark, sf), ["sample_id", "model"], [F.col(c) for c in O_ORDER])
-    return latest.select("sample_id", "model", "score", "cost").join(
+    return o_latest(spark, sf).select("sample_id", "model", "score", "cost").join(
         o_samples(spark, sf).select("sample_id", "dataset", "domain"), "sample_id"
     )
 
 
 def o_frame(spark: SparkSession, sf: str) -> DataFrame:
     """sample_id, key, dataset, domain, score, cost with nulls where unobserved."""
-    latest = dedup.keep_last(o_raw(spark, sf), ["sample_id", "model"], [F.col(c) for c in O_ORDER])
-    return o_samples(spark, sf).join(matrix.outcome_arrays(latest, MODELS, ("score", "cost")), "sample_id")
+    return o_samples(spark, sf).join(matrix.outcome_arrays(o_latest(spark, sf), MODELS, ("score", "cost")), "sample_id")
+
+
+def o_observed(frame: DataFrame) -> DataFrame:
+    """The outcomes in the arrays of `o_frame`, one row each."""
+    both = F.arrays_zip(F.array(*[F.lit(m) for m in MODELS]).alias("model"), F.col("score").alias("score"), F.col("cost").alias("cost"))
+    rows = frame.select("sample_id", "dataset", "domain", F.explode(both).alias("o")).select("sample_id", "dataset", "domain", "o.*")
+    return rows.where("score is not null or cost is not null")
 
 
 def o_predicted(spark: SparkSession, sf: str) -> DataFrame:

@@ -620,8 +620,8 @@ _SWEEP = f"""{_SWEEP_PICK}, sw AS (SELECT lambda, (SELECT avg(a) FROM (SELECT av
       FROM pick p GROUP BY lambda)"""
 
 
-def _sweep(spark, sf):
-    rows = pools.o_predicted(spark, sf).persist()
+def _sweep(spark, sf, rows=None):
+    rows = rows if rows is not None else pools.o_predicted(spark, sf).persist()
     bounds = routing.global_bounds(rows, ["pred", "pred_cost"])
     return cost.sweep_metrics(cost.sweep_picks(rows, MODELS, bounds))
 
@@ -632,9 +632,9 @@ def _sweep(spark, sf):
     f"WITH {_LAMS} SELECT lambda, count(*) AS n_rows, count(DISTINCT sample_id) AS n_samples FROM oo, lam GROUP BY lambda",
 )
 def lambda_grid_cross(spark, sf):
-    return cost.lambda_grid(pools.o_outcomes(spark, sf)).groupBy("lambda").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("sample_id").alias("n_samples")
-    )
+    # Outcomes lie together by sample, so their samples are counted where they are.
+    per_sample = cost.lambda_grid(pools.o_outcomes(spark, sf)).groupBy("sample_id", "lambda").agg(F.count("*").alias("n"))
+    return per_sample.groupBy("lambda").agg(F.sum("n").alias("n_rows"), F.count("sample_id").alias("n_samples"))
 
 
 @query(
@@ -713,10 +713,11 @@ def theta_dagger(spark, sf):
         SELECT lambda, (AvgAcc / acc - 1) * 100 AS PerfGain_pct, CASE WHEN AvgAcc >= acc - 1e-12 THEN (1 - total_cost / cost) * 100 END AS CostSave_pct FROM sw, base, bc""",
 )
 def perf_gain_cost_save(spark, sf):
-    outcomes = pools.o_outcomes(spark, sf)
+    frame = pools.o_predicted(spark, sf).persist()
+    outcomes = pools.o_observed(frame)
     acc = metrics.macro_accuracy(outcomes, "score").select(F.col("AvgAcc").alias("acc"))
     money = outcomes.groupBy("sample_id").agg(F.avg("cost").alias("x")).agg(F.sum("x").alias("base_cost"))
-    rows = _sweep(spark, sf).join(F.broadcast(acc)).join(F.broadcast(money))
+    rows = _sweep(spark, sf, frame).join(F.broadcast(acc)).join(F.broadcast(money))
     meets = F.col("AvgAcc") >= F.col("acc") - numeric.TINY
     return rows.withColumn("PerfGain_pct", cost.perf_gain(F.col("AvgAcc"), F.col("acc"))).withColumn(
         "CostSave_pct", F.when(meets, cost.cost_save(F.col("total_cost"), F.col("base_cost")))

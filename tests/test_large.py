@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark import RDD
 
-from pointsman.operators import paired, selective
+from pointsman.catalog import pools, quality
+from pointsman.operators import blocks, boosting, paired, selective
 
 
 def _mixed(key, i):
@@ -62,3 +64,38 @@ def test_random_abstention_is_the_plain_rule(spark, monkeypatch):
                 each.append(sum(seen) / len(seen))
             want[d, c] = (pytest.approx(np.mean(each)), pytest.approx(np.std(each, ddof=1), abs=1e-9))
     assert got == want
+
+
+def test_block_sums_reach_the_driver_as_one_array(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN_IN", 3)
+    sent = []
+    collect = RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    arrays = spark.sparkContext.parallelize(range(20), 20).map(lambda i: np.array([i, 1.0]))
+    assert blocks.merged(arrays, 2, 20).tolist() == [190.0, 20.0]
+    assert [len(s) for s in sent] == [1]
+    assert blocks.merged(spark.sparkContext.parallelize([], 4), 2, 4).tolist() == [0.0, 0.0]
+
+
+def test_a_level_sums_only_the_smaller_side(spark, monkeypatch):
+    sizes = []
+    total = blocks.Blocks.total
+    monkeypatch.setattr(blocks.Blocks, "total", lambda self, add, size: sizes.append(size) or total(self, add, size))
+    rows = [([float(i % 4), float(i % 3)], [float(i % 5)]) for i in range(90)]
+    model = boosting.fit(spark.createDataFrame(rows, "x array<double>, score array<double>"), max_iter=1, depth=3)
+    width = sum(len(b) + 1 for b in model.borders)
+    assert sizes[1:] == [width * 2, width * 2, 2 * width * 2]
+
+
+def test_samples_of_the_lambda_grid_are_counted_in_place(spark, tmp_path):
+    lines = [(i % 9, i % 7 + 1, i, i, datetime(2020, 1, 1 + i % 5), 0.01 * (i % 11), 10.0 + i) for i in range(120)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_shipdate timestamp, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "p", "o") for i in range(8)], "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    out = quality.lambda_grid_cross(spark, str(tmp_path))
+    n = len({(x[0], x[1]) for x in lines if x[0] < 8})
+    assert {(r["lambda"], r.n_rows, r.n_samples) for r in out.collect()} == {(i / 20, n, 8) for i in range(21)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 0
+    frame = pools.o_frame(spark, str(tmp_path))
+    assert sorted(map(tuple, pools.o_observed(frame).collect())) == sorted(map(tuple, pools.o_outcomes(spark, str(tmp_path)).select("sample_id", "dataset", "domain", "model", "score", "cost").collect()))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample_id" in plan and "model" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
