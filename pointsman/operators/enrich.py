@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -43,8 +45,8 @@ def judged(rows: DataFrame, judge: Callable[[str], str], column: str = "query")
     return rows.mapInPandas(run, schema)
 
 
-LOG = "run string, slice int, requested long, completed long, failed long, meta map<string,string>"
-RESULT = "sample_id string, answers string, error string, status string, run string, slice int"
+LOG = "run string, slice int, attempt string, requested long, completed long, failed long, meta map<string,string>"
+RESULT = "sample_id string, answers string, error string, status string, run string, slice int, attempt string"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,11 +59,17 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _committed(spark: SparkSession, path: str) -> DataFrame:
+    """The line of every committed slice; of several attempts of one, should two jobs have shared a key, the first by name counts."""
+    log = _read(spark, f"{path}/log", LOG).where("slice >= 0").groupBy("run", "slice")
+    return log.agg(F.min_by(F.struct("attempt", "requested", "completed", "failed"), "attempt").alias("l")).select("run", "slice", "l.*")
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Answers and errors of all committed slices under `path`; those of a job that died count for nothing."""
-    done = _read(spark, f"{path}/log", LOG).where("slice >= 0").select("run", "slice").distinct()
+    done = _committed(spark, path).select("run", "slice", "attempt")
     # A row per run and slice.
-    return _read(spark, f"{path}/results", RESULT).join(F.broadcast(done), ["run", "slice"], "left_semi")
+    return _read(spark, path, RESULT).join(F.broadcast(done), ["run", "slice", "attempt"], "left_semi").select("run", "slice", "sample_id", "answers", "error", "status")
 
 
 def enrich(
@@ -76,8 +84,8 @@ def enrich(
 ) -> DataFrame:
     """Judge pending samples under a run key, keep answers and errors under `path`, return the run's counts.
 
-    What a run has to judge is written down first and cut into slices by the hash of the id. A slice's results replace whatever an
-    earlier attempt left in its folder, and a line in the log commits them, with the run's metadata. So a job that died and runs again
+    What a run has to judge is written down first and cut into slices by the hash of the id. A slice's results go
+    into `path` itself, which is a plain table, under the name of the attempt, and a line in the log commits that attempt, with the run's metadata. So a job that died and runs again
     with the same key neither doubles rows nor judges a committed slice twice, and a finished run only reports. Samples in `done` or
     answered by another run are not judged.
     """
@@ -86,13 +94,14 @@ def enrich(
     log = _read(spark, f"{path}/log", LOG).where(F.col("run") == run)
     # At most a row per slice.
     committed = {r.slice for r in log.collect()}
-    asked = f"{path}/pending/run={run}"
+    # Not named like a partition, which would make `path` a table of mixed folders.
+    asked = f"{path}/pending/of-{quote(run, safe='')}"
     if -1 not in committed:
         answered = results(spark, path).where("status = 'ok'").select("sample_id")
         todo = pending(samples, done.select("sample_id").unionByName(answered), limit)
         todo.withColumn("slice", F.pmod(F.xxhash64("sample_id"), F.lit(slices)).cast("int")).write.mode("overwrite").parquet(asked)
         n = spark.read.parquet(asked).agg(F.count("*").alias("requested")).withColumns({"completed": F.lit(0), "failed": F.lit(0)})
-        _commit(n, run, -1, about, path)
+        _commit(n, run, -1, None, about, path)
     rows = spark.read.parquet(asked)
     # The slices are those that were written down, whatever is asked for now.
     for s in sorted(r["slice"] for r in rows.select("slice").distinct().collect()):
@@ -100,17 +109,18 @@ def enrich(
             continue
         status = F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status")
         out = judged(rows.where(F.col("slice") == s).drop("slice"), judge)
-        folder = f"{path}/results/run={run}/slice={s}"
-        out.select(F.col("sample_id").cast("string").alias("sample_id"), "answers", "error", status).write.mode("overwrite").parquet(folder)
-        written = spark.read.parquet(folder)
-        _commit(written.agg(F.count("*").alias("requested"), F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") == "error").alias("failed")), run, s, about, path)
-    done_now = _read(spark, f"{path}/log", LOG).where(F.col("run") == run).where("slice >= 0").dropDuplicates(["slice"])
+        attempt = uuid.uuid4().hex
+        named = [F.lit(run).alias("run"), F.lit(s).cast("int").alias("slice"), F.lit(attempt).alias("attempt")]
+        out.select(F.col("sample_id").cast("string").alias("sample_id"), "answers", "error", status, *named).write.mode("append").parquet(path)
+        written = _read(spark, path, RESULT).where(F.col("attempt") == attempt)
+        _commit(written.agg(F.count("*").alias("requested"), F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") == "error").alias("failed")), run, s, attempt, about, path)
+    done_now = _committed(spark, path).where(F.col("run") == run)
     return done_now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requested", "completed", "failed")])
 
 
-def _commit(counts: DataFrame, run: str, part: int, meta: Column, path: str) -> None:
+def _commit(counts: DataFrame, run: str, part: int, attempt: str | None, meta: Column, path: str) -> None:
     """One line of the log."""
-    line = counts.select(F.lit(run).alias("run"), F.lit(part).alias("slice"), *[F.col(c).cast("long").alias(c) for c in ("requested", "completed", "failed")], meta.alias("meta"))
+    line = counts.select(F.lit(run).alias("run"), F.lit(part).alias("slice"), F.lit(attempt).cast("string").alias("attempt"), *[F.col(c).cast("long").alias(c) for c in ("requested", "completed", "failed")], meta.alias("meta"))
     line.coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 

@@ -123,3 +123,16 @@ def test_files_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
     (tmp_path / "a.bin").write_bytes(b"abc")
     monkeypatch.setattr(tables, "_stream", lambda path: None)
     assert [r.length for r in tables.file_hashes(spark, str(tmp_path)).collect()] == [3]
+
+
+def test_an_attempt_that_was_not_committed_counts_for_nothing(spark, tmp_path):
+    """Rows that a job wrote before it died, and a run key that is no folder name."""
+    at, key = str(tmp_path / "out"), "a=b/c %1"
+    samples = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(6)], "sample_id string, query string")
+    none = samples.select("sample_id").limit(0)
+    assert tuple(enrich.enrich(samples, none, str.upper, at, run=key, slices=2).first()) == (6, 6, 0)
+    left = [("s9", "T9", None, "ok", key, 0, "dead")]
+    spark.createDataFrame(left, enrich.RESULT).write.mode("append").parquet(at)
+    assert sorted(r.sample_id for r in enrich.results(spark, at).collect()) == [f"s{i}" for i in range(6)]
+    assert tuple(enrich.enrich(samples, none, str.upper, at, run=key).first()) == (6, 6, 0)
+    assert tuple(enrich.enrich(samples, none, str.upper, at, run="other").first()) == (0, 0, 0)
