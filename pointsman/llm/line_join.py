@@ -23,6 +23,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,12 @@ def places(length: int, threshold: int) -> list[tuple[int, int, int, int, bool]]
     return out
 
 
+@lru_cache(1 << 14)
+def _spec(length: int, threshold: int) -> np.ndarray:
+    """places() as numbers. Lines shorter than the segments are many meet by variants only."""
+    return np.array([p for p in places(length, threshold) if p[0] > threshold], np.int64).reshape(-1, 5)
+
+
 def variants(line: bytes, threshold: int) -> set[bytes]:
     """What up to `threshold` deletions leave of a line."""
     out = last = {line}
@@ -81,20 +88,23 @@ def signatures(lines: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarr
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * power[:-1])])
     begin = np.cumsum(sizes) - sizes
     keys, which, own = [], [], []
-    order = np.argsort(sizes, kind="stable")
-    cuts = np.nonzero(np.diff(sizes[order]))[0] + 1
-    for group in np.split(order, cuts):
-        if not len(group):
-            continue
-        # Lines shorter than the segments are many meet by variants only.
-        spec = np.array([p for p in places(int(sizes[group[0]]), threshold) if p[0] > threshold], np.int64).reshape(-1, 5)
-        start = begin[group][:, None] + spec[None, :, 2]
-        value = (sums[start + spec[None, :, 3]] - sums[start]) * inverse[start]
-        label = ((spec[:, 0] * 8 + spec[:, 1]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
+    lengths, kind = np.unique(sizes, return_inverse=True)
+    specs = [_spec(n, threshold) for n in lengths.tolist()]
+    counts = np.array([len(x) for x in specs], np.int64)
+    # Lines of different lengths mostly have equally many places: they are worked on together.
+    for count in np.unique(counts[counts > 0]).tolist():
+        some = np.nonzero(counts == count)[0]
+        at = np.full(len(lengths), -1)
+        at[some] = np.arange(len(some))
+        group = np.nonzero(at[kind] >= 0)[0]
+        spec = np.stack([specs[k] for k in some.tolist()])[at[kind[group]]]
+        start = begin[group][:, None] + spec[:, :, 2]
+        value = (sums[start + spec[:, :, 3]] - sums[start]) * inverse[start]
+        label = (spec[:, :, 0] * 8 + spec[:, :, 1]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         value = (value ^ label) * np.uint64(0xBF58476D1CE4E5B9)
         keys.append((value ^ (value >> np.uint64(31))).ravel())
-        which.append(np.repeat(group, len(spec)))
-        own.append(np.tile(spec[:, 4].astype(bool), len(group)))
+        which.append(np.repeat(group, count))
+        own.append((spec[:, :, 4] > 0).ravel())
     short = [(line_id(v + b"\0variant") % (1 << 64), k) for k in np.nonzero(sizes <= 2 * threshold)[0].tolist() for v in variants(lines[k], threshold)]
     if short:
         keys.append(np.array([v for v, _ in short], np.uint64))
@@ -171,7 +181,7 @@ def _looked_up(threshold: int, shortest: int):
                         lines.append(line)
                         ids.append(x)
                         size += len(line)
-                        if size > 1 << 20:
+                        if size > 1 << 21:
                             yield out()
                             lines, ids, size = [], [], 0
             if lines:
@@ -184,29 +194,32 @@ def _looked_up(threshold: int, shortest: int):
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of sorted keys that different lines have, one of them by its own segment; a key may be of any size."""
+    # The last key, which the next batch may continue: its first line, its rows while it has no other line, and whether it has one.
     key, first, waiting, emitting = None, None, [], False
     for b in batches:
+        if not b.num_rows:
+            continue
         keys, ids, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "own"))
-        cuts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
-        rows = []
-        # Keys of one row that neither continue nor are continued need no look.
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if e - s == 1 and s > 0 and e < len(keys):
-                continue
-            if keys[s] != key:
-                key, first, waiting, emitting = keys[s], ids[s], [], False
-            for r in range(s, e):
-                row = (keys[r], ids[r], own[r])
-                if not emitting and ids[r] != first:
-                    emitting = True
-                    rows += waiting
-                    waiting = []
-                (rows if emitting else waiting).append(row)
-        if rows:
-            k, i, o = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(o, pa.bool_())], ["key", "id", "own"])
-        if len(keys) and keys[-1] != key:
-            key, first, waiting, emitting = keys[-1], ids[-1], [(keys[-1], ids[-1], own[-1])], False
+        starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+        out = []
+        if keys[0] == key:
+            several[0] |= emitting or ids[0] != first
+            if several[0]:
+                out, waiting = waiting, []
+        else:
+            waiting = []
+        mask = np.repeat(several, sizes)
+        if mask.any():
+            out = [*out, [x[mask] for x in (keys, ids, own)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "id", "own"])
+        last = slice(starts[-1], None)
+        if keys[-1] != key:
+            key, first, waiting = keys[-1], ids[-1], []
+        emitting = bool(several[-1])
+        if not emitting:
+            waiting.append([x[last].copy() for x in (keys, ids, own)])
 
 
 def _shared(a: bytes, b: bytes, threshold: int) -> np.ndarray:
@@ -280,7 +293,7 @@ def linked_lines(docs: DataFrame, threshold: int = 2, shortest: int = 12, block:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("text").mapInArrow(_looked_up(threshold, shortest), "key long, id long, own boolean")
-    met = written(rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_met, "key long, id long, own boolean"), "line-keys")
+    met = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, id long, own boolean"), "line-keys")
     met = met.groupBy("key", "id").agg(F.max("own").alias("own"))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("id", F.xxhash64("line"))
     lines = lines.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -418,3 +419,30 @@ def test_letters(spark, docs, text, letters):
     model = language.fit(docs.select("doc_id", "text", "lang"))
     row = language.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert (row.lang_pred != "und") == letters
+
+
+def test_met_keys_over_batches():
+    """Rows of keys with two lines or more, wherever batches cut them and in whatever order the lines stand."""
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 40, 1000):
+        keys = np.sort(rng.integers(0, 60, 300))
+        ids = rng.integers(0, 2, 300) + keys * 10
+        own = rng.random(300) < 0.5
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(x[k : k + size]) for x in (keys, ids, own)], ["key", "id", "own"]) for k in range(0, 300, size)
+        ]
+        got = [r for b in line_join._met(iter([batches[0].slice(0, 0), *batches])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        lines = {k: set(ids[keys == k].tolist()) for k in keys.tolist()}
+        assert got == [r for r in zip(keys.tolist(), ids.tolist(), own.tolist()) if len(lines[r[0]]) > 1]
+
+
+def test_signatures_of_lines_of_many_lengths():
+    """All lines at once have the hashes that each has alone."""
+    rng = random.Random(4)
+    lines = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in [*range(0, 40), 7, 7, 300, 301]]
+    for threshold in (1, 2, 3):
+        k, w, own = line_join.signatures(lines, threshold)
+        for i, line in enumerate(lines):
+            alone = line_join.signatures([line], threshold)
+            assert sorted(zip(k[w == i].tolist(), own[w == i].tolist())) == sorted(zip(alone[0].tolist(), alone[2].tolist()))
+            assert sum(o for _, o in zip(k[w == i], own[w == i])) >= (threshold + 1 if len(line) > 2 * threshold else 1)
