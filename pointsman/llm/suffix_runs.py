@@ -210,14 +210,37 @@ def _fixed(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()
 
 
+def _numbers(grams: np.ndarray) -> np.ndarray:
+    """The rows as columns of numbers in the order of the bytes."""
+    words = np.zeros((len(grams), -(-grams.shape[1] // 8) * 8), np.uint8)
+    words[:, : grams.shape[1]] = grams
+    return words.view(">u8").astype(np.uint64)
+
+
+def _fixed_run(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Strings (all of one length) and fields of a run, column by column: a byte that is shared is the last one sent in its column."""
+    n, k = np.frombuffer(blob, np.int64, 2).tolist()
+    shared, lengths = (np.frombuffer(blob, np.int32, n, 16 + i * 4 * n) for i in (0, 1))
+    at = 16 + 8 * n
+    fields = [np.frombuffer(blob, np.int64, n, at + i * 8 * n) for i in range(k)]
+    width = int(lengths[0]) if n else 0
+    tails = np.frombuffer(blob, np.uint8, offset=at + 8 * n * k)
+    own = width - shared.astype(np.int64)
+    begin = np.cumsum(own) - own
+    grams = np.empty((n, width), np.uint8)
+    row = np.arange(n)
+    for c in range(width):
+        sent = np.maximum.accumulate(np.where(shared <= c, row, 0))
+        grams[:, c] = tails[begin[sent] + c - shared[sent]]
+    return grams, fields
+
+
 def _suffix_run(grams: np.ndarray, fields: list[np.ndarray], splitters: np.ndarray, width: int) -> list[tuple[int, bytes]]:
     """Sorted, front-coded runs by part of one task's suffixes, and its own hits.
 
     Of suffixes with equal bytes one entry travels, without a place, since all are hits already.
     """
-    words = np.zeros((len(grams), -(-grams.shape[1] // 8) * 8), np.uint8)
-    words[:, : grams.shape[1]] = grams
-    keys = words.view(">u8").astype(np.uint64)
+    keys = _numbers(grams)
     order = np.lexsort(keys.T[::-1])
     grams, keys, fields = grams[order], keys[order], [f[order] for f in fields]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
@@ -309,33 +332,18 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 parts.setdefault(part, []).append(blob)
     for blobs in parts.values():
-        runs = [unseal(x) for x in blobs]
-        twice: list[tuple[int, int]] = []
-        strings: list[bytes] = []
-        before, open_ = None, False
-        for h, s, r, e in LoserTree([x[:3] for x in runs]):
-            if before is not None and h == len(s) == before[2]:
-                if not open_:
-                    twice.append(before[:2])
-                    strings.append(s)
-                twice.append((r, e))
-                strings.append(s)
-                open_ = True
-            else:
-                # An entry without a place stands for several hits of its own task.
-                open_ = False
-            before = (r, e, len(s))
-        if twice:
-            at = np.array(twice)
-            fields = [np.empty(len(at), np.int64) for _ in range(5)]
-            for r in np.unique(at[:, 0]):
-                k = at[:, 0] == r
-                for f, own in zip(fields, runs[r][3], strict=True):
-                    f[k] = own[at[k, 1]]
-            head = _heads(np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), -1))
-            placed = fields[2] >= 0
-            if placed.any():
-                yield batch([f[placed] for f in [*fields, head]])
+        runs = [_fixed_run(x) for x in blobs]
+        grams = np.concatenate([r[0] for r in runs])
+        fields = [np.concatenate(x) for x in zip(*[r[1] for r in runs], strict=True)]
+        keys = _numbers(grams)
+        # A stable sort of runs that stand one behind the other merges them.
+        order = np.lexsort(keys.T[::-1])
+        keys = keys[order]
+        same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(axis=1), [False]])
+        # An entry without a place stands for several hits of its own task.
+        at = order[(same[1:] | same[:-1]) & (fields[2][order] >= 0)]
+        if len(at):
+            yield batch([*[f[at] for f in fields], _heads(grams[at])])
 
 
 # ---- second sort: windows of the hits --------------------------------------------------------
@@ -348,16 +356,16 @@ def _contexts(width: int, gram: int, parts: int):
         best: dict[tuple[int, bytes], tuple] = {}
         size = 0
 
-        def covered(spans):
-            f = [np.array(c, np.int64) for c in zip(*spans, strict=True)]
-            z = np.zeros(len(spans), np.int32)
-            return (-1, seal(z, z, b"", *f))
-
         def sealed(spans):
-            rows = [covered(spans)] if spans else []
+            rows = []
+            if spans:
+                z = np.zeros(len(spans), np.int32)
+                rows.append((-1, seal(z, z, b"", *[np.array(c, np.int64) for c in zip(*spans, strict=True)])))
             dealt: dict[int, list] = {}
-            for (back, s), v in best.items():
-                dealt.setdefault(zlib.crc32(s if v[5] else s[:gram]) % parts, []).append((s, back, v))
+            for (back, around), v in best.items():
+                # From here on a string begins with the suffix.
+                s = around[back:] + around[:back]
+                dealt.setdefault(zlib.crc32(s if v[3] else s[:gram]) % parts, []).append((s, back, v))
             for part, items in dealt.items():
                 items.sort(key=lambda x: (x[0], x[1]))
                 f = [np.array(c, np.int64) for c in zip(*[(v[0], v[1], v[2], back) for _, back, v in items], strict=True)]
@@ -367,19 +375,39 @@ def _contexts(width: int, gram: int, parts: int):
 
         spans: list[tuple] = []
         for b in batches:
-            for text, doc, mark, hits in zip(_texts(b), b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("hits").to_pylist(), strict=True):
-                for h in hits:
-                    p, first, last, wide = h["p"], h["p"] - h["first"], h["p"] + h["last"], h["wide"]
-                    for a, z in [(w, w) for w in range(first, last + 1)] if wide else [(first, last)]:
-                        key = (p - a, text[p : z + width] + text[a:p])
-                        mine = (doc, mark, a, z, 0, wide)
-                        other = best.get(key)
-                        if other is None:
+            lists = b.column("hits")
+            hits = lists.flatten()
+            named = {hits.type.field(i).name: x.to_numpy(zero_copy_only=False) for i, x in enumerate(hits.flatten())}
+            p, first, last, wide = (named[c] for c in ("p", "first", "last", "wide"))
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            # In the order of their places, so that covered spans of neighbours grow together.
+            order = np.lexsort((p, np.repeat(np.arange(len(counts)), counts)))
+            p, first, last, wide = (x[order].astype(np.int64) for x in (p, first, last, wide))
+            backs, begins, ends, wides = first.tolist(), (p - first).tolist(), (p + last + width).tolist(), (wide > 0).tolist()
+            at = 0
+            for text, doc, mark, n in zip(_texts(b), b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), counts.tolist(), strict=True):
+                span = None
+                for back, a, z, w in zip(backs[at : at + n], begins[at : at + n], ends[at : at + n], wides[at : at + n], strict=True):
+                    for back, a, z in [(back - i, a + i, a + i + width) for i in range(z - width - a + 1)] if w else [(back, a, z)]:
+                        # Before its suffix a window of its own keeps what it has of it; behind, nothing.
+                        key, mine = (back, text[a:z]), (doc, mark, a, w)
+                        other = best.setdefault(key, mine)
+                        if other is mine:
+                            size += z - a + 150
+                            continue
+                        if other < mine:
+                            if span is not None and a <= span[1]:
+                                span[1] = z
+                            else:
+                                if span is not None:
+                                    spans.append((doc, mark, *span))
+                                span = [a, z]
+                        elif mine < other:
                             best[key] = mine
-                            size += z + width - a + 150
-                        elif other[:3] != mine[:3]:
-                            late, best[key] = (mine, other) if other[:3] < mine[:3] else (other, mine)
-                            spans.append((late[0], late[1], late[2], late[3] + width))
+                            spans.append((other[0], other[1], other[2], other[2] + z - a))
+                at += n
+                if span is not None:
+                    spans.append((doc, mark, *span))
                 if size >= RUN_BYTES:
                     yield sealed(spans)
                     spans, size = [], 0
@@ -395,8 +423,18 @@ def _earlier(width: int, gram: int):
     def spans_of(block: list[tuple[bytes, int, tuple[int, int, int]]]) -> list[tuple[int, int, int, int]]:
         """block: (string, bytes before the suffix, (doc, mark, first window)) with the same first bytes."""
         out = []
+        # Of equal surroundings all but the earliest are covered whole, and only that one can hide windows of others.
+        lead: dict[tuple[bytes, int], tuple] = {}
+        for s, back, at in block:
+            other = lead.setdefault((s, back), at)
+            if other != at:
+                late = max(other, at)
+                lead[s, back] = min(other, at)
+                out.append((late[0], late[1], late[2], late[2] + len(s)))
+        if len(lead) < 2:
+            return out
         seen: dict[tuple[int, bytes], tuple] = {}
-        for s, back, at in sorted(block, key=lambda x: x[2]):
+        for (s, back), at in sorted(lead.items(), key=lambda x: x[1]):
             doc, mark, first = at
             n = len(s) - width + 1
             ahead = len(s) - back

@@ -446,3 +446,39 @@ def test_signatures_of_lines_of_many_lengths():
             alone = line_join.signatures([line], threshold)
             assert sorted(zip(k[w == i].tolist(), own[w == i].tolist())) == sorted(zip(alone[0].tolist(), alone[2].tolist()))
             assert sum(o for _, o in zip(k[w == i], own[w == i])) >= (threshold + 1 if len(line) > 2 * threshold else 1)
+
+
+def test_fixed_runs_merge_to_all_repeats():
+    """Runs of strings of one length are read column by column; strings met in two runs are hits, and each place once."""
+    rng = np.random.default_rng(5)
+    for gram in (8, 24):
+        pool = rng.integers(97, 99, (40, gram)).astype(np.uint8)
+        pool[:, : gram - 4] = 97
+        rows, want, seen = [], [], {}
+        for r in range(3):
+            grams = pool[rng.integers(0, 40, 30)]
+            fields = [np.full(30, r), np.arange(30), np.arange(30), np.zeros(30, np.int64), np.zeros(30, np.int64)]
+            for k, g in enumerate(grams):
+                seen.setdefault(g.tobytes(), []).append((r, k))
+            rows += suffix_runs._suffix_run(grams, fields, np.zeros(0, np.uint64), 100)
+        for part, blob in rows:
+            if part >= 0:
+                shared, lengths, tails, _ = suffix_runs.unseal(blob)
+                strings = [x for _, x, *_ in suffix_runs.LoserTree([(shared, lengths, tails)])]
+                assert [g.tobytes() for g in suffix_runs._fixed_run(blob)[0]] == strings
+        got = [x for b in suffix_runs._hits(iter([suffix_runs._blob_rows(rows)])) for x in zip(b.column("doc_id").to_pylist(), b.column("p").to_pylist())]
+        want = [x for v in seen.values() if len(v) > 1 for x in v]
+        assert sorted(got) == sorted(want)
+
+
+def test_repeated_surroundings_are_one_span():
+    """Hits of a copy give one span of its task, not one for each of them."""
+    text = random.Random(6).randbytes(2000).decode("latin-1")[:1500]
+    n = len(text.encode())
+    p, first, last = (x.tolist() for x in suffix_runs._owned(text.encode(), 100, 24))
+    hits = [{"p": a, "first": a - b, "last": c - a, "wide": False} for a, b, c in zip(p, first, last)]
+    random.Random(7).shuffle(hits)
+    batch = pa.record_batch({"doc_id": [1, 2], "mark": [5, 5], "text": [text, text], "hits": [hits, hits]})
+    (out,) = suffix_runs._contexts(100, 24, 4)(iter([batch]))
+    own = [suffix_runs.unseal(x)[3] for k, x in zip(out.column("part").to_pylist(), out.column("run").to_pylist()) if k < 0]
+    assert [[f.tolist() for f in x] for x in own] == [[[2], [5], [0], [n]]]
