@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointsman.operators import boosting, network, sparse
+from pointsman.operators import boosting, forests, network, sparse, trees
 from pointsman.plans import experiments
 
 SCHEMA = "sample_id string, dataset string, domain string, query string, x array<double>, score array<double>"
@@ -147,3 +147,38 @@ def test_folds_of_trees_are_single_fits(spark, small):
     for k in range(2):
         own = experiments.fit_predict(frame.where(cell != k), frame, ["a", "b"], "gbt", max_iter=2, depth=2)
         assert got[k::2] == pytest.approx(predictions(own)[k::2])
+
+
+def test_forests_grow_the_same_on_one_task_and_by_levels(spark, tmp_path):
+    """Both ways find a step and its additive partner; a candidate is fitted on the rows that observe it."""
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 4))
+    y = np.where(x[:, 0] > 0.5, 2.0, 0.0) + np.where(x[:, 1] > 0.3, 1.0, 0.0)
+    rows = [(str(i), x[i].tolist(), [float(y[i]), None if i % 2 else float(-y[i])]) for i in range(600)] + [("none", [0.0] * 4, None)]
+    frame = spark.createDataFrame(rows, "sample_id string, x array<double>, score array<double>").repartition(3, "sample_id")
+    test = frame.where("score is not null")
+    for local in (1000, 150):
+        fitted = trees.fit_per_candidate(frame, ["a", "b"], "random_forest", trees=12, depth=8, local=local)
+        assert [len(f.trees) for f in fitted] == [12, 12]
+        for f in fitted:
+            assert f.featureImportances.sum() == pytest.approx(1) and f.featureImportances[0] == f.featureImportances.max()
+            # Of a node and its two children none is lost, whatever was grown where.
+            assert all(sorted(np.concatenate([t.child[t.feature != forests.LEAF], t.child[t.feature != forests.LEAF] + 1])) == list(range(1, len(t.child))) for t in f.trees)
+        got = {r.sample_id: r.pred for r in trees.predict(test, fitted).collect()}
+        for c, sign in ((0, 1), (1, -1)):
+            assert np.mean([abs(got[str(i)][c] - sign * y[i]) for i in range(600)]) < 0.3
+    trees.save_router(spark, str(tmp_path / "forest"), fitted, list("wxyz"), ["a", "b"])
+    loaded, names, models = trees.load_router(spark, str(tmp_path / "forest"))
+    assert (names, models) == (list("wxyz"), ["a", "b"])
+    assert {r.sample_id: r.pred for r in trees.predict(test, loaded).collect()} == got
+    with pytest.raises(ValueError, match="fewer than two"):
+        trees.fit_per_candidate(frame.where("sample_id in ('1', '3', '4')"), ["a", "b"], "random_forest", trees=2)
+
+
+def test_forest_of_a_node_weighs_repeats_and_stops_at_the_leaf_size():
+    b = np.array([[0], [0], [1], [2]], np.uint8)
+    own, gains = forests.grown(b, np.array([0.0, 0.0, 3.0, 9.0]), np.array([1, 1, 2, 0]), 5, 2, 3, np.random.default_rng(1))
+    assert own.feature.tolist() == [0, forests.LEAF, forests.LEAF] and own.border[0] == 0 and own.value.tolist() == [1.5, 0.0, 3.0]
+    assert gains[0] == pytest.approx(9.0)
+    alone, _ = forests.grown(b, np.array([0.0, 0.0, 3.0, 9.0]), np.array([1, 0, 2, 0]), 5, 2, 3, np.random.default_rng(1))
+    assert alone.feature.tolist() == [forests.LEAF] and alone.value[0] == 2.0
