@@ -32,6 +32,10 @@ _RAW_FILE = T.StructType(
 )
 
 
+# A file is one record: this separator cannot occur in JSON. In multi-line mode the reader opens a file anew for every number that is read as text.
+_WHOLE_FILE = "\x00\x1e\x00\x1f\x00\x1e\x00"
+
+
 def _filled(c: Column) -> Column:
     return F.when(~text.is_blank(c), text.strip_ws(c))
 
@@ -58,7 +62,7 @@ def scan_result_files(spark: SparkSession, root: str, paths: list[str] | None =
     fields = _RAW_FILE if records else T.StructType([f for f in _RAW_FILE if f.name != "records"])
     raw = (
         spark.read.schema(fields)
-        .option("multiLine", True)
+        .option("lineSep", _WHOLE_FILE)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .option("mode", "PERMISSIVE")

@@ -136,3 +136,20 @@ def test_an_attempt_that_was_not_committed_counts_for_nothing(spark, tmp_path):
     assert sorted(r.sample_id for r in enrich.results(spark, at).collect()) == [f"s{i}" for i in range(6)]
     assert tuple(enrich.enrich(samples, none, str.upper, at, run=key).first()) == (6, 6, 0)
     assert tuple(enrich.enrich(samples, none, str.upper, at, run="other").first()) == (0, 0, 0)
+
+
+def test_a_result_file_is_read_once_however_many_numbers_it_holds(spark, tmp_path):
+    """Numbers keep their text, over several lines too, and do not make the reader open the file again."""
+    records = ",\n".join(f'{{"index": {i}.10, "prompt": "a\\nb",\n "score": {i % 2}, "cost": 1e-2, "prompt_tokens": 7}}' for i in range(2000))
+    path = tmp_path / "d" / "s" / "m" / "a.json"
+    path.parent.mkdir(parents=True)
+    path.write_text('{"records": [\n' + records + "]\n}\n")
+    (path.parent.parent / "n").mkdir()
+    (path.parent.parent / "n" / "b.json").write_text('{"records": [')
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    rows = results.load_records(spark, str(tmp_path)).orderBy("pos").collect()
+    assert read() - before < 10 * path.stat().st_size
+    assert [(r.dataset, r.model, r["index"], r.prompt, r.score, r.cost, r.prompt_tokens) for r in rows] == [
+        ("d", "m", f"{i}.10", "a\nb", float(i % 2), 0.01, 7) for i in range(2000)
+    ]
