@@ -54,14 +54,14 @@ def fit_predict(train: DataFrame, test: DataFrame, models: list[str], learner: s
 
 def _fit_predict_text(train: DataFrame, test: DataFrame, models: list[str], alpha: float = 5.0, max_iter: int = 100, **_) -> DataFrame:
     """TF-IDF learned on the training texts, ridge on top; test texts use the training vocabulary."""
-    counts = tfidf.term_counts(train).persist()
-    table, width = sparse.slots(tfidf.vocabulary(counts))
-    vocab = table.join(tfidf.vocabulary(counts), "term")
+    lists = tfidf.term_lists(train).persist()
+    vocab = tfidf.vocabulary(tfidf.exploded(lists)).collect()
+    table, width = sparse.slots(train.sparkSession.createDataFrame(vocab, "term string, df bigint"))
     n_docs = train.count()
-    rows = sparse.sparse_rows(tfidf.weights(counts, vocab.drop("slot"), n_docs), table, train.select("sample_id", "score"))
+    rows = sparse.sparse_rows(tfidf.weights(lists, vocab, n_docs), table, train.select("sample_id", "score"))
     fitted = sparse.fit(rows, width, alpha, max_iter)
-    counts.unpersist()
-    return sparse.predict(sparse.sparse_rows(tfidf.weights(tfidf.term_counts(test), vocab.drop("slot"), n_docs), table, test), fitted)
+    lists.unpersist()
+    return sparse.predict(sparse.sparse_rows(tfidf.weights(tfidf.term_lists(test), vocab, n_docs), table, test), fitted)
 
 
 def evaluate(predicted: DataFrame, train: DataFrame, models: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointsman.operators import boosting, forests, network, sparse, trees
+from pointsman.operators import boosting, forests, network, sparse, tfidf, trees
 from pointsman.plans import experiments
 
 SCHEMA = "sample_id string, dataset string, domain string, query string, x array<double>, score array<double>"
@@ -182,3 +182,17 @@ def test_forest_of_a_node_weighs_repeats_and_stops_at_the_leaf_size():
     assert gains[0] == pytest.approx(9.0)
     alone, _ = forests.grown(b, np.array([0.0, 0.0, 3.0, 9.0]), np.array([1, 0, 2, 0]), 5, 2, 3, np.random.default_rng(1))
     assert alone.feature.tolist() == [forests.LEAF] and alone.value[0] == 2.0
+
+
+def test_terms_of_a_sample_in_several_rows_are_counted_together(spark):
+    """Counting makes one row per sample, nulls too; pairs do not cross texts."""
+    rows = [("a", "Red red fox"), ("a", "fox den"), (None, "red den"), ("b", None), ("c", "x"), ("a", None)]
+    lists = tfidf.term_lists(spark.createDataFrame(rows, "sample_id string, query string")).collect()
+    got = {r.sample_id: dict(zip(r.terms, r.tfs)) for r in lists}
+    assert len(lists) == 4 and got["b"] == got["c"] == {}
+    assert got["a"] == {"red": 2, "fox": 2, "den": 1, "red red": 1, "red fox": 1, "fox den": 1}
+    assert got[None] == {"red": 1, "den": 1, "red den": 1}
+    weights = tfidf.tfidf_features(spark.createDataFrame(rows, "sample_id string, query string")).collect()
+    assert {(r.sample_id, r.term) for r in weights} == {("a", "red"), ("a", "den"), (None, "red"), (None, "den")}
+    one, two = 1 + np.log(2), 1.0
+    assert {(r.sample_id, r.term): r.weight for r in weights}[("a", "red")] == pytest.approx(one / np.hypot(one, two))
