@@ -262,7 +262,7 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n))
 
 
-def quarter_pairs(a: np.ndarray, b: np.ndarray, budget: int, chunk: int = 1 << 18):
+def quarter_pairs(a: np.ndarray, b: np.ndarray, budget: int, chunk: int = 1 << 15):
     """Index pairs (into the sorted unsigned `a` and `b`) within `budget` bits, of which at most a quarter in the leading quarter.
 
     Both tries are traversed together down to the leading quarter's last bit; what is left of a node pair is compared directly.

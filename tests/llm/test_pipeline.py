@@ -169,3 +169,20 @@ def test_rounds_keep_what_taking_rows_in_order_keeps(spark, stages, monkeypatch)
     whole = sorted(r.doc_id for r in simhash_trie.one_of_each(docs).collect())
     monkeypatch.setattr(simhash_trie, "LAST", 0)
     assert sorted(r.doc_id for r in simhash_trie.one_of_each(docs).collect()) == whole
+
+
+def test_pairs_are_searched_in_little_memory():
+    """What waits to be compared is a few megabytes, whatever the number of fingerprints."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 12_000, dtype=np.uint64)
+    v = np.sort(np.concatenate([base, base[:4000] ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64))]))
+    tracemalloc.start()
+    pairs = {(int(i), int(j)) for x, y in simhash_trie.quarter_pairs(v, v, 15) for i, j in zip(x, y, strict=True) if i != j}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    # All that differ in one bit are among them if it is in the leading quarter or none is.
+    one = {(i, j) for i, j in pairs if int(v[i] ^ v[j]).bit_count() == 1}
+    assert len(one) == 8000
