@@ -335,15 +335,15 @@ def cleaned(fs: FeatureSet) -> FeatureSet:
     return fs.replace(F.transform("x", numeric.clean_numeric), fs.names)
 
 
-def semantic_entropy(fs: FeatureSet, backend: str) -> DataFrame:
-    """(sample_id, uncertainty): mean over the entropy features that are present."""
+def semantic_entropy(fs: FeatureSet, backend: str, *more: str) -> DataFrame:
+    """(sample_id, `more`, uncertainty): mean over the entropy features that are present."""
     names = [p.name for p in judged_parts(fs.names, backend) if p.stat == "entropy"]
     if not names:
         raise ValueError("no semantic entropy features")
     out = fs.take(names).df.withColumn("_v", F.filter("x", lambda v: v.isNotNull()))
     fail = F.raise_error(F.concat(F.lit("no entropy for sample "), F.col("sample_id")))
     mean = numeric.total(F.col("_v")) / F.size("_v")
-    return out.select("sample_id", F.when(F.size("_v") == 0, fail).otherwise(mean).alias("uncertainty"))
+    return out.select("sample_id", *more, F.when(F.size("_v") == 0, fail).otherwise(mean).alias("uncertainty"))
 
 
 def quality_check(fs: FeatureSet, backend: str) -> DataFrame:
@@ -362,8 +362,11 @@ def quality_check(fs: FeatureSet, backend: str) -> DataFrame:
 def join_features(ids: DataFrame, fs: FeatureSet, required: bool = True) -> DataFrame:
     """Left-align features to the ids; a sample without any value fails the job when required."""
     rows = ids.join(fs.df.select("sample_id", "x"), "sample_id", "left")
-    if not required:
-        return rows
+    return with_features(rows) if required else rows
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """The same rows; one whose `x` holds no value fails the job."""
     empty = F.col("x").isNull() | ~F.exists("x", lambda v: v.isNotNull())
     fail = F.raise_error(F.concat(F.lit("missing feature row for sample "), F.col("sample_id")))
     return rows.withColumn("x", F.when(F.coalesce(empty, F.lit(True)), fail).otherwise(F.col("x")))

@@ -37,15 +37,16 @@ class Moments:
 
 
 def _accumulate(x: np.ndarray, y: np.ndarray, masked: bool, into: dict, cell: int) -> None:
+    cell, sign = (cell, 1.0) if cell >= 0 else (~cell, -1.0)
     head = np.hstack([np.ones((len(x), 1)), x])
     if not masked:
         z = np.hstack([head, y])
-        into[(cell, SHARED)] = into.get((cell, SHARED), 0.0) + z.T @ z
+        into[(cell, SHARED)] = into.get((cell, SHARED), 0.0) + sign * (z.T @ z)
         return
     for j in range(y.shape[1]):
         seen = np.isfinite(y[:, j])
         z = np.hstack([head[seen], y[seen, j : j + 1]])
-        into[(cell, j)] = into.get((cell, j), 0.0) + z.T @ z
+        into[(cell, j)] = into.get((cell, j), 0.0) + sign * (z.T @ z)
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -62,7 +63,7 @@ def _row(sums: dict) -> pd.DataFrame:
 
 
 def moments(rows: DataFrame, x: str, y: str, cells: str | None = None, masked: bool = False) -> Moments:
-    """Collect the per-cell sums. `cells` is an int array of the cells a row counts in.
+    """Collect the per-cell sums. `cells` is an int array of the cells a row counts in; ~c takes the row away from cell c.
 
     With `masked`, outputs may be null: each candidate then has its own sums over the rows
     that observe it. Null and non-finite features count as 0.
@@ -106,9 +107,10 @@ def moments(rows: DataFrame, x: str, y: str, cells: str | None = None, masked: b
     parts = parts.repartition(FAN_IN, "cell", "target").mapInPandas(merge, SUMS)
     width = 2 + d if masked else 1 + d + m
     out: dict = {}
-    for r in parts.collect():
-        key = (r.cell, r.target)
-        out[key] = out.get(key, 0.0) + np.array(r.z).reshape(width, width)
+    table = parts.toArrow()
+    for cell, target, z in zip(table["cell"].to_pylist(), table["target"].to_pylist(), table["z"], strict=True):
+        key = (cell, target)
+        out[key] = out.get(key, 0.0) + z.values.to_numpy().reshape(width, width)
     return Moments(out, d, m, masked)
 
 
@@ -217,6 +219,31 @@ def picks(rows: DataFrame, x: str, coefs: np.ndarray, which: list[Column], out:
     return rows.withColumn(out, choose(F.col(x), F.array(*[k.cast("int") for k in which])))
 
 
+def picks_under(rows: DataFrame, x: str, coefs: np.ndarray, which: str, out: str = "slots") -> DataFrame:
+    """Add the 1-based best slots under the coefficient sets that the int array `which` of the row lists, in its order.
+
+    `coefs` is (sets, candidates, 1 + d). Features travel once a row, however many sets it has. Ties go to the first candidate.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(coefs)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def choose(xs: pd.Series, ks: pd.Series) -> pd.Series:
+        w = shared.value
+        head = np.nan_to_num(_matrix(xs), nan=0.0, posinf=0.0, neginf=0.0)
+        sizes = ks.map(len).to_numpy()
+        ids = np.concatenate(ks.tolist()) if sizes.sum() else np.zeros(0, int)
+        at = np.repeat(np.arange(len(head)), sizes)
+        res = np.zeros(len(ids), np.int32)
+        order = np.argsort(ids, kind="stable")
+        for on in np.split(order, np.nonzero(np.diff(ids[order]))[0] + 1):
+            if len(on):
+                k = ids[on[0]]
+                res[on] = 1 + np.argmax(w[k][:, 0] + head[at[on]] @ w[k][:, 1:].T, axis=1)
+        return pd.Series(np.split(res, np.cumsum(sizes)[:-1]))
+
+    return rows.withColumn(out, choose(F.col(x), F.col(which)))
+
+
 def coefficient_rows(spark, coefs: np.ndarray, names: list[str], models: list[str]) -> DataFrame:
     """(model, feature, value) rows of one coefficient set; the intercept is named so."""
     data = [

@@ -63,7 +63,8 @@ def select_threshold(
     taus = quantiles.groupBy(*strata).agg(
         F.array_sort(F.array_distinct(F.collect_list("value"))).alias("_taus"), F.first("n").alias("_n")
     )
-    placed = src.join(F.broadcast(taus) if const else taus, strata)
+    taus = summary(taus)
+    placed = join_checked(src, taus, strata)
     cell = F.size(F.filter("_taus", lambda t: t < F.col("uncertainty")))
     cells = placed.groupBy(*strata, cell.alias("_cell")).agg(
         F.count("*").alias("_c"),

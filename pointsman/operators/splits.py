@@ -160,11 +160,13 @@ def holdout_labels(
         one = F.when((F.min("_d") == F.max("_d")) & (F.count("_d") == F.count("*")), F.min("_d"))
         units = units.groupBy("dataset", "_h").agg(one.alias("_d"))
     cuts = cutoffs_without(units, ["dataset"], "_d", "_h", lambda n: F.array(numeric.clamped_share(n, 1.0 - ratio)))
-    # One row per dataset; the entry * is the dataset as a whole.
-    per_dataset = cuts.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("="), "_d"), F.lit("*")), F.col("cuts")[0]))).alias("_cuts"))
-    label = lambda h: (
+    # One row per dataset; the entry * is the dataset as a whole. Cutoffs are listed in the order of the holdouts, so no row searches them.
+    per_dataset = cuts.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("="), "_d"), F.lit("*")), F.col("cuts")[0]))).alias("_all"))
+    own = lambda h: F.coalesce(F.element_at("_all", F.concat(F.lit("="), F.lower(h))), F.element_at("_all", F.lit("*")))
+    per_dataset = per_dataset.select("dataset", F.transform(names, own).alias("_cuts"))
+    label = lambda h, k: (
         F.when(F.lower(h) == held, "test")
-        .when(F.col("_h") <= F.coalesce(F.element_at("_cuts", F.concat(F.lit("="), F.lower(h))), F.element_at("_cuts", F.lit("*"))), "fit")
+        .when(F.col("_h") <= F.col("_cuts")[k], "fit")
         .otherwise("calibration")
     )
     joined = join_checked(marked, per_dataset, "dataset", "left")

@@ -245,3 +245,39 @@ def test_best_elsewhere(spark, data):
     got = {r.domain: r.best for r in routing.best_elsewhere(frame, MODELS, "domain").collect()}
     part = np.arange(len(y)) % 3
     assert got == {f"m{k}": int(y[part != k].mean(0).argmax()) + 1 for k in range(3)}
+
+
+def test_calibrated_holdouts_count_a_row_once(spark, monkeypatch):
+    """Sums of a holdout are those of all cells but its own, with the few rows corrected whose label differs."""
+    from pointsman.operators import splits
+
+    rng = np.random.default_rng(4)
+    n, domains = 600, [f"m{k}" for k in range(30)] + ["M1"]
+    x = rng.random((n, 3))
+    y = np.clip(x @ rng.normal(size=(3, 3)) + rng.normal(size=(n, 3)) * 0.2, 0, 1)
+    # Nulls belong to no domain; m1 and M1 are left out together.
+    domain = [None if i % 50 == 0 else "M1" if i % 60 == 1 else f"m{i % 30}" for i in range(n)]
+    rows = [(str(i), f"d{i % 2}", domain[i], x[i].tolist(), y[i].tolist()) for i in range(n)]
+    frame = spark.createDataFrame(rows, "sample_id string, dataset string, domain string, x array<double>, score array<double>")
+    entropy = spark.createDataFrame([(str(i), float(rng.random())) for i in range(n)], "sample_id string, uncertainty double")
+    sizes, moments = [], linear.moments
+
+    def watched(rows, x, y, cells=None, **kw):
+        sizes.append(rows.agg(F.avg(F.size(cells))).first()[0])
+        return moments(rows, x, y, cells, **kw)
+
+    monkeypatch.setattr(linear, "moments", watched)
+    got = {r.domain: r for r in experiments.calibrated_domain_ood(frame, entropy, MODELS, domains).collect()}
+    assert sizes[0] < 3
+    joined = {r.domain: r for r in experiments.calibrated_domain_ood(frame.join(entropy, "sample_id"), None, MODELS, domains).collect()}
+    assert set(joined) == set(got) == set(domains)
+    labels = {int(r.sample_id): r.labels for r in splits.holdout_labels(frame, domains, 0.2, 3407).collect()}
+    for k, d in enumerate(domains):
+        fit, cal, test = ([i for i in range(n) if labels[i][k] == w] for w in ("fit", "calibration", "test"))
+        assert test == [i for i in range(n) if (domain[i] or "").lower() == d.lower()]
+        pred = ridge(x[fit], y[fit], 1.0)(x[test])
+        safe = int(np.argmax(y[fit].mean(0)))
+        for r in (got[d], joined[d]):
+            assert (r.n_fit, r.n_calibration, r.n_test, r.safe_model) == (len(fit), len(cal), len(test), MODELS[safe])
+            assert r.router_only_score == pytest.approx(np.mean(y[test, np.argmax(pred, axis=1)]))
+            assert r.best_single_score == pytest.approx(np.mean(y[test, safe]))
