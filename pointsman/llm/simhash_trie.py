@@ -17,7 +17,7 @@ other; fewer words than a shingle make one shingle; component_id is the smallest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -262,6 +262,23 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the (distinct) hashes fall into each of 2^k equal ranges, one byte each, about two a range; empty if a count needs more."""
+    bits = max(1, int(np.ceil(np.log2(max(1, len(hashes) / 2)))))
+    counts = np.bincount((hashes >> np.uint64(BITS - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_be_alike(x: bytes, y: bytes, m: int, n: int, similarity: float) -> bool:
+    """Whether sets of m and n hashes with these sketches can have the similarity: they share no more than the smaller count of any range."""
+    if not x or not y:
+        return True
+    a, b = sorted((np.frombuffer(v, np.uint8) for v in (x, y)), key=len)
+    b = b.reshape(len(a), -1).sum(axis=1, dtype=np.int64)
+    both = int(np.minimum(a, b).sum(dtype=np.int64))
+    return both >= similarity * (m + n - both)
+
+
 def quarter_pairs(a: np.ndarray, b: np.ndarray, budget: int, chunk: int = 1 << 15):
     """Index pairs (into the sorted unsigned `a` and `b`) within `budget` bits, of which at most a quarter in the leading quarter.
 
@@ -406,20 +423,39 @@ def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The `pairs` (i, hub) whose sketches allow the similarity; `rows` has i, size and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c) for c in ("own", "theirs", "m", "n")]
+            keep = [may_be_alike(x.as_py(), y.as_py(), m.as_py(), n.as_py(), similarity) for x, y, m, n in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("hub")], ["i", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs, "simhash-asked")
+    both = _joined(pairs, rows, F.col("size").alias("n"), F.col("sketch").alias("theirs"))
+    both = both.join(rows.select("i", F.col("size").alias("m"), F.col("sketch").alias("own")), "i")
+    return written(both.select("i", "hub", "own", "theirs", "m", "n").mapInArrow(run, "i bigint, hub bigint"), "simhash-possible")
+
+
+def _joined(pairs: DataFrame, rows: DataFrame, *columns: Column) -> DataFrame:
+    """`pairs` with `columns` of their hubs' rows; a hub may have any share of the pairs."""
+    sizes = written(pairs.groupBy("hub").agg(F.count("*").alias("_n")), "simhash-hubs")
+    hubs = sizes.join(rows.select(F.col("i").alias("hub"), *columns), "hub")
+    return attach(pairs, hubs, "hub", "_n", pairs.count(), F.col("i"))
+
+
+def _similar(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The rows i of `pairs` (i, hub) whose shingles have the similarity with some hub's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("own").to_pylist(), b.column("theirs").to_pylist(), strict=True):
-                keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity))
+            columns = [b.column("own"), b.column("theirs")]
+            keep = [_alike(*(np.frombuffer(v.as_py(), np.uint64) for v in both), similarity) for both in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("i")], ["i"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "simhash-asked")
-    sizes = written(pairs.groupBy("hub").agg(F.count("*").alias("n")), "simhash-hubs")
-    hubs = sizes.join(sets.select(F.col("i").alias("hub"), F.col("set").alias("theirs")), "hub")
-    both = attach(pairs, hubs, "hub", "n", pairs.count(), F.col("i")).join(sets.select("i", F.col("set").alias("own")), "i")
+    wanted = written(sets(pairs.select("i").unionByName(pairs.select(F.col("hub").alias("i"))).distinct()), "simhash-wanted")
+    both = _joined(pairs, wanted, F.col("set").alias("theirs")).join(wanted.select("i", F.col("set").alias("own")), "i")
     return both.select("i", "own", "theirs").mapInArrow(run, "i bigint").distinct()
 
 
@@ -444,18 +480,16 @@ def _finished(rows: DataFrame, budget: int, similarity: float) -> DataFrame:
     return rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "i bigint")
 
 
-def kept_rows(rows: DataFrame, budget: int = 15, similarity: float = 0.8, leaf: int = 100_000) -> DataFrame:
-    """(i) of the rows of (i, fp, set) that stay: each other row is similar to one that stays, and no two of them are found similar.
+def kept_rows(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], budget: int = 15, similarity: float = 0.8, leaf: int = 100_000) -> DataFrame:
+    """(i) of the rows of (i, fp, size, sketch) that stay: each other row is similar to one that stays, and no two of them are found similar.
 
     In a round, a row without an earlier neighbour within the budget stays, and rows whose shingles have the similarity with it go; the others try again
     among themselves. That keeps the rows that taking all rows in order would keep, so the last few, which would need a round for every link of a
-    chain, are taken in order by one task.
+    chain, are taken in order by one task. `sets` gives (i, set) of the rows of a frame (i): only pairs whose sketches allow the similarity need them.
     """
     if similarity < 1 / RATIO:
         raise ValueError("size classes are made for a similarity of 0.8 or more")
-    sized = rows.select("i", "fp", (F.octet_length("set") / 8).cast("long").alias("size"))
-    left = written(sized.select("i", "fp", "size", _class("size").alias("class")), "simhash-left")
-    sets = rows.select("i", "set")
+    left = written(rows.select("i", "fp", "size", _class("size").alias("class")), "simhash-left")
     stay = None
     while True:
         first = written(_first_neighbours(left, budget, leaf), "simhash-first")
@@ -466,11 +500,12 @@ def kept_rows(rows: DataFrame, budget: int = 15, similarity: float = 0.8, leaf:
         rest = marked.where("not asks").drop("asks")
         if rest.isEmpty():
             return stay
-        gone = written(_similar(_asked(marked, budget, leaf), sets, similarity), "simhash-gone")
+        possible = _possible(_asked(marked, budget, leaf), rows, similarity)
+        gone = written(_similar(possible, sets, similarity), "simhash-gone")
         left = written(rest.join(gone, "i", "left_anti"), "simhash-left")
         n, size = left.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         if n <= LAST and 8 * size <= LAST_BYTES:
-            return stay.unionByName(written(_finished(left.join(sets, "i"), budget, similarity), "simhash-last")) if n else stay
+            return stay.unionByName(written(_finished(left.join(sets(left.select("i")), "i"), budget, similarity), "simhash-last")) if n else stay
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, budget: int = 15, similarity: float = 0.8) -> DataFrame:
@@ -484,17 +519,35 @@ def one_of_each(docs: DataFrame, shingle: int = 5, budget: int = 15, similarity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            sets = pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("f"), b.column("r"), pa.array(fps), sets], ["d", "f", "r", "fp", "set"])
+            fps, sizes, sketches = [], [], []
+            for t in b.column("text"):
+                hashes = shingle_set(t := t.as_py(), shingle)
+                fps.append(fingerprint(t, shingle))
+                sizes.append(len(hashes))
+                sketches.append(sketch(hashes))
+            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("f"), b.column("r"), *columns], ["d", "f", "r", "fp", "size", "sketch"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                sets = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("i"), sets], ["i", "set"])
 
     places, file, row = located(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = places.select(F.col("doc_id").alias("d"), F.col(file).alias("f"), F.col(row).alias("r"), "text")
-    made = made.mapInArrow(run, f"d {kind}, f string, r bigint, fp bigint, set binary")
+    # Written first, as ordering by ranges reads its input twice.
+    made = written(made.mapInArrow(run, f"d {kind}, f string, r bigint, fp bigint, size bigint, sketch binary"), "simhash-made")
     # Row numbers in the order of ids, whatever files the rows came from.
     made = made.repartitionByRange("d", "f", "r").sortWithinPartitions("d", "f", "r")
-    rows = written(made.withColumn("i", F.monotonically_increasing_id()).drop("d"), "simhash-sets")
-    keep = rows.join(kept_rows(rows, budget, similarity), "i", "left_semi").select(F.col("f").alias(file), F.col("r").alias(row))
+    rows = written(made.withColumn("i", F.monotonically_increasing_id()).drop("d"), "simhash-rows")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Shingle sets are made anew of the texts that need them, as all of them would be far larger than the texts."""
+        found = checked(rows.select("i", F.col("f").alias(file), F.col("r").alias(row)).join(wanted, "i", "left_semi"), 100_000)
+        return places.select("text", file, row).join(found, [file, row]).select("i", "text").mapInArrow(shingled, "i bigint, set binary")
+
+    keep = rows.join(kept_rows(rows, sets_of, budget, similarity), "i", "left_semi").select(F.col("f").alias(file), F.col("r").alias(row))
     return places.join(keep, [file, row], "left_semi").drop(file, row)

@@ -186,3 +186,35 @@ def test_pairs_are_searched_in_little_memory():
     # All that differ in one bit are among them if it is in the leading quarter or none is.
     one = {(i, j) for i, j in pairs if int(v[i] ^ v[j]).bit_count() == 1}
     assert len(one) == 8000
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(2)
+    ruled_out = 0
+    for _ in range(3000):
+        n = int(rng.integers(0, 400))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)]))
+        may = simhash_trie.may_be_alike(simhash_trie.sketch(x), simhash_trie.sketch(y), len(x), len(y), 0.8)
+        assert may or not simhash_trie._alike(x, y, 0.8)
+        ruled_out += not may
+    assert ruled_out > 1000
+    many = np.arange(1000, dtype=np.uint64)  # all in one range: no sketch, so nothing is ruled out
+    assert simhash_trie.sketch(many) == b"" and simhash_trie.may_be_alike(b"", simhash_trie.sketch(x), 1000, len(x), 0.8)
+
+
+def test_near_stage_makes_sets_of_candidates_only(spark, stages, monkeypatch):
+    docs = spark.createDataFrame(stages["exact"][["doc_id", "text"]])
+    sets, keep = [], simhash_trie.written
+
+    def watched(df, name):
+        out = keep(df, name)
+        if "set" in out.columns:
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_trie, "written", watched)
+    monkeypatch.setattr(simhash_trie, "LAST", 0)
+    kept = {r.doc_id for r in simhash_trie.one_of_each(docs).collect()}
+    assert kept == set(stages["near"]["doc_id"])
+    assert sets and max(sets) < docs.count() / 2
