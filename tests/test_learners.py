@@ -196,3 +196,29 @@ def test_terms_of_a_sample_in_several_rows_are_counted_together(spark):
     assert {(r.sample_id, r.term) for r in weights} == {("a", "red"), ("a", "den"), (None, "red"), (None, "den")}
     one, two = 1 + np.log(2), 1.0
     assert {(r.sample_id, r.term): r.weight for r in weights}[("a", "red")] == pytest.approx(one / np.hypot(one, two))
+
+
+def test_heads_fitted_whole_equal_those_of_a_job_per_level(spark, small):
+    """Shared trees and trees per output, with training sets and unobserved outputs, come out the same both ways."""
+    x, y = small
+    y = y.copy()
+    y[::7, 1] = np.nan
+    frame = frame_of(spark, np.column_stack([x, np.ones(90)]), y).repartition(3)
+    i = F.col("sample_id").cast("int")
+    for shared in (True, False):
+        kw = {"sets": [i % 3 != 0, i % 4 != 1], "shared": shared, "max_iter": 13, "depth": 4, "step": 0.3}
+        one, two = boosting.fit(frame, **kw), boosting.fit(frame, local=0, **kw)
+        for a, b in zip(one.heads, two.heads, strict=True):
+            assert [(t.features, t.bins) for t in a.trees] == [(t.features, t.bins) for t in b.trees] and len(a.trees) == 13
+            assert a.gains == pytest.approx(b.gains)
+            for s, t in zip(a.trees, b.trees, strict=True):
+                assert s.values == pytest.approx(t.values, abs=1e-12)
+
+
+def test_small_tables_need_few_jobs_for_many_rounds(spark, small):
+    frame = frame_of(spark, *small).repartition(3)
+    spark.sparkContext.setJobGroup("few-jobs", "boosting")
+    boosting.fit(frame, max_iter=100, depth=3)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 20
