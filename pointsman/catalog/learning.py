@@ -230,9 +230,9 @@ def fit_tfidf_ridge(spark, sf):
 
 @query("fit_embedding_gbt", _FIT_SPEC)
 def fit_embedding_gbt(spark, sf):
-    """Trees on embeddings of two label columns; 60 of the learner's 500 rounds (README, Partial)."""
+    """Trees on embeddings of two label columns."""
     frame = splits.id_split(_vector_frame(spark, sf), 0.7, 42, grouped=True).persist()
-    return experiments.train_evaluate(frame, _TWO, "gbt", max_iter=60)[1]
+    return experiments.train_evaluate(frame, _TWO, "gbt")[1]
 
 
 # ---- experiments -------------------------------------------------------------------------------------

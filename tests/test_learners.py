@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointsman.catalog import learning
+from pointsman.catalog.load import QUERIES
 from pointsman.operators import boosting, forests, network, sparse, tfidf, trees
 from pointsman.plans import experiments
 
@@ -222,3 +224,23 @@ def test_small_tables_need_few_jobs_for_many_rounds(spark, small):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < len(jobs) < 20
+
+
+@pytest.mark.parametrize("name", ["fit_embedding_gbt"])
+def test_tree_queries_fit_all_rounds(spark, monkeypatch, name):
+    """The queries leave the learner its own number of rounds."""
+    asked = []
+
+    def fit(train, **params):
+        asked.append(params)
+        raise InterruptedError
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    frame = frame_of(spark, np.ones((6, 3)), np.ones((6, 2))).withColumn("cost", F.col("score"))
+    for source in ("_cost_frame", "_vector_frame"):
+        monkeypatch.setattr(learning, source, lambda *_: frame)
+    monkeypatch.setattr(learning, "_mass_frame", lambda *_: (frame, list("abc")))
+    monkeypatch.setattr(learning, "_gaps", lambda rows: rows)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, "")
+    assert len(asked) == 1 and "max_iter" not in asked[0]
