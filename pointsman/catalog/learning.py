@@ -569,9 +569,9 @@ def cost_seed_summary(spark, sf):
 
 @query("perf_cost_eval_trees", _COST_SPEC)
 def perf_cost_eval_trees(spark, sf):
-    """The protocol with boosted trees per candidate as the quality model; 40 of the learner's 500 rounds (README, Partial)."""
+    """The protocol with boosted trees per candidate as the quality model."""
     frame = splits.id_split(_cost_frame(spark, sf), 0.7, 3407, grouped=True).persist()
-    return experiments.perf_cost_eval(frame, MODELS, "m1", learner="gbt", max_iter=40)[0]
+    return experiments.perf_cost_eval(frame, MODELS, "m1", learner="gbt")[0]
 
 
 # ---- batch and streaming routes --------------------------------------------------------------------------

@@ -226,7 +226,7 @@ def test_small_tables_need_few_jobs_for_many_rounds(spark, small):
     assert 0 < len(jobs) < 20
 
 
-@pytest.mark.parametrize("name", ["fit_gbt_per_model", "fit_embedding_gbt"])
+@pytest.mark.parametrize("name", ["fit_gbt_per_model", "fit_embedding_gbt", "perf_cost_eval_trees"])
 def test_tree_queries_fit_all_rounds(spark, monkeypatch, name):
     """The queries leave the learner its own number of rounds."""
     asked = []
