@@ -244,3 +244,31 @@ def test_tree_queries_fit_all_rounds(spark, monkeypatch, name):
     with pytest.raises(InterruptedError):
         QUERIES[name](spark, "")
     assert len(asked) == 1 and "max_iter" not in asked[0]
+
+
+def test_networks_of_several_training_sets_equal_single_fits(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random((200, 2))
+    y[::9, 0] = np.nan
+    frame = frame_of(spark, rng.random((200, 3)), y).repartition(3).persist()
+    sets = [F.col("sample_id").cast("int") % 3 != 0, F.col("sample_id").cast("int") % 4 != 1]
+    for own, cond in zip(network.fit_sets(frame, sets, max_iter=25, patience=4), sets, strict=True):
+        alone = network.fit(frame.where(cond), max_iter=25, patience=4)
+        assert own.steps == alone.steps and own.error == pytest.approx(alone.error)
+        assert network.flat(own.layers) == pytest.approx(network.flat(alone.layers), abs=1e-9)
+    with pytest.raises(ValueError):
+        network.fit_sets(frame, [F.lit(False)])
+
+
+def test_the_ablation_leaves_learners_their_own_settings(spark, monkeypatch):
+    asked = {}
+
+    def slots(rows, models, parts, learners):
+        asked.update(learners)
+        raise InterruptedError
+
+    monkeypatch.setattr(experiments, "learner_slots", slots)
+    monkeypatch.setattr(learning, "_mass_frame", lambda *_: (frame_of(spark, np.ones((6, 3)), np.ones((6, 2))), list("abc")))
+    with pytest.raises(InterruptedError):
+        QUERIES["learner_ablation"](spark, "")
+    assert asked == {"ols": {}, "ridge": {}, "gbt": {}, "random_forest": {}, "mlp": {}}
