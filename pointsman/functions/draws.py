@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,3 +92,95 @@ def stable_seed(*parts, modulo: int = 2_147_483_647) -> Column:
     digest = F.sha2(F.concat(F.lit("["), F.concat_ws(",", *texts), F.lit("]")), 256)
     high, low = _hex8(digest, 1), _hex8(digest, 9)
     return (high % modulo * (TWO32 % modulo) + low) % modulo
+
+
+_MD5_TURNS = [t for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in turns * 4]
+_MD5_ADDED = [int(abs(np.sin(i + 1)) * TWO32) for i in range(64)]
+#: Bytes that one block of MD5 holds beside its end mark and length.
+MD5_BLOCK = 55
+
+
+def _md5_first(words: list) -> np.ndarray:
+    """The first digest word of one-block messages, whose 16 words are arrays or whole numbers; three of the 64 steps do not reach it."""
+    n = next(len(w) for w in words if isinstance(w, np.ndarray))
+    a, b, c, d = (np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(61):
+        if i < 16:
+            k = i
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            k = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            k = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            k = 7 * i % 16
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        added = _MD5_ADDED[i]
+        if isinstance(words[k], np.ndarray):
+            np.add(f, words[k], out=f)
+        else:
+            added = (added + words[k]) % TWO32
+        np.add(f, a, out=f)
+        np.add(f, np.uint32(added), out=f)
+        np.right_shift(f, np.uint32(32 - _MD5_TURNS[i]), out=t)
+        np.left_shift(f, np.uint32(_MD5_TURNS[i]), out=f)
+        np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=f)
+        # What was `a` is not needed any more: its place takes the next sum.
+        a, b, c, d, f = d, f, b, c, a
+    return b + np.uint32(0x67452301)
+
+
+def md5_leading(heads: list[bytes], texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """For each head the first digest byte of `hash_text(head, text)` of all texts.
+
+    Texts that fit into one block are hashed together, a step of the digest for all of them at a time; others one by one.
+    """
+    lengths = np.array([-1 if t is None else len(t) for t in texts], np.int64)
+    # The longest of several heads decides which texts fit.
+    room = MD5_BLOCK - 1 - max((len(h) for h in heads), default=0)
+    short = np.flatnonzero((lengths >= 0) & (lengths <= room))
+    others = np.flatnonzero((lengths < 0) | (lengths > room))
+    laid: dict[int, list] = {}
+    sizes = lengths[short]
+    wide = int(sizes.max(initial=0)) + 1
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(texts[i] for i in short), np.uint8)
+    row, place = np.repeat(np.arange(len(short)), sizes), np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    own = np.zeros((len(short), wide), np.uint8)
+    own[row, place] = flat
+    own[np.arange(len(short)), sizes] = 0x80
+    for head in heads:
+        out = np.empty(len(texts), np.uint8)
+        if len(short):
+            at = len(head) + 1
+            if at not in laid:
+                block = np.zeros((len(short), 64), np.uint8)
+                block[:, at : at + wide] = own
+                words = block.view("<u4")
+                words[:, 14] = 8 * (at + sizes)
+                # Words that are the same in all messages are numbers.
+                laid[at] = [int(w[0]) if (w == w[0]).all() else w for w in np.ascontiguousarray(words.T).astype(np.uint32)]
+                if not any(isinstance(w, np.ndarray) for w in laid[at]):
+                    laid[at][0] = np.full(len(short), laid[at][0], np.uint32)
+            front = np.frombuffer((head + b":").ljust(64, b"\0"), "<u4").tolist()
+            words = [w | np.uint32(v) if isinstance(w, np.ndarray) else w | v for w, v in zip(laid[at], front, strict=True)]
+            out[short] = _md5_first(words) & np.uint32(255)
+        for i in others:
+            out[i] = md5_digest(head, texts[i])[0]
+        yield out
+
+
+def md5_digest(head: bytes, text: bytes | None) -> bytes:
+    """The digest whose hex digits `hash_text(head, text)` gives; a null text is left out."""
+    return hashlib.md5(head if text is None else b"%b:%b" % (head, text), usedforsecurity=False).digest()

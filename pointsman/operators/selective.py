@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointsman.functions import draws, numeric
 from pointsman.operators import ranking
 from pointsman.operators.metrics import sample_std
-from pointsman.session import join_checked, spread, summary, written
+from pointsman.session import fetched, join_checked, spread, summary, written
 
 # Default coverage points.
 RISK_COVERAGES = [1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5]
-#: Blocks of repeats that tasks draw for, about how many rows a task draws from, and leading digits of a hash that are counted together.
+#: Blocks of repeats that tasks draw for, about how many rows a task draws from at least, and leading digits (1 or 2) of a hash that are counted together.
 REPEAT_BLOCKS, REPEAT_ROWS, DRAW_DIGITS = 16, 50_000, 2
+#: Cells that cutoffs fall into which every task may know.
+CUT_CELLS = 1_000_000
 ABSTENTION_COVERAGES = [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
@@ -103,6 +109,90 @@ def _counts(n: Column, coverages: list[float]) -> Column:
     return F.transform(shares, lambda c: F.greatest(F.lit(0).cast("long"), F.least(n, numeric.half_even(n * c))))
 
 
+def _heads(seed: int, low: int, high: int) -> list[bytes]:
+    """What comes before the id in the hashes of a block of repeats."""
+    return [f"{seed}:{r}".encode() for r in range(low, high + 1)]
+
+
+def _runs(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
+    """The runs of equal (first repeat, last repeat, domain) in sorted rows, and where each begins; the last entry is the end."""
+    keys = list(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "domain")), strict=True))
+    starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+    return [keys[i] for i in starts], np.array([*starts, len(keys)])
+
+
+def _number(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column, 0 where null, and whether they are not null."""
+    seen = np.asarray(column.is_valid())
+    return np.where(seen, column.to_numpy(zero_copy_only=False), 0.0), seen.astype(float)
+
+
+def _drawn_sums(batches: Iterator[pa.RecordBatch], seed: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """Per domain, repeat and leading digits of the hash: rows, sums and counts of both scores. Rows come sorted by block and domain."""
+    held, sums, wide, type_ = None, np.zeros(0), 16**digits, None
+
+    def found() -> pa.RecordBatch:
+        at, bucket = np.nonzero(sums[0])
+        size, *cells = sums[:, at, bucket]
+        columns = [pa.array([held[2]] * len(at), type_), pa.array(at.astype(np.int32) + np.int32(held[0])), pa.array(bucket.astype(np.int32)), pa.array(size.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(v) for v in cells[:2]], *[pa.array(v.astype(np.int64)) for v in cells[2:]]], _SUMS)
+
+    for batch in batches:
+        names, starts = _runs(batch)
+        texts = [None if t is None else t.encode() for t in batch.column("sample_id").to_pylist()]
+        (r, has_r), (f, has_f) = _number(batch.column("_r")), _number(batch.column("_f"))
+        type_ = batch.schema.field("domain").type
+        for low in sorted({n[0] for n in names}):
+            own = [k for k, n in enumerate(names) if n[0] == low]
+            part = slice(starts[own[0]], starts[own[-1] + 1])
+            sizes = np.diff(starts)[own]
+            run, repeats = np.repeat(np.arange(len(own)) * wide, sizes), names[own[0]][1] - low + 1
+            made = np.empty((5, repeats, len(own), wide))
+            for k, byte in enumerate(draws.md5_leading(_heads(seed, *names[own[0]][:2]), texts[part])):
+                code = run + (byte >> (8 - 4 * digits))
+                for j, w in enumerate((None, r[part], f[part], has_r[part], has_f[part])):
+                    made[j, k] = np.bincount(code, w, len(own) * wide).reshape(-1, wide)
+            for k, place in enumerate(own):
+                if held != names[place]:
+                    if held is not None:
+                        yield found()
+                    held, sums = names[place], np.zeros((5, repeats, wide))
+                sums += made[:, :, k]
+    if held is not None:
+        yield found()
+
+
+def _drawn_rows(batches: Iterator[pa.RecordBatch], seed: int, digits: int, wanted: dict) -> Iterator[pa.RecordBatch]:
+    """The rows of the wanted (repeat, leading digits) of each domain, with their whole hash."""
+    for batch in batches:
+        names, starts = _runs(batch)
+        texts = [None if t is None else t.encode() for t in batch.column("sample_id").to_pylist()]
+        for low in sorted({n[0] for n in names}):
+            own = [k for k, n in enumerate(names) if n[0] == low]
+            first, end = starts[own[0]], starts[own[-1] + 1]
+            run = np.repeat(np.arange(len(own)), np.diff(starts)[own])
+            heads = _heads(seed, *names[own[0]][:2])
+            asked = np.zeros((len(heads), len(own), 16**digits), bool)
+            for k, place in enumerate(own):
+                for repeat, bucket in wanted.get(names[place][2], ()):
+                    if 0 <= repeat - low < len(heads):
+                        asked[repeat - low, k, bucket] = True
+            if not asked.any():
+                continue
+            for k, byte in enumerate(draws.md5_leading(heads, texts[first:end])):
+                bucket = byte >> (8 - 4 * digits)
+                at = np.flatnonzero(asked[k, run, bucket])
+                if len(at):
+                    rows = pa.array(at + first)
+                    hashes = pa.array([draws.md5_digest(heads[k], texts[i]) for i in (at + first).tolist()], pa.binary())
+                    columns = [batch.column("domain").take(rows), pa.array(np.full(len(at), low + k, np.int32)), pa.array(bucket[at].astype(np.int32)), hashes]
+                    yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c).take(rows) for c in ("_r", "_f")]], _ROWS)
+
+
+_SUMS = ["domain", "repeat", "_bucket", "_size", "_s_r", "_s_f", "_c_r", "_c_f"]
+_ROWS = ["domain", "repeat", "_bucket", "_h", "_r", "_f"]
+
+
 def _random_draws(base: DataFrame, coverages: list[float], repeats: int, seed: int) -> DataFrame:
     """Mean and deviation over draws. A draw of k rows is the set up to the k-th hash, so it needs only a cutoff.
 
@@ -111,13 +201,17 @@ def _random_draws(base: DataFrame, coverages: list[float], repeats: int, seed: i
     # A task draws for a block of repeats, so its sums are few beside its draws.
     blocks = [(repeats * k // REPEAT_BLOCKS, repeats * (k + 1) // REPEAT_BLOCKS) for k in range(REPEAT_BLOCKS)]
     parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b - 1).alias("b")) for a, b in blocks if a < b])
-    few = base.where("domain is not null").select("domain", "sample_id", F.col("router_score").alias("_r"), F.col("fallback_score").alias("_f"), F.explode(parts).alias("_p"))
-    share = F.pmod(F.xxhash64("sample_id"), F.lit(1 + base.count() // REPEAT_ROWS)).alias("_share")
-    rows = spread(few.select("*", "_p.a", "_p.b", share), "a", "_share").drop("_p", "_share").withColumn("repeat", F.explode(F.sequence("a", "b")))
-    rows = rows.withColumn("_h", draws.hash_text(seed, F.col("repeat"), F.col("sample_id"))).withColumn("_bucket", F.substring("_h", 1, DRAW_DIGITS)).drop("a", "b")
+    scores = [F.col(c).cast("double").alias(n) for c, n in (("router_score", "_r"), ("fallback_score", "_f"))]
+    few = base.where("domain is not null").select("domain", F.col("sample_id").cast("string").alias("sample_id"), *scores, F.explode(parts).alias("_p"))
+    # Some shares for each task, as it sums up whatever share it has.
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = min(1 + base.count() // REPEAT_ROWS, -(-4 * tasks // REPEAT_BLOCKS))
+    share = F.pmod(F.xxhash64("sample_id"), F.lit(shares)).alias("_share")
+    dealt = spread(few.select("*", "_p.a", "_p.b", share), "a", "_share").drop("_p", "_share").sortWithinPartitions("a", "domain")
     keys = ["domain", "repeat", "_bucket"]
-    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_s{c}") for c in ("_r", "_f")] + [F.count(c).alias(f"_c{c}") for c in ("_r", "_f")]
-    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("_size"), *sums), "draws")
+    digits, name = DRAW_DIGITS, base.schema["domain"].dataType.simpleString()
+    sums = dealt.mapInArrow(lambda rows: _drawn_sums(rows, seed, digits), f"domain {name}, repeat int, _bucket int, _size long, _s_r double, _s_f double, _c_r long, _c_f long")
+    counts = written(sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMS[3:]]), "draws")
     stratum = Window.partitionBy("domain", "repeat")
     before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     after = stratum.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
@@ -129,6 +223,16 @@ def _random_draws(base: DataFrame, coverages: list[float], repeats: int, seed: i
     first = (F.col("rank") == 0) & (F.col("_before") == 0)
     cut = summary(each.where(first | ((F.col("_local") > 0) & (F.col("_local") <= F.col("_size")))))
     wanted = cut.where("_local > 0 and _local < _size").groupBy(*keys).agg(F.collect_set("_local").alias("_wanted"))
+    cells = fetched(wanted.select(*keys), CUT_CELLS)
+    if cells is None:
+        rows = dealt.withColumn("repeat", F.explode(F.sequence("a", "b"))).withColumn("_t", draws.hash_text(seed, F.col("repeat"), F.col("sample_id")))
+        rows = rows.select("domain", "repeat", F.conv(F.substring("_t", 1, digits), 16, 10).cast("int").alias("_bucket"), F.unhex("_t").alias("_h"), "_r", "_f")
+    else:
+        asked: dict = {}
+        for domain, repeat, bucket in zip(*(cells.toArrow().column(c).to_pylist() for c in keys), strict=True):
+            asked.setdefault(domain, []).append((repeat, bucket))
+        shared = base.sparkSession.sparkContext.broadcast(asked)
+        rows = dealt.mapInArrow(lambda rows: _drawn_rows(rows, seed, digits, shared.value), f"domain {name}, repeat int, _bucket int, _h binary, _r double, _f double")
     # Rows of one hash are drawn together.
     place = F.rank().over(Window.partitionBy(*keys).orderBy("_h"))
     ranked = join_checked(rows, wanted, keys).withColumn("_rk", place).select(*keys, "_rk", "_r", "_f", F.explode("_wanted").alias("_local"))

@@ -99,3 +99,19 @@ def test_samples_of_the_lambda_grid_are_counted_in_place(spark, tmp_path):
     assert sorted(map(tuple, pools.o_observed(frame).collect())) == sorted(map(tuple, pools.o_outcomes(spark, str(tmp_path)).select("sample_id", "dataset", "domain", "model", "score", "cost").collect()))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sample_id" in plan and "model" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_random_abstention_draws_where_rows_are(spark, monkeypatch):
+    """No plan lists a row once per repeat, and the wanted rows are the same if a task may not know all cells."""
+    rng = random.Random(6)
+    rows = [(f"s{i % 190}", "big" if i % 4 else f"d{i % 5}", rng.random(), rng.random() if i % 7 else None) for i in range(200)]
+    base = spark.createDataFrame([*rows, (None, "big", 0.5, 0.5)], "sample_id string, domain string, router_score double, fallback_score double")
+    plans, plain = [], selective.written
+    monkeypatch.setattr(selective, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    one = {(r.domain, r.coverage): r for r in selective._random_draws(base, [0.25, 0.5, 0.8], 20, 3).collect()}
+    assert plans and "sequence(" not in plans[0] and "md5(" not in plans[0]
+    monkeypatch.setattr(selective, "CUT_CELLS", 3)
+    two = {(r.domain, r.coverage): r for r in selective._random_draws(base, [0.25, 0.5, 0.8], 20, 3).collect()}
+    assert one.keys() == two.keys() and len(one) == 3 * len({r[1] for r in rows})
+    for k, r in one.items():
+        assert (r.score, r["std"]) == (pytest.approx(two[k].score), pytest.approx(two[k]["std"]))
