@@ -141,8 +141,8 @@ def _md5_first(words: list) -> np.ndarray:
     return b + np.uint32(0x67452301)
 
 
-def md5_leading(heads: list[bytes], texts: list[bytes | None]) -> Iterator[np.ndarray]:
-    """For each head the first digest byte of `hash_text(head, text)` of all texts.
+def hash_ints(heads: list[bytes], texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """For each head `hash_int(head, text)` of all texts, as 32-bit numbers.
 
     Texts that fit into one block are hashed together, a step of the digest for all of them at a time; others one by one.
     """
@@ -161,7 +161,7 @@ def md5_leading(heads: list[bytes], texts: list[bytes | None]) -> Iterator[np.nd
     own[row, place] = flat
     own[np.arange(len(short)), sizes] = 0x80
     for head in heads:
-        out = np.empty(len(texts), np.uint8)
+        out = np.empty(len(texts), np.uint32)
         if len(short):
             at = len(head) + 1
             if at not in laid:
@@ -175,9 +175,9 @@ def md5_leading(heads: list[bytes], texts: list[bytes | None]) -> Iterator[np.nd
                     laid[at][0] = np.full(len(short), laid[at][0], np.uint32)
             front = np.frombuffer((head + b":").ljust(64, b"\0"), "<u4").tolist()
             words = [w | np.uint32(v) if isinstance(w, np.ndarray) else w | v for w, v in zip(laid[at], front, strict=True)]
-            out[short] = _md5_first(words) & np.uint32(255)
+            out[short] = _md5_first(words).byteswap()
         for i in others:
-            out[i] = md5_digest(head, texts[i])[0]
+            out[i] = int.from_bytes(md5_digest(head, texts[i])[:4], "big")
         yield out
 
 

@@ -18,7 +18,8 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointsman.functions import draws, text
@@ -226,16 +227,29 @@ def permutation_stats(c: DataFrame, n_permutations: int, seed: int = 3407, draw:
 
 def _hash_signs(c: DataFrame, n_permutations: int, seed: int) -> DataFrame:
     blocks = ceil(n_permutations / SIGN_BITS)
-    rows = spread(c, "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
-        "_w", draws.hash_int(seed, F.col("block"), F.col("unit"))
-    )
-
-    def signed(bit: int) -> Column:
-        on = F.shiftright("_w", bit).bitwiseAND(F.lit(1)) == 1
-        return F.sum(F.when(on, F.col("contribution")).otherwise(-F.col("contribution")))
-
-    sums = rows.groupBy("block").agg(*[signed(i).alias(f"s{i}") for i in range(SIGN_BITS)])
-    flat = sums.select("block", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(SIGN_BITS)])).alias("bit", "stat"))
+    heads = [f"{seed}:{b}".encode() for b in range(blocks)]
+    # +1 or -1 for each bit of a byte.
+    signs = 2.0 * (np.arange(256)[:, None] >> np.arange(8) & 1) - 1.0
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's sums of all blocks: contributions are added up by the bytes of their words first, from the lowest on."""
+        held, seen = np.zeros((blocks, SIGN_BITS // 8, 256)), False
+        for batch in batches:
+            values = batch.column("contribution").to_numpy(zero_copy_only=False)
+            texts = [None if t is None else t.encode() for t in batch.column("unit").to_pylist()]
+            for own, words in zip(held, draws.hash_ints(heads, texts), strict=True):
+                for k, cells in enumerate(own):
+                    cells += np.bincount(words >> np.uint32(8 * k) & np.uint32(255), values, 256)
+            seen = seen or len(texts) > 0
+        if seen:
+            stats = (held @ signs).reshape(blocks, SIGN_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), *[pa.array(v) for v in np.ascontiguousarray(stats.T)]], ["block", *bits])
+
+    bits = [f"s{i}" for i in range(SIGN_BITS)]
+    value = F.coalesce(F.col("contribution").cast("double"), F.lit(0.0)).alias("contribution")
+    rows = spread(c.select(F.col("unit").cast("string").alias("unit"), value), "unit")
+    sums = rows.mapInArrow(signed, "block int, " + ", ".join(f"{b} double" for b in bits)).groupBy("block").agg(*[F.sum(b).alias(b) for b in bits])
+    flat = sums.select("block", F.posexplode(F.array(*[F.col(b) for b in bits])).alias("bit", "stat"))
     return flat.select((F.col("block") * SIGN_BITS + F.col("bit")).cast("int").alias("permutation"), "stat").where(
         F.col("permutation") < n_permutations
     )

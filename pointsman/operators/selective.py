@@ -148,8 +148,8 @@ def _drawn_sums(batches: Iterator[pa.RecordBatch], seed: int, digits: int) -> It
             sizes = np.diff(starts)[own]
             run, repeats = np.repeat(np.arange(len(own)) * wide, sizes), names[own[0]][1] - low + 1
             made = np.empty((5, repeats, len(own), wide))
-            for k, byte in enumerate(draws.md5_leading(_heads(seed, *names[own[0]][:2]), texts[part])):
-                code = run + (byte >> (8 - 4 * digits))
+            for k, hashes in enumerate(draws.hash_ints(_heads(seed, *names[own[0]][:2]), texts[part])):
+                code = run + (hashes >> np.uint32(32 - 4 * digits))
                 for j, w in enumerate((None, r[part], f[part], has_r[part], has_f[part])):
                     made[j, k] = np.bincount(code, w, len(own) * wide).reshape(-1, wide)
             for k, place in enumerate(own):
@@ -179,13 +179,13 @@ def _drawn_rows(batches: Iterator[pa.RecordBatch], seed: int, digits: int, wante
                         asked[repeat - low, k, bucket] = True
             if not asked.any():
                 continue
-            for k, byte in enumerate(draws.md5_leading(heads, texts[first:end])):
-                bucket = byte >> (8 - 4 * digits)
+            for k, hashes in enumerate(draws.hash_ints(heads, texts[first:end])):
+                bucket = hashes >> np.uint32(32 - 4 * digits)
                 at = np.flatnonzero(asked[k, run, bucket])
                 if len(at):
                     rows = pa.array(at + first)
-                    hashes = pa.array([draws.md5_digest(heads[k], texts[i]) for i in (at + first).tolist()], pa.binary())
-                    columns = [batch.column("domain").take(rows), pa.array(np.full(len(at), low + k, np.int32)), pa.array(bucket[at].astype(np.int32)), hashes]
+                    whole = pa.array([draws.md5_digest(heads[k], texts[i]) for i in (at + first).tolist()], pa.binary())
+                    columns = [batch.column("domain").take(rows), pa.array(np.full(len(at), low + k, np.int32)), pa.array(bucket[at].astype(np.int32)), whole]
                     yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c).take(rows) for c in ("_r", "_f")]], _ROWS)
 
 

@@ -115,3 +115,17 @@ def test_random_abstention_draws_where_rows_are(spark, monkeypatch):
     assert one.keys() == two.keys() and len(one) == 3 * len({r[1] for r in rows})
     for k, r in one.items():
         assert (r.score, r["std"]) == (pytest.approx(two[k].score), pytest.approx(two[k]["std"]))
+
+
+def test_signs_are_drawn_where_units_are(spark):
+    """Signs are the bits of the hash of (seed, block, unit), and no plan lists a unit once per block."""
+    rng = random.Random(8)
+    rows = [(f"u{i}" if i < 110 else "long" * 20 + str(i), rng.choice([-0.5, 0.25, 1.0])) for i in range(120)] + [(None, 0.125), ("none", None), ("u3", 0.75)]
+    stats = paired.permutation_stats(spark.createDataFrame(rows, "unit string, contribution double").repartition(3), 70, 9)
+    assert "sequence(" not in (plan := stats._jdf.queryExecution().optimizedPlan().toString()) and "md5(" not in plan
+    got = {r.permutation: r.stat for r in stats.collect()}
+    want = {}
+    for p in range(70):
+        words = [int(_md5(9, p // 32, *([] if u is None else [u]))[:8], 16) for u, _ in rows]
+        want[p] = pytest.approx(sum((c or 0.0) * (1 if w >> (p % 32) & 1 else -1) for w, (_, c) in zip(words, rows)))
+    assert got == want
