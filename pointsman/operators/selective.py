@@ -20,6 +20,8 @@ RISK_COVERAGES = [1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5]
 REPEAT_BLOCKS, REPEAT_ROWS, DRAW_DIGITS = 16, 50_000, 2
 #: Cells that cutoffs fall into which every task may know.
 CUT_CELLS = 1_000_000
+#: Domains of a batch whose draws are added up at a time.
+RUNS_AT_ONCE = 32
 ABSTENTION_COVERAGES = [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
@@ -145,19 +147,21 @@ def _drawn_sums(batches: Iterator[pa.RecordBatch], seed: int, digits: int) -> It
         for low in sorted({n[0] for n in names}):
             own = [k for k, n in enumerate(names) if n[0] == low]
             part = slice(starts[own[0]], starts[own[-1] + 1])
-            sizes = np.diff(starts)[own]
-            run, repeats = np.repeat(np.arange(len(own)) * wide, sizes), names[own[0]][1] - low + 1
-            made = np.empty((5, repeats, len(own), wide))
-            for k, hashes in enumerate(draws.hash_ints(_heads(seed, *names[own[0]][:2]), texts[part])):
-                code = run + (hashes >> np.uint32(32 - 4 * digits))
-                for j, w in enumerate((None, r[part], f[part], has_r[part], has_f[part])):
-                    made[j, k] = np.bincount(code, w, len(own) * wide).reshape(-1, wide)
-            for k, place in enumerate(own):
-                if held != names[place]:
-                    if held is not None:
-                        yield found()
-                    held, sums = names[place], np.zeros((5, repeats, wide))
-                sums += made[:, :, k]
+            hashes = np.stack([*draws.hash_ints(_heads(seed, *names[own[0]][:2]), texts[part])]) >> np.uint32(32 - 4 * digits)
+            # A batch may hold as many domains as rows.
+            for some in (own[i : i + RUNS_AT_ONCE] for i in range(0, len(own), RUNS_AT_ONCE)):
+                first, end = starts[some[0]], starts[some[-1] + 1]
+                run = np.repeat(np.arange(len(some)) * wide, np.diff(starts)[some])
+                made = np.empty((5, len(hashes), len(some), wide))
+                for k, bucket in enumerate(hashes[:, first - part.start : end - part.start]):
+                    for j, w in enumerate((None, r, f, has_r, has_f)):
+                        made[j, k] = np.bincount(run + bucket, w if w is None else w[first:end], len(some) * wide).reshape(-1, wide)
+                for k, place in enumerate(some):
+                    if held != names[place]:
+                        if held is not None:
+                            yield found()
+                        held, sums = names[place], np.zeros((5, len(hashes), wide))
+                    sums += made[:, :, k]
     if held is not None:
         yield found()
 
@@ -170,15 +174,18 @@ def _drawn_rows(batches: Iterator[pa.RecordBatch], seed: int, digits: int, wante
         for low in sorted({n[0] for n in names}):
             own = [k for k, n in enumerate(names) if n[0] == low]
             first, end = starts[own[0]], starts[own[-1] + 1]
-            run = np.repeat(np.arange(len(own)), np.diff(starts)[own])
             heads = _heads(seed, *names[own[0]][:2])
-            asked = np.zeros((len(heads), len(own), 16**digits), bool)
-            for k, place in enumerate(own):
-                for repeat, bucket in wanted.get(names[place][2], ()):
+            # Runs of which nothing is wanted share the first place.
+            cut = [k for k in own if names[k][2] in wanted]
+            asked, slots = np.zeros((len(heads), 1 + len(cut), 16**digits), bool), np.zeros(len(names), np.int64)
+            slots[cut] = np.arange(1, 1 + len(cut))
+            for k in cut:
+                for repeat, bucket in wanted[names[k][2]]:
                     if 0 <= repeat - low < len(heads):
-                        asked[repeat - low, k, bucket] = True
+                        asked[repeat - low, slots[k], bucket] = True
             if not asked.any():
                 continue
+            run = np.repeat(slots[own], np.diff(starts)[own])
             for k, hashes in enumerate(draws.hash_ints(heads, texts[first:end])):
                 bucket = hashes >> np.uint32(32 - 4 * digits)
                 at = np.flatnonzero(asked[k, run, bucket])

@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import RDD
 
@@ -129,3 +130,19 @@ def test_signs_are_drawn_where_units_are(spark):
         words = [int(_md5(9, p // 32, *([] if u is None else [u]))[:8], 16) for u, _ in rows]
         want[p] = pytest.approx(sum((c or 0.0) * (1 if w >> (p % 32) & 1 else -1) for w, (_, c) in zip(words, rows)))
     assert got == want
+
+
+def test_a_batch_of_many_domains_is_added_up_in_parts():
+    """Sums of a batch take the place of a few domains' sums at a time, and are those of each row alone."""
+    rows = [(0, 6, f"d{i:03d}", f"s{i}", float(i), None if i % 3 else 1.0) for i in range(200)] + [(7, 9, "d000", None, 2.0, 3.0)]
+    columns = dict(zip(("a", "b", "domain", "sample_id", "_r", "_f"), zip(*rows)))
+    got = {}
+    for batch in selective._drawn_sums(iter([pa.RecordBatch.from_pydict(columns)]), 5, 2):
+        for row in batch.to_pylist():
+            got[row["domain"], row["repeat"]] = row
+    assert len(got) == 200 * 7 + 3 and selective.RUNS_AT_ONCE < 200
+    for a, b, domain, sample, r, f in rows:
+        for repeat in range(a, b + 1):
+            bucket = int(_md5(5, repeat, *([] if sample is None else [sample]))[:2], 16)
+            want = {"domain": domain, "repeat": repeat, "_bucket": bucket, "_size": 1, "_s_r": r, "_s_f": f or 0.0, "_c_r": 1, "_c_f": int(f is not None)}
+            assert got[domain, repeat] == want
